@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +49,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_tellgrid_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tellgrid-"), "tellgrid.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(here):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("tellgrid", os.path.relpath(path, here)))
+    context.addPyFile(archive)
+    context._tellgrid_shipped = True
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
