@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellgrid.llm import cooccurrence, suffix_counts, topn
+from tellgrid.llm import cooccurrence, packing, suffix_counts, tokens, topn
 from tellgrid.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,11 +92,27 @@ def p7_line_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select(F.size("gram").cast("bigint").alias("n"), F.concat_ws(" ", "gram").alias("gram"), "occurrences", "records")
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_corpus(load(spark, folder, "documents"), "doc_id", "text")
+
+
+#: Tokens a container of problem 9 holds.
+CONTAINER = 2048
+
+
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, piece, tokens, container; a document over the capacity has several pieces, an empty one no container."""
+    counts = tokens.encode_corpus(load(spark, folder, "documents"), "doc_id", "text", count_only=True)
+    return packing.pack(counts, "doc_id", "ids", CONTAINER).withColumnRenamed("size", "tokens")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_scores": p1_scores,
         "p5_found": p5_found,
+        "p8_ids": p8_ids,
+        "p9_containers": p9_containers,
         "p7_found": p7_found,
         "p7_terms": p7_terms,
         "p7_line_ngrams": p7_line_ngrams,
