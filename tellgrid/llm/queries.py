@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellgrid.llm import cooccurrence, packing, suffix_counts, tokens, topn
+from tellgrid.llm import canonical, cooccurrence, lookalikes, packing, suffix_counts, tokens, topn
 from tellgrid.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,53 @@ def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("a", "b", "together", "records_a", "records_b", "baskets", F.round("lift", 6).alias("lift"))
 
 
+def _typed_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """src, k1, k2, period of every record whose period is not character for character a listed name."""
+    nothing = F.lit("")
+    rows = (
+        load(spark, folder, "artifacts").select(F.lit("artifacts").alias("src"), F.col("p_id").alias("k1"), nothing.alias("k2"), "period")
+    ).unionByName(
+        load(spark, folder, "text_locations").select(F.lit("text_locations").alias("src"), F.col("project").alias("k1"), F.col("text_id").alias("k2"), "period")
+    )
+    ordinals = F.col("ord").cast("string").alias("k2")
+    rows = rows.unionByName(
+        load(spark, folder, "periods").select(F.lit("periods").alias("src"), F.col("entry_id").alias("k1"), ordinals, F.col("p").alias("period"))
+    )
+    listed = load(spark, folder, "period_list").select(F.col("name").alias("period")).filter("period is not null").distinct()
+    return rows.filter("period is not null").join(listed, "period", "left_anti").select("src", "k1", "k2", "period")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    reference = load(spark, folder, "period_list")
+    found = canonical.match_values(_typed_periods(spark, folder), "period", reference, "period_id", "name", "period_id")
+    return found.select("src", "k1", "k2", "period_id").distinct()
+
+
+def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed values that mean no listed period, or several, with their records."""
+    reference = load(spark, folder, "period_list")
+    found = canonical.match_values(_typed_periods(spark, folder).distinct(), "period", reference, "period_id", "name", "period_id")
+    return found.filter("period_id = 0").groupBy("period").agg(F.count(F.lit(1)).alias("records"))
+
+
+def _spellings(spark: SparkSession, folder: str) -> DataFrame:
+    blank = F.lit("")
+    key = F.concat_ws("|", F.coalesce("text_id", blank), F.coalesce("line_id", blank), F.coalesce(F.col("word_pos").cast("string"), blank))
+    entries = load(spark, folder, "entries").select(F.lit("entries.cf").alias("field"), F.col("id").alias("row_key"), F.col("cf").alias("value"))
+    forms = load(spark, folder, "forms").select(F.lit("forms.n").alias("field"), F.col("id").alias("row_key"), F.col("n").alias("value"))
+    words = load(spark, folder, "words").select(F.lit("words.form").alias("field"), key.alias("row_key"), F.col("form").alias("value"))
+    return entries.unionByName(forms).unionByName(words)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.consistent_form(_spellings(spark, folder), "value").select("field", "row_key").distinct()
+
+
+def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """Every uneven spelling with its consistent form."""
+    return lookalikes.consistent_form(_spellings(spark, folder), "value").select("field", "row_key", "value", "canonical").distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     grams = load(spark, folder, "inflected_ngrams").select("n", "ngram", "cf1", "count", "loaded_at")
     valid = topn.latest_valid(grams, ["n", "ngram"], "loaded_at", ["count", "cf1"])
@@ -110,6 +157,10 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_scores": p1_scores,
+        "p2_found": p2_found,
+        "p2_unmatched": p2_unmatched,
+        "p4_found": p4_found,
+        "p4_canonical": p4_canonical,
         "p5_found": p5_found,
         "p8_ids": p8_ids,
         "p9_containers": p9_containers,
