@@ -45,7 +45,8 @@ def _local_bounds(df: DataFrame, group: str, score: str, ties: list[str], n: int
         if waiting:
             held = top([held, *waiting])
         if held is not None:
-            yield held[held.groupby(group, sort=False).cumcount() == n - 1][columns]
+            last = held[held.groupby(group, sort=False).cumcount() == n - 1]
+            yield pd.DataFrame({c: last[c].to_numpy() for c in columns})
 
     return df.select(*columns).mapInPandas(best, schema)
 
