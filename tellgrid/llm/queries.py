@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellgrid.llm import canonical, cooccurrence, lookalikes, packing, suffix_counts, tokens, topn
+from tellgrid.llm import canonical, cooccurrence, lookalikes, packing, stuffing, suffix_counts, tokens, topn
 from tellgrid.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,6 +153,10 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(counts, "doc_id", "ids", CONTAINER).withColumnRenamed("size", "tokens")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed_pages(load(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -164,6 +168,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p8_ids": p8_ids,
         "p9_containers": p9_containers,
+        "p10_found": p10_found,
         "p7_found": p7_found,
         "p7_terms": p7_terms,
         "p7_line_ngrams": p7_line_ngrams,
