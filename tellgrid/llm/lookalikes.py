@@ -162,7 +162,7 @@ def canonical_values(values: DataFrame, value: str, vocabulary: DataFrame, token
             found = trie.look_alikes(t) if any(c.isalpha() and c != "l" and c != "I" for c in t) else []
             # the commonest spelling; ties go to the one that sorts last, where small l stands after I and 1
             best.append(max(found)[1] if found else settle(t))
-        return pd.DataFrame({"_token": wanted["_token"].tolist(), "_spelt": best})
+        return pd.DataFrame({"_token": wanted["_token"].tolist(), "_spelt": best}, dtype=object)
 
     parts = values.select(F.col(value).alias("_v")).mapInPandas(split, "_v string, _at int, _is boolean, _part string, _skeleton string")
     wanted = parts.filter("_is").select(F.col("_part").alias("_token"), "_skeleton").distinct()
