@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellgrid.llm import canonical, cooccurrence, lookalikes, packing, stuffing, suffix_counts, tokens, topn
+from tellgrid.llm import alignment, canonical, cooccurrence, lookalikes, packing, stuffing, suffix_counts, tokens, topn
 from tellgrid.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_n_per_group(valid, "cf1", "count", ["n", "ngram"], 5).select("cf1", "n", "ngram")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    lines = load(spark, folder, "text_lines").select(
+        F.col("text_id").alias("text"), F.col("line_id").alias("line"), F.col("ord").alias("place"), F.col("line_label").alias("label"), F.col("paragraph_id").alias("para")
+    )
+    paragraphs = load(spark, folder, "paragraphs").select(
+        F.col("text_id").alias("text"), F.col("para_id").alias("para"), F.col("line_range").alias("range"), "translation"
+    )
+    tokens = alignment.source_tokens(load(spark, folder, "words"), "text_id", "line_id", "word_pos", "lemma", "form", "label")
+    pairs = alignment.align(lines, tokens, paragraphs)
+    return pairs.select(F.col("text").alias("text_id"), F.col("line").alias("line_id"), F.col("para").alias("para_id"), F.col("sent").alias("sent_no"))
+
+
 def _marked(counts: DataFrame, field: str, measure: str, rare_at_most: int, common_times: int, whole: int) -> DataFrame:
     amount = F.col(measure)
     mark = F.when(amount <= rare_at_most, "rare").when(amount.cast("decimal(38,0)") * common_times > whole, "common")
@@ -169,6 +181,7 @@ def queries() -> dict[str, Query]:
         "p8_ids": p8_ids,
         "p9_containers": p9_containers,
         "p10_found": p10_found,
+        "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_terms": p7_terms,
         "p7_line_ngrams": p7_line_ngrams,
