@@ -1,46 +1,322 @@
-"""The core's registered queries and their DuckDB equivalents."""
+"""The core's registered queries: every operator over the delivered tables, whole."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tellgrid.plans import integrity
+from tellgrid.functions import collate, morph, refs, render, text
+from tellgrid.operators import dedup, fts, groups, ngrams, paging
+from tellgrid.plans import corpus as texts
+from tellgrid.plans import integrity, lexicon
+from tellgrid.plans.tables import delivered
+from tellgrid.session import load
+from tellgrid.sql import oracle_sql  # noqa: F401  (part of the registry)
+from tellgrid.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_P3_REFS = """
-  refs as (
-    select distinct 'compounds' as src, entry_id as k1, xcpd as k2, loaded_at, eref as key from compounds where eref is not null
-    union all
-    select distinct 'text_locations', project, text_id, loaded_at, text_id from text_locations where text_id is not null
-    union all
-    select distinct 'instances', xis, word_ref, loaded_at,
-      case when regexp_full_match(word_ref, '[^:]+:[^:.]+\\.[^:.]+(\\.[^:.]+)?') then regexp_extract(word_ref, '^([^:]+:[^:.]+)\\.', 1) else '' end
-    from instances where word_ref is not null),
-  there as (
-    select distinct 'compounds' as src, id as key from entries where removed_at is null
-    union all
-    select distinct 'text_locations', key from (select p_id as key from artifacts where removed_at is null
-      union select composite_id from artifacts where removed_at is null) where key is not null
-    union all
-    select distinct 'instances', project || ':' || text_id from text_locations where project <> '' and text_id <> ''),
-  checked as (select r.*, t.key is null as lost from refs r left join there t on t.src = r.src and t.key = r.key)"""
+#: Glyphs of a small sign list for the rendering query (fixed values).
+GLYPHS = {"tuk": "𒋾", "šaše": "𒂍", "d": "𒀭", "ŋeš": "𒄑", "a": "𒀀", "e": "𒂊", "ra": "𒊏", "bi": "𒁉", "ta": "𒋫", "ŋu₁₀": "𒈬", "mu": "𒈬", "na": "𒈾", "ak": "𒀝"}
+
+
+def _big(*columns: str):
+    return [F.col(c).cast("bigint").alias(c) for c in columns]
+
+
+def meaning_matches(spark: SparkSession, folder: str) -> DataFrame:
+    found = lexicon.by_meaning(delivered(spark, folder), "tarsumic")
+    return found.select("oid", "cf", "gw", "pos", "sense", "sense_count", *_big("sense_pct"), "entry_total")
+
+
+def ranked_substring_search(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = paging.page(meaning_matches(spark, folder), lexicon.meaning_order(), 20, 20)
+    return rows
+
+
+def search_total_count(spark: SparkSession, folder: str) -> DataFrame:
+    return meaning_matches(spark, folder).agg(F.countDistinct("oid").alias("total"))
+
+
+def entry_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The arrays of every entry's profile, one row per element."""
+    profiles = lexicon.entry_profiles(delivered(spark, folder))
+    parts = [
+        profiles.select("oid", F.lit("sense").alias("part"), F.posexplode("senses").alias("place", "x")).select("oid", "part", "place", F.col("x.mng").alias("value"), F.col("x.icount").alias("count")),
+        profiles.select("oid", F.lit("spelling").alias("part"), F.posexplode("spellings").alias("place", "x")).select("oid", "part", "place", F.col("x.n").alias("value"), F.col("x.icount").alias("count")),
+        profiles.select("oid", F.lit("period").alias("part"), F.posexplode("periods").alias("place", "x")).select("oid", "part", "place", F.col("x.p").alias("value"), F.col("x.icount").alias("count")),
+        profiles.select("oid", F.lit("compound").alias("part"), F.posexplode("compounds").alias("place", "x")).select("oid", "part", "place", F.col("x.xcpd").alias("value"), F.lit(None).cast("bigint").alias("count")),
+    ]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return found.select("oid", "part", *_big("place"), "value", "count")
+
+
+def compound_two_branch(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.compounds_of(delivered(spark, folder), "i")
+
+
+def inflections_capped_per_kind(spark: SparkSession, folder: str) -> DataFrame:
+    found = lexicon.inflections(delivered(spark, folder), 2, 5)
+    return found.select("entry_id", "kind", "n", "count", *_big("rank", "total"))
+
+
+def tagged_union_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = delivered(spark, folder)
+    found = lexicon.analyze(corpus, corpus["words"].select("form"), "form")
+    return found.groupBy("matched_in", "spelling").agg(F.count(F.lit(1)).alias("readings"), F.countDistinct("oid").alias("entries"))
+
+
+def token_gloss(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = delivered(spark, folder)
+    found = lexicon.gloss_tokens(corpus, corpus["lines"], ["text_id", "line_id", "ord"], "transliteration")
+    return found.groupBy("token", "match_kind", "oid").agg(F.count(F.lit(1)).alias("uses"), F.min("rank").alias("rank"))
+
+
+def phrase_roles(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = delivered(spark, folder)
+    parsed = lexicon.parse_phrases(corpus, corpus["lines"], ["text_id", "line_id", "ord"], "transliteration")
+    return parsed.select("text_id", "line_id", *_big("ord"), "skeleton", F.size("chunks").cast("bigint").alias("chunks"), F.size("notes").cast("bigint").alias("notes"))
+
+
+def unigram_counts(spark: SparkSession, folder: str) -> DataFrame:
+    words = delivered(spark, folder)["words"]
+    seq = ngrams.sequences(words, ["text_id", "line_id"], "word_pos", "lemma")
+    return seq.select(F.explode("items").alias("cf")).groupBy("cf").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _grams(n: int) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        words = dedup.first_wins(delivered(spark, folder)["words"], ["text_id", "line_id", "word_pos"], ["lemma", "form"])
+        return ngrams.ngram_counts(words, ["text_id", "line_id"], "word_pos", "lemma", n, 2 if n > 2 else 3)
+
+    return run
+
+
+def feature_ngram_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Feature-annotated pairs keyed by their slots: the key the table has is the one its columns give."""
+    rows = load(spark, folder, "inflected_ngrams").distinct().filter("n = 2")
+    key = ngrams.encode_slots(texts.pattern.slots_of(rows, 2))
+    return rows.groupBy((key == F.col("ngram")).alias("same")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def event_type_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    events = load(spark, folder, "events").withColumn("at", F.struct("ts", "event_id"))
+    return ngrams.ngram_counts(events, ["user_id"], "at", "event_type", 3)
+
+
+def collocation_any_slot(spark: SparkSession, folder: str) -> DataFrame:
+    found = texts.collocations_of(delivered(spark, folder), "tuk")
+    return found.select(*_big("n"), "ngram", "count")
+
+
+def phrase_pattern_pos_case(spark: SparkSession, folder: str) -> DataFrame:
+    found = texts.phrase_pattern(delivered(spark, folder), ["N:locative", "V*"])
+    return found.select("ngram", "count", "key")
+
+
+def phrase_pattern_negated_null(spark: SparkSession, folder: str) -> DataFrame:
+    found = texts.phrase_pattern(delivered(spark, folder), ["N[!king]", "*:!ergative", "*:absolutive"])
+    return found.select("ngram", "count", "key")
+
+
+def phrase_pattern_plain(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = delivered(spark, folder)
+    corpus.tables.pop("inflected_ngrams")
+    found = texts.phrase_pattern(corpus, ["N", "V*"])
+    return found.select("ngram", "count", F.col("tokens")[0]["pos"].alias("pos1"), F.col("tokens")[0]["gw"].alias("gw1"), F.col("tokens")[1]["pos"].alias("pos2"))
+
+
+def feature_spec_match(spark: SparkSession, folder: str) -> DataFrame:
+    rows = delivered(spark, folder)["morphology"].filter("kind = 'morph'")
+    found = rows.filter(morph.matches_features(F.col("n"), prefix="mu", dimensional=["dat"]))
+    return found.select("entry_id", "n", "icount")
+
+
+def verb_form_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.verb_forms(delivered(spark, folder), pos="V/t", prefix="mu", aspect="maru", limit=3)
+
+
+def suffix_peel(spark: SparkSession, folder: str) -> DataFrame:
+    forms = delivered(spark, folder)["words"].filter("form is not null").select("form").distinct()
+    peeled = forms.select("form", morph.peel_suffixes(F.col("form")).alias("p"))
+    return peeled.select("form", "p.base", F.array_join(F.transform("p.suffixes", lambda s: s["role"]), ",").alias("roles"), morph.outermost_case(F.col("p.suffixes")).alias("case"))
+
+
+def verb_prefix_chains(spark: SparkSession, folder: str) -> DataFrame:
+    forms = delivered(spark, folder)["words"].filter("form is not null").select("form").distinct()
+    return forms.groupBy(morph.verbal_prefixes(F.col("form")).alias("chain")).agg(F.count(F.lit(1)).alias("forms"))
+
+
+def fts_bm25_top(spark: SparkSession, folder: str) -> DataFrame:
+    index = texts.index_translations(delivered(spark, folder), stemmed=False)
+    return fts.search(index, "king temple").select("doc", F.round("score", 6).alias("score"))
+
+
+def fts_stemmed(spark: SparkSession, folder: str) -> DataFrame:
+    index = texts.index_translations(delivered(spark, folder), stemmed=True)
+    return fts.search(index, "(rivers OR canals) AND brought").select("doc", F.round("score", 6).alias("score"))
+
+
+def fts_boolean(spark: SparkSession, folder: str) -> DataFrame:
+    index = texts.index_translations(delivered(spark, folder), stemmed=False)
+    return fts.search(index, "(river OR canal) AND king NOT temple").select("doc")
+
+
+def fts_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    index = texts.index_translations(delivered(spark, folder), stemmed=False)
+    return fts.search(index, '"the river"').select("doc")
+
+
+def fts_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    return fts.search(texts.index_lines(delivered(spark, folder)), "tu*").select("doc")
+
+
+def lemma_lines_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = texts.lines_with_lemma(delivered(spark, folder))
+    return found.select("text_id", "line_id", *_big("word_pos", "ord"), "form", "lemma", "line_label", "transliteration", "translation")
+
+
+def block_islands(spark: SparkSession, folder: str) -> DataFrame:
+    found = texts.text_blocks(delivered(spark, folder))
+    return found.select("text_id", "island", "paragraph_id", *_big("first_ord", "last_ord"), "lines")
+
+
+def paragraph_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return texts.paragraph_lines(delivered(spark, folder))
+
+
+def keyset_page(spark: SparkSession, folder: str) -> DataFrame:
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    rows, _ = paging.keyset_page(orders, "o_orderkey", 1000, 50)
+    return rows
+
+
+def catalogue_filter(spark: SparkSession, folder: str) -> DataFrame:
+    found = texts.artifacts_page(delivered(spark, folder), period="TARSUMIC", genre="admin", language=None, provenience=" ")
+    return found.select("p_id", "cdli_id", "period", "genre", "artifact_url", "photo_url", "lineart_thumb_url")
+
+
+def artifact_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    rows = texts.artifacts_page(delivered(spark, folder))
+    return rows.select("p_id", texts.artifact_markdown(rows).alias("markdown"))
+
+
+def pid_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    ids = load(spark, folder, "text_locations").select("text_id").distinct()
+    return ids.select("text_id", text.normalize_p_id(F.col("text_id")).alias("p_id"), text.format_p_id(F.substring("text_id", 2, 20)).alias("plain"))
+
+
+def existence_or_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.search_entries(delivered(spark, folder), "ruin").select("id", "cf", "gw")
+
+
+def collation_sort_page(spark: SparkSession, folder: str) -> DataFrame:
+    entries = lexicon.with_collation(delivered(spark, folder)["entries"]).select("id", "cf", "gw", "letter", "sort_key")
+    rows, _, _ = paging.numbered_page(entries, [F.col("sort_key"), F.col("gw"), F.col("id")], 2)
+    return rows
+
+
+def collation_keys(spark: SparkSession, folder: str) -> DataFrame:
+    entries = delivered(spark, folder)["entries"]
+    return entries.select("id", collate.first_letter(F.col("cf")).alias("letter"), collate.sort_key(F.col("cf")).alias("sort_key"))
+
+
+def dedup_first_wins(spark: SparkSession, folder: str) -> DataFrame:
+    rows = dedup.first_wins(load(spark, folder, "text_locations"), ["project", "text_id"], ["loaded_at", "zip_path", "designation", "period"])
+    return rows.select("project", "text_id", "period", "designation")
+
+
+def dedup_last_wins(spark: SparkSession, folder: str) -> DataFrame:
+    rows = dedup.last_wins(load(spark, folder, "artifacts").filter("removed_at is null"), ["p_id"], ["loaded_at", "designation", "period"])
+    return rows.select("p_id", "cdli_id", "designation", "period")
+
+
+def ref_resolve_enrich(spark: SparkSession, folder: str) -> DataFrame:
+    return texts.attestations(delivered(spark, folder), 3)
+
+
+def attestations_of_period(spark: SparkSession, folder: str) -> DataFrame:
+    return texts.attestations(delivered(spark, folder), 2, "belethian").select("oid", "rank", "word_ref", "period")
+
+
+def unresolved_by_project(spark: SparkSession, folder: str) -> DataFrame:
+    """References per project that name no located text, and those that cannot be read."""
+    corpus = delivered(spark, folder)
+    ref = refs.parse_word_ref(F.col("word_ref"))
+    read = corpus["instances"].filter("word_ref is not null").withColumn("r", ref).select("r.project", "r.text_id", F.col("r").isNull().alias("unread"))
+    known = corpus["text_locations"].select("project", "text_id", F.lit(True).alias("known"))
+    both = read.join(known, ["project", "text_id"], "left")
+    lost = F.when(F.col("known").isNull(), 1).otherwise(0)
+    return both.groupBy("project").agg(F.count(F.lit(1)).alias("refs"), F.sum(lost).alias("lost"))
+
+
+def json_extract_flatten(spark: SparkSession, folder: str) -> DataFrame:
+    events = load(spark, folder, "events")
+    parsed = events.select("event_id", "event_type", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
+    return parsed.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total"))
+
+
+def strip_markup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").filter("text is not null")
+    return docs.select("doc_id", F.md5(text.strip_markup(F.col("text"))).alias("digest"))
+
+
+def sign_rendering(spark: SparkSession, folder: str) -> DataFrame:
+    forms = delivered(spark, folder)["forms"].filter("n is not null").select("n").distinct()
+    shown = forms.select("n", render.cuneify(F.col("n"), GLYPHS).alias("glyphs"))
+    return shown.select("n", "glyphs", render.placeholder_count(F.col("glyphs")).cast("bigint").alias("missing"))
+
+
+def first_wins_map(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.first_of(load(spark, folder, "part"), "p_brand", "p_name", "p_partkey")
+
+
+def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return texts.table_counts(delivered(spark, folder))
+
+
+def gap_report_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return texts.located_texts(delivered(spark, folder)).groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"))
+
+
+def share_pct(spark: SparkSession, folder: str) -> DataFrame:
+    counted = load(spark, folder, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    whole = load(spark, folder, "lineitem").agg(F.count(F.lit(1)).alias("all"))
+    return counted.join(F.broadcast(whole), F.col("all") >= F.col("n")).select("l_returnflag", "l_linestatus", "n", groups.share(F.col("n"), F.col("all")).alias("pct"))
+
+
+def spelling_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """Subscripts, parts and normal forms of every distinct spelling."""
+    forms = delivered(spark, folder)["words"].filter("form is not null").select("form").distinct()
+    value = F.col("form")
+    return forms.select(
+        "form", text.strip_subscripts(value).alias("bare"), text.digits_to_subscripts(value).alias("lowered"), F.size(text.pieces(value)).cast("bigint").alias("pieces"),
+        F.substring_index("form", "-", 1).alias("head"), F.array_join(text.tokens(value), " ").alias("tokens"), text.blank_to_null(value).alias("trimmed"),
+    )
+
+
+def tumbling_window(spark: SparkSession, folder: str) -> DataFrame:
+    return stream.tumbling(load(spark, folder, "events"), "1 hour").select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def session_window(spark: SparkSession, folder: str) -> DataFrame:
+    return stream.sessions(load(spark, folder, "events"), "30 minutes").select("user_id", F.col("start").cast("string").alias("start"), "n")
+
+
+_HERE = [
+    ranked_substring_search, meaning_matches, search_total_count, entry_profile, compound_two_branch, inflections_capped_per_kind, tagged_union_lookup,
+    token_gloss, phrase_roles, unigram_counts, feature_ngram_keys, event_type_ngrams, collocation_any_slot, phrase_pattern_pos_case,
+    phrase_pattern_negated_null, phrase_pattern_plain, feature_spec_match, verb_form_search, suffix_peel, verb_prefix_chains, fts_bm25_top, fts_stemmed,
+    fts_boolean, fts_phrase, fts_prefix, lemma_lines_join, block_islands, paragraph_texts, keyset_page, catalogue_filter, artifact_blocks, pid_normalize,
+    existence_or_search, collation_sort_page, collation_keys, dedup_first_wins, dedup_last_wins, ref_resolve_enrich, attestations_of_period,
+    unresolved_by_project, json_extract_flatten, strip_markup, sign_rendering, first_wins_map, corpus_stats, gap_report_buckets, share_pct,
+    spelling_functions, tumbling_window, session_window,
+]
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "p3_found": integrity.orphans_found,
-        "p3_per_month": integrity.orphans_per_month,
-    }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_found": f"with {_P3_REFS} select distinct src, k1, k2 from checked where lost",
-        "p3_per_month": f"""
-with {_P3_REFS}
-select src, strftime(loaded_at, '%Y-%m') as month, count(*) as refs, count(*) filter (where lost) as orphans
-from checked group by 1, 2""",
-    }
+    named = {f.__name__: f for f in _HERE}
+    counted = {"bigram_counts": _grams(2), "trigram_counts": _grams(3), "fourgram_counts": _grams(4)}
+    return named | counted | {"p3_found": integrity.orphans_found, "p3_per_month": integrity.orphans_per_month}
