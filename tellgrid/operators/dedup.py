@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tellgrid.session import unused
+
 
 def _pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter("_rank = 1").drop("_rank")
+    (rank,) = unused(df, "_rank")
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col(rank) == 1).drop(rank)
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tellgrid.session import unused
+
 
 def top_per_group(df: DataFrame, groups: list[str], order: list[Column], cap: int) -> DataFrame:
     """The first ``cap`` rows of each group with ``rank`` and the group's ``total``; 0 keeps all. Truncated where total > cap."""
@@ -28,7 +30,8 @@ def islands(df: DataFrame, groups: list[str], order: list[str], value: str) -> D
     before = F.lag(value).over(by)
     place = F.row_number().over(by)
     changed = F.when((place == 1) | ~F.col(value).eqNullSafe(before), 1).otherwise(0)
-    return df.withColumn("_c", changed).withColumn("island", F.sum("_c").over(by).cast("bigint")).drop("_c")
+    (change,) = unused(df, "_change")
+    return df.withColumn(change, changed).withColumn("island", F.sum(change).over(by).cast("bigint")).drop(change)
 
 
 def share(part: Column, whole: Column, digits: int = 2) -> Column:

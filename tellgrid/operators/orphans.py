@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellgrid.session import unused
+
 #: Most keys that are checked by broadcast; the bound of the broadcast in rows.
 HEAVY_KEYS = 1000
 #: A key must be named at least so often to count as heavy.
@@ -31,8 +33,9 @@ def _match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> C
 
 def split_heavy(refs: DataFrame, keys: list[str], heavy_keys: int = HEAVY_KEYS, heavy_count: int = HEAVY_COUNT) -> DataFrame:
     """The most frequent keys, at most ``heavy_keys`` of them, as columns _h0.._hn (a top-k, not a collection of all keys)."""
-    counted = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= heavy_count)
-    top = counted.orderBy(F.col("_n").desc(), *keys).limit(heavy_keys)
+    (n,) = unused(refs, "_n")
+    counted = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) >= heavy_count)
+    top = counted.orderBy(F.col(n).desc(), *keys).limit(heavy_keys)
     return top.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
 
 
@@ -46,26 +49,29 @@ def orphan_references(
 ) -> DataFrame:
     """Rows of ``refs`` whose ``keys`` are all given and name no row of ``targets``.
 
-    All columns of ``refs`` are kept, whatever their names (those of the operator begin with an underscore and are dropped).
+    All columns of ``refs`` are kept, whatever their names.
     """
     target_keys = target_keys or keys
-    held = [f"_t{i}" for i in range(len(keys))]
+    names = unused(refs, *[f"_{kind}{i}" for kind in ("t", "h") for i in range(len(keys))], "_there")
+    held, hot, there_column = names[: len(keys)], names[len(keys) : -1], names[-1]
     given = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
     refs = refs.filter(given)
     wanted = targets.select(*[F.col(k).alias(h) for k, h in zip(target_keys, held)]).dropna()
 
-    hot = [f"_h{i}" for i in range(len(keys))]
-    heavy = F.broadcast(split_heavy(refs, keys, heavy_keys, heavy_count))
-    there = wanted.join(heavy, _match(wanted, heavy, list(zip(held, hot))), "left_semi").distinct().withColumn("_there", F.lit(True))
+    def top() -> DataFrame:
+        return split_heavy(refs, keys, heavy_keys, heavy_count).toDF(*hot)
+
+    heavy = F.broadcast(top())
+    there = wanted.join(heavy, _match(wanted, heavy, list(zip(held, hot))), "left_semi").distinct().withColumn(there_column, F.lit(True))
     # one row per heavy key with the answer: at most heavy_keys rows, so this may be broadcast to the references
-    heavy_rows = split_heavy(refs, keys, heavy_keys, heavy_count)
+    heavy_rows = top()
     answered = heavy_rows.join(F.broadcast(there), _match(heavy_rows, there, list(zip(hot, held))), "left").select(
-        *hot, F.coalesce("_there", F.lit(False)).alias("_there")
+        *hot, F.coalesce(there_column, F.lit(False)).alias(there_column)
     )
     answered = F.broadcast(answered)
     tagged = refs.join(answered, _match(refs, answered, list(zip(keys, hot))), "left")
-    heavy_orphans = tagged.filter(F.col("_there") == F.lit(False)).select(*[refs[c] for c in refs.columns])
-    light = tagged.filter(F.col("_there").isNull()).select(*[refs[c] for c in refs.columns])
+    heavy_orphans = tagged.filter(F.col(there_column) == F.lit(False)).select(*[refs[c] for c in refs.columns])
+    light = tagged.filter(F.col(there_column).isNull()).select(*[refs[c] for c in refs.columns])
     light_orphans = light.join(wanted, _match(light, wanted, list(zip(keys, held))), "left_anti")
     return heavy_orphans.unionByName(light_orphans)
 

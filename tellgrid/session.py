@@ -66,6 +66,17 @@ def ship(spark: SparkSession) -> None:
     context._tellgrid_shipped = True
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the dataframe does not have, whatever its columns are called."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
