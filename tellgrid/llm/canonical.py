@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellgrid.llm.bktree import BKTree, edit_distance
-from tellgrid.session import ship
+from tellgrid.session import ship, unused
 
 #: Reference entries of a shard (of a BK-tree), and most entries in all.
 SHARD = 50_000
@@ -224,5 +224,7 @@ def match_values(df: DataFrame, value: str, reference: DataFrame, ident: str, na
     best = hits.groupBy("_v").agg(F.min("_d").alias("_best"), F.collect_list(F.struct("_d", "_id", "_n")).alias("_all"))
     near = F.filter("_all", lambda h: h["_d"] == F.col("_best"))
     decided = best.select("_v", F.when((F.size(near) == 1) & (near[0]["_n"] == 1), near[0]["_id"]).otherwise(0).alias("_id"))
-    joined = df.join(decided, df[value] == decided["_v"], "left")
-    return joined.withColumn(out, F.when(F.col(value).isNotNull(), F.coalesce("_id", F.lit(0))).cast("int")).drop("_v", "_id")
+    held, found = unused(df, "_v", "_id")
+    decided = decided.toDF(held, found)
+    joined = df.join(decided, df[value] == decided[held], "left")
+    return joined.withColumn(out, F.when(F.col(value).isNotNull(), F.coalesce(found, F.lit(0))).cast("int")).drop(held, found)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellgrid.session import ship, width
+from tellgrid.session import ship, unused, width
 
 #: Characters of other scripts and blocks that look like a letter (fixed values): letter -> its look-alikes.
 LOOKALIKES = {
@@ -178,8 +178,8 @@ def canonical_values(values: DataFrame, value: str, vocabulary: DataFrame, token
     return whole.select(F.col("_v").alias(value), F.array_join(F.transform("_all", lambda p: p["_s"]), "").alias("canonical"))
 
 
-def consistent_form(rows: DataFrame, value: str, shards: int | None = None) -> DataFrame:
-    """``rows`` whose ``value`` is not in the consistent form, with ``canonical``.
+def consistent_form(rows: DataFrame, value: str, shards: int | None = None, out: str = "canonical") -> DataFrame:
+    """``rows`` whose ``value`` is not in the consistent form, with that form as ``out`` (a column of that name is replaced).
 
     The vocabulary is made of the tokens of the values that are.
     """
@@ -188,5 +188,6 @@ def consistent_form(rows: DataFrame, value: str, shards: int | None = None) -> D
     clean = given.filter(~unusual(F.col(value))).select(F.explode(F.split(F.col(value), _APART)).alias("_token"))
     vocabulary = clean.filter(r"_token rlike '\\p{L}'").groupBy("_token").agg(F.count(F.lit(1)).alias("_count"))
     forms = canonical_values(odd.select(value).distinct(), value, vocabulary, "_token", "_count", shards)
-    forms = forms.withColumnRenamed(value, "_value").filter(~F.col("_value").eqNullSafe(F.col("canonical")))
-    return odd.join(forms, odd[value] == forms["_value"]).drop("_value")
+    (held,) = unused(rows, "_value")
+    forms = forms.select(F.col(value).alias(held), F.col("canonical").alias(out)).filter(~F.col(held).eqNullSafe(F.col(out)))
+    return odd.drop(out).join(forms, odd[value] == forms[held]).drop(held)

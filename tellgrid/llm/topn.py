@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tellgrid.session import ship, unused
+
 
 def _local_bounds(df: DataFrame, group: str, score: str, ties: list[str], n: int) -> DataFrame:
     """group, score and ties of the N-th best row of every group in every partition that has N rows of it."""
@@ -51,21 +53,24 @@ def _local_bounds(df: DataFrame, group: str, score: str, ties: list[str], n: int
     return df.select(*columns).mapInPandas(best, schema)
 
 
-def top_n_per_group(df: DataFrame, group: str, score: str, ties: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of every ``group`` by ``score`` descending, then ``ties`` ascending, with their ``_rank``.
+def top_n_per_group(df: DataFrame, group: str, score: str, ties: list[str], n: int, rank: str = "_rank") -> DataFrame:
+    """The first ``n`` rows of every ``group`` by ``score`` descending, then ``ties`` ascending, with their ``rank``.
 
     ``score`` must be numeric; ``ties`` should make the order total.
     """
+    ship(df.sparkSession)
     items = df.filter(F.col(group).isNotNull() & F.col(score).isNotNull())
+    own, bound = unused(items, "_group", "_bound")
     # ascending in this struct is the wanted order; the bound of a group is the least of its local N-th rows
     key = F.struct((-F.col(score)).alias("s"), *[F.col(t) for t in ties])
-    bounds = _local_bounds(items, group, score, ties, n).groupBy(F.col(group).alias("_g")).agg(F.min(key).alias("_bound"))
-    within = items.join(bounds, items[group] == bounds["_g"], "left").filter(F.col("_bound").isNull() | (key <= F.col("_bound")))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), *[F.col(t).asc() for t in ties]))
-    return within.drop("_g", "_bound").withColumn("_rank", rank).filter(F.col("_rank") <= n)
+    bounds = _local_bounds(items, group, score, ties, n).groupBy(F.col(group).alias(own)).agg(F.min(key).alias(bound))
+    within = items.join(bounds, items[group] == bounds[own], "left").filter(F.col(bound).isNull() | (key <= F.col(bound)))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), *[F.col(t).asc() for t in ties]))
+    return within.drop(own, bound).withColumn(rank, place).filter(F.col(rank) <= n)
 
 
 def latest_valid(df: DataFrame, keys: list[str], at: str, prefer: list[str]) -> DataFrame:
     """One row per ``keys``: the one with the latest ``at`` (nulls first loaded); ties by ``prefer`` descending, nulls last."""
     order = [F.col(at).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in prefer]]
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+    (place,) = unused(df, "_place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(place) == 1).drop(place)
