@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tellgrid.functions.refs import parse_word_ref
-from tellgrid.functions.text import casefold, digits_to_subscripts, joined, normalize_p_id
+from tellgrid.functions.text import SUBSCRIPTS, joined, normalize_p_id
 from tellgrid.operators import filters, fts, groups, pattern
 from tellgrid.operators.dedup import first_wins
 from tellgrid.plans import lexicon
@@ -188,13 +188,11 @@ def first_best(entries: DataFrame) -> DataFrame:
 
 def signs_of(signs: DataFrame, query: str) -> DataFrame:
     """Signs by name, then by value (as typed or case folded), digits read as index digits; file order, each sign once."""
-    asked = signs.sparkSession.createDataFrame([(query.strip(),)], "q string")
-    asked = F.broadcast(asked.select(digits_to_subscripts(F.col("q")).alias("q")).withColumn("q_cf", casefold(F.col("q"))))
-    by_name = F.col("sign_name") == F.col("q")
-    by_value = F.coalesce(F.array_contains("values", F.col("q")) | F.array_contains("values", F.col("q_cf")), F.lit(False))
-    hits = signs.join(asked, by_name | by_value)
-    tagged = hits.withColumn("matched_by", F.when(by_name, "sign_name").otherwise("value"))
-    return first_wins(tagged, ["sign_name"], ["matched_by", "position"]).drop("q", "q_cf")
+    asked = query.strip().translate(str.maketrans("0123456789", SUBSCRIPTS))
+    by_name = F.col("sign_name") == asked
+    by_value = F.coalesce(F.array_contains("values", asked) | F.array_contains("values", asked.casefold()), F.lit(False))
+    tagged = signs.filter(by_name | by_value).withColumn("matched_by", F.when(by_name, "sign_name").otherwise("value"))
+    return first_wins(tagged, ["sign_name"], ["matched_by", "position"])
 
 
 def table_counts(corpus: Corpus) -> DataFrame:

@@ -283,8 +283,8 @@ def gap_report_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 def share_pct(spark: SparkSession, folder: str) -> DataFrame:
     counted = load(spark, folder, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    whole = load(spark, folder, "lineitem").agg(F.count(F.lit(1)).alias("all"))
-    return counted.join(F.broadcast(whole), F.col("all") >= F.col("n")).select("l_returnflag", "l_linestatus", "n", groups.share(F.col("n"), F.col("all")).alias("pct"))
+    whole = load(spark, folder, "lineitem").count()
+    return counted.select("l_returnflag", "l_linestatus", "n", groups.share(F.col("n"), F.lit(whole)).alias("pct"))
 
 
 def spelling_functions(spark: SparkSession, folder: str) -> DataFrame:
