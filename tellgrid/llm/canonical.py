@@ -83,8 +83,13 @@ class Entry:
         self.initials = "".join(w[0] for w in self.words) if len(self.words) + bool(self.numeral) > 1 else None
 
 
-def _radius(key: str, dated: bool) -> int:
-    return 0 if len(key) < 4 else (1 if len(key) < 6 else 2) + (dated and len(key) > 7)
+#: Edits that a name of four letters, of six, and of eight with a date range that fits may have.
+_EDITS = (1, 2, 3)
+
+
+def _radius(name: str, dated: bool) -> int:
+    """Edits within which a listed name is meant, by its length."""
+    return 0 if len(name) < 4 else _EDITS[0] if len(name) < 6 else _EDITS[2] if dated and len(name) > 7 else _EDITS[1]
 
 
 def _abbreviates(typed: str, word: str) -> bool:
@@ -129,7 +134,9 @@ class Matcher:
                         found[entry.id] = sum(near)
         if not found:
             strict = {w for w in plain if w in QUALIFIERS}
-            for distance, _, entry in self.tree.within(key, _radius(key, dated)):
+            for distance, own, entry in self.tree.within(key, max(_EDITS)):
+                if distance > _radius(own, dated):
+                    continue
                 if entry.numeral == numeral and strict <= set(entry.words) and not self._lacks(plain, entry):
                     found[entry.id] = min(distance, found.get(entry.id, 99))
         if not found and len(key) <= 4:

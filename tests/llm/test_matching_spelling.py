@@ -18,7 +18,7 @@ CASES = {
     "Neo-Tarsumic (ca. 2210-2095 BC)": 10, "Tarsumic, Neo": 10, "N. Tarsumic": 10, "NT": 10, "nEO-tARSUMIC": 10, "Neo-Tarsumic [ca. 2210-2095] ?": 10,
     "(2210-2095 BCE)": 10, "Neo-Tarsumic, c. 2210 to 2095 B.C.": 10, "probably Neo-Trsumic": 10, "Noe-Tarsumic": 10, "NeoTarsumic": 10, "Neo Tarsumic": 10,
     "Mbddle Tarsmic": 9, "Vosk - 3a": 6, "IIIa, Vosk": 6, "V IIIa": 6, "vosk 2": 5, "Period: Vosk I": 4, "Lagun. Šarru.": 24, "Lt. Hadrune": 2, "EH": 1, "PQ": 20,
-    "Qardite": 21, "Zamuan": 19, "MELURAN II": 11, "Meluran III": 0, "Meluran I": 0, "Vosk III": 0, "Vosk": 0, "Vosk II / Vosk IIIa": 0, "Old Tarsumic or Middle Tarsumic": 0,
+    "Qardite": 21, "Zamuan": 19, "Zeûan": 19, "Qadie": 21, "Muran II": 11, "MELURAN II": 11, "Meluran III": 0, "Meluran I": 0, "Vosk III": 0, "Vosk": 0, "Vosk II / Vosk IIIa": 0, "Old Tarsumic or Middle Tarsumic": 0,
     "Tarsumic": 0, "Late Tarsumic": 0, "Old Zamûan": 0, "Old Qadrite": 0, "Middle Hadrune": 0, "unknown": 0, "": 0, " ": 0, "-": 0, "clay": 0, "3 millennium BC": 0,
     "Old Tarsumic to Zamûan": 0, "Melur II": 0, "Neo-Tarsumic (ca. 2530-2385 BC)": 0, "x" * 5000: 0,
 }
