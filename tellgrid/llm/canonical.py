@@ -135,7 +135,8 @@ class Matcher:
         if not found:
             strict = {w for w in plain if w in QUALIFIERS}
             for distance, own, entry in self.tree.within(key, max(_EDITS)):
-                if distance > _radius(own, dated):
+                # a word that the listed one merely goes on from (a place, the people of it) is a word of its own
+                if distance > _radius(own, dated) or (own.startswith(key) and len(own) - len(key) > 1):
                     continue
                 if entry.numeral == numeral and strict <= set(entry.words) and not self._lacks(plain, entry):
                     found[entry.id] = min(distance, found.get(entry.id, 99))
