@@ -1,7 +1,8 @@
 """Building the corpus: sources to tables, tables to Parquet, with build metadata and a version gate.
 
-Tables are rebuilt as a whole (drop and write). Layout replaces secondary indexes: tables are sorted by their lookup key
-within files, so that row-group statistics prune, and the reference bridge is partitioned by a hash of its key.
+Tables are rebuilt as a whole (drop and write). Layout replaces secondary indexes: tables are split into ranges of their
+lookup key and sorted by it within files, so that file and row-group statistics prune. ``publish`` makes them tables of a
+catalog with statistics for the optimizer.
 """
 
 from __future__ import annotations
@@ -184,12 +185,23 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
     counts = {}
     for name, df in tables.items():
         rows = mirrored(name, df)
-        rows = rows.sortWithinPartitions(*SORTED[name]) if name in SORTED else rows
+        if name in SORTED:
+            # the whole key makes the ranges, so a hot first column is split like any other
+            rows = rows.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])
         rows.write.mode("overwrite").parquet(f"{folder}/{name}")
         counts[name] = df.sparkSession.read.parquet(f"{folder}/{name}").count()
     return counts
 
 
+def publish(spark: SparkSession, folder: str, names: list[str], database: str = "tellgrid") -> None:
+    """Tables over the written files in a catalog database, with table and column statistics."""
+    spark.sql(f"create database if not exists {database}")
+    for name in names:
+        spark.sql(f"drop table if exists {database}.{name}")
+        spark.catalog.createTable(f"{database}.{name}", path=f"{folder}/{name}", source="parquet")
+        spark.sql(f"analyze table {database}.{name} compute statistics for all columns")
+
+
 def _members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("zip_members").option("path", path).option("pattern", pattern).load()
 

@@ -4,6 +4,8 @@ import json
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tellgrid.plans import build
@@ -154,6 +156,31 @@ def test_signs(built):
     assert sorted((r.sign_name, r.matched_by) for r in signs_of(c["signs"], "ŠAR2").collect()) == [("LUGAL", "value"), ("ŠAR₂", "sign_name")]
 
 
+def test_publish(built, spark):
+    root, _ = built
+    build.publish(spark, str(root / "out"), ["entries", "instances"], "tellgrid_test")
+    assert spark.sql("select e.cf from tellgrid_test.entries e join tellgrid_test.instances i on i.xis = e.xis").count() == 2
+    stats = spark.sql("describe extended tellgrid_test.entries").filter("col_name = 'Statistics'").first()
+    assert "rows" in stats.data_type
+    spark.sql("drop database tellgrid_test cascade")
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x), max_leaves=12), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_json_stream_any_value(value, step):
+    class Drip:
+        def __init__(self, text):
+            self.text, self.at = text, 0
+
+        def read(self, _):
+            self.at += step
+            return self.text[self.at - step : self.at]
+
+    document = json.dumps({"before": value, "items": [value, value], "pairs": {"k": value}})
+    assert [v for _, v in JsonStream(Drip(document)).field("items", False)] == [value, value]
+    assert list(JsonStream(Drip(document)).field("pairs", True)) == [("k", value)]
+
+
 def test_json_stream_small_steps():
     class Drip:
         def __init__(self, text):
