@@ -113,6 +113,14 @@ class Matcher:
             if e.years:
                 self.years.setdefault(e.years, set()).add(e.id)
         self.tree = BKTree((e.key, e) for e in self.entries)
+        # abbreviated names are looked for among the entries with as many words and the same numeral, initials by themselves
+        self.shapes: dict[tuple, list[Entry]] = {}
+        self.initials: dict[tuple, list[Entry]] = {}
+        for e in self.entries:
+            for place, word in enumerate(e.words):
+                self.shapes.setdefault((len(e.words), e.numeral, place, word[0]), []).append(e)
+            if e.initials:
+                self.initials.setdefault((e.initials, e.numeral), []).append(e)
 
     def names(self, text: str, dated: bool) -> dict[int, int]:
         """Entries that a single name may mean, with their distance."""
@@ -126,12 +134,12 @@ class Matcher:
         plain = [w.rstrip(".") for w in rest]
         key = "".join(plain)
         found: dict[int, int] = {}
-        if any(w.endswith(".") for w in rest):
-            for entry in self.entries:
-                if entry.numeral == numeral and len(entry.words) == len(rest):
-                    near = [0 if t.endswith(".") and _abbreviates(t, w) else edit_distance(t.rstrip("."), w) for t, w in zip(rest, entry.words)]
-                    if all(d <= _radius(w, False) for d, w in zip(near, entry.words)):
-                        found[entry.id] = sum(near)
+        dotted = next((i for i, w in enumerate(rest) if w.endswith(".")), None)
+        if dotted is not None:
+            for entry in self.shapes.get((len(rest), numeral, dotted, rest[dotted][0]), ()):
+                near = [0 if t.endswith(".") and _abbreviates(t, w) else edit_distance(t.rstrip("."), w) for t, w in zip(rest, entry.words)]
+                if all(d <= _radius(w, False) for d, w in zip(near, entry.words)):
+                    found[entry.id] = sum(near)
         if not found:
             strict = {w for w in plain if w in QUALIFIERS}
             for distance, own, entry in self.tree.within(key, max(_EDITS)):
@@ -141,9 +149,8 @@ class Matcher:
                 if entry.numeral == numeral and strict <= set(entry.words) and not self._lacks(plain, entry):
                     found[entry.id] = min(distance, found.get(entry.id, 99))
         if not found and len(key) <= 4:
-            for entry in self.entries:
-                if entry.initials == key and entry.numeral == numeral:
-                    found[entry.id] = 0
+            for entry in self.initials.get((key, numeral), ()):
+                found[entry.id] = 0
         return found
 
     @staticmethod
