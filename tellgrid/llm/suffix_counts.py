@@ -41,6 +41,7 @@ def suffixes_of_rows(df: DataFrame, record: list[str], term: str, position: str
     """suffix, fresh, weight for a table with one term per row.
 
     With ``longest`` 1 no record is ever gathered: equal (record, term) rows are summed, and the sum is one fresh suffix.
+    Longer runs need the order within a record, which a window sorts (it spills, but one record is one task).
     """
     rows = df.filter(F.col(term).isNotNull() & (F.col(term) != ""))
     if longest == 1:
