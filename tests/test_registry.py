@@ -48,5 +48,5 @@ def test_query(spark, duck, name):
 def test_entry_without_llm(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns
+    assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries())
