@@ -10,9 +10,12 @@ stands, then the next that does not contradict it, so order is free. A sentence
 merges); a clause that says what is left of a neighbour's line is a second link of that line (a split); what remains may
 take the place its linked neighbours leave open. Pairs below the thresholds stay unlinked (omissions and additions).
 
+Linking goes over the text twice: first each clause with the lines up to ``REACH`` places from where it is expected, then
+the clauses without a firm link with the lines without one, however far apart in the text. The second pass finds its pairs
+by the rarest words of a clause: as many of them as a pair of sufficient score cannot do without, so none is missed.
+
 A sentence ends with . ! or ? before white space or the end. Where a paragraph stands in the document comes from its line
-range, else from the lines that name it, else from its neighbours, and only guides the search: a clause is compared with
-the lines up to ``REACH`` places from where it is expected. Sentences that recur word for word in very many documents are
+range, else from the lines that name it, else from its neighbours, and only guides the search. Sentences that recur word for word in very many documents are
 remarks, not translations.
 
 Defined results
@@ -39,8 +42,10 @@ from tellgrid.session import cut, ship, width
 ROUNDS, NEAR, KEPT_FIRST, KEPT = 4, 2.5, 0.004, 0.01
 #: A word in more than this share of all clauses, and in more than so many, is no translation of anything.
 COMMON_SHARE, COMMON_LEAST = 0.15, 25
-#: Places of a segment, and how far from its expected place a clause is compared.
+#: Places of a segment, and how far from its expected place a clause is compared in the first pass.
 SEGMENT, REACH = 64, 8
+#: Least quality of a pair that stands far from where it is expected.
+FAR_QUALITY = 0.7
 #: Clauses a group holds at most, on average.
 GROUP = 4000
 #: A sentence is a remark if it stands in at least this share of all sentences' documents, and in at least so many.
@@ -219,8 +224,8 @@ class _Linker:
                 total += value
         return total, {-b for b in right}
 
-    def link(self, clauses: list, lines: list) -> dict[int, int]:
-        """Clause to line; several clauses may share a line."""
+    def link(self, clauses: list, lines: list) -> tuple[dict[int, int], set[int]]:
+        """Clause to line, and the clauses whose link is firm (by its words); several clauses may share a line."""
         content = [[e for e in c[4] if self.idf(e) > 0] for c in clauses]
         said = [sum(map(self.idf, c)) for c in content]
         weight = [[self.weights.get(f, 5.0) for f in x[4]] for x in lines]
@@ -239,7 +244,7 @@ class _Linker:
                 far = max(0.0, abs(x[0] - c[0]) - 0.5)
                 covered = total / said[j]
                 quality = math.sqrt(covered * min(1.0, total / whole[i])) if whole[i] else 0.0
-                if quality >= (0.5 if far < 3 else 0.7) or (covered >= 0.8 and far < 3 and total > 1):
+                if quality >= (0.5 if far < 3 else FAR_QUALITY) or (covered >= 0.8 and far < 3 and total > 1):
                     pairs.append((-total * math.exp(-far / 6) * (0.5 + quality), far, j, i))
         pairs.sort()
         link: dict[int, int] = {}
@@ -264,6 +269,7 @@ class _Linker:
                         best = gain, i
             if best:
                 link[j] = best[1]
+        firm = set(link)
         for j in range(len(clauses)):  # places left open between linked neighbours
             if j in link or not said[j]:
                 continue
@@ -285,7 +291,7 @@ class _Linker:
                 i = -max(open_lines)[2]
                 link[j] = i
                 taken[i] = set()
-        return link
+        return link, firm
 
 
 def _pair(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
@@ -295,10 +301,79 @@ def _pair(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
     linker = _Linker(table, words, share)
     out = []
     for (text, _), (clauses, lines) in _Group(rows).segments.items():
-        for j, i in linker.link(clauses, lines).items():
+        link, firm = linker.link(clauses, lines)
+        for j, i in link.items():
             if clauses[j][3]:
-                out.append((text, lines[i][1], clauses[j][1]))
-    return pd.DataFrame(out, columns=["text", "line", "sentence"], dtype=object)
+                out.append((text, lines[i][1], clauses[j][1], clauses[j][2], j in firm))
+    return pd.DataFrame(out, columns=["text", "line", "sentence", "sub", "firm"]).astype({"text": object, "line": object, "sentence": object, "sub": "int32", "firm": bool})
+
+
+def _far_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Competitive linking of the candidates of the second pass within one text."""
+    pairs, scored = [], {}
+    for k, sentence, sub, line, far, said, weights, hits in zip(*(rows[c] for c in ("k", "sentence", "sub", "line", "far", "said", "weights", "hits"))):
+        left, used, total = set(), set(), 0.0
+        for hit in sorted(hits, key=lambda h: (-h["value"], h["a"], h["b"])):
+            if hit["a"] not in left and hit["b"] not in used:
+                left.add(hit["a"])
+                used.add(hit["b"])
+                total += hit["value"]
+        covered, whole = total / said, float(sum(weights))
+        quality = math.sqrt(covered * min(1.0, total / whole)) if whole else 0.0
+        scored[k, line] = total, covered, used, weights, sentence, sub
+        if quality >= FAR_QUALITY:
+            pairs.append((-total * (0.5 + quality), far, k, line))
+    link, taken = {}, {}
+    for _, _, k, line in sorted(pairs):
+        if k not in link and line not in taken:
+            link[k] = line
+            taken[line] = scored[k, line][2]
+    direct = dict(link)
+    for k in sorted({k for k, _ in scored} - set(direct)):  # splits, as in the first pass
+        best = None
+        for n in (k - 1, k + 1, k - 2, k + 2, k - 3, k + 3, k - 4, k + 4):
+            if n in direct and (k, direct[n]) in scored:
+                _, covered, used, weights, *_ = scored[k, direct[n]]
+                gain, beside = sum(weights[b] for b in used - taken[direct[n]]), abs(n - k) == 1
+                fits = (gain > 1.5 and covered >= (0.6 if beside else 0.75)) or (beside and covered >= 0.8)
+                if fits and (best is None or gain > best[0]):
+                    best = gain, direct[n]
+        if best:
+            link[k] = best[1]
+    out = [(rows["text"].iloc[0], line, *scored[k, line][4:]) for k, line in link.items()]
+    return pd.DataFrame(out, columns=["text", "line", "sentence", "sub"]).astype({"text": object, "line": object, "sentence": object, "sub": "int32"})
+
+
+def _second_pass(held: DataFrame, firm: DataFrame, useful: DataFrame, stats: DataFrame) -> DataFrame:
+    """text, line, sentence, sub of the clauses and lines without a firm link that pair by their words anywhere in their text."""
+    clause, core = ["text", "sentence", "sub"], held.filter("core")
+    order = Window.partitionBy("text").orderBy("place", "sentence", "sub")
+    clauses = core.filter("kind = 'clause'").select("text", F.col("id").alias("sentence"), "sub", "place", "tokens").withColumn("k", F.row_number().over(order))
+    clauses = clauses.join(firm.select(*clause).distinct(), clause, "left_anti")
+    lines = core.filter("kind = 'line'").select("text", F.col("id").alias("line"), F.col("place").alias("at"), "tokens")
+    lines = lines.join(firm.select("text", "line").distinct(), ["text", "line"], "left_anti")
+
+    known = useful.join(stats.select("e", "share"), "e").withColumn("s", 1 - 3 * F.col("share") / F.col("p")).filter("s > 0.2")
+    telling = known.filter("not isnan(idf)")
+    weights = telling.groupBy("f").agg((F.sum(F.col("p") * F.col("idf")) / F.sum("p")).alias("weight"))
+    words = lines.select("text", "line", F.posexplode("tokens").alias("b", "f"))
+    whole = words.join(weights, "f", "left").groupBy("text", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.coalesce("weight", F.lit(5.0)).alias("w")))), lambda x: x["w"]).alias("weights"))
+    # a source word has at most 1 / 0.03 words of this probability
+    rendered = words.join(telling.filter("f <> e").select("f", "e", "s"), "f").select("text", "line", "b", "e", "s").unionByName(words.select("text", "line", "b", F.col("f").alias("e"), F.lit(1.0).alias("s")))
+
+    content = clauses.select(*clause, F.posexplode("tokens").alias("a", "e")).join(stats.filter("not isnan(idf) and idf > 0").select("e", "idf"), "e")
+    inside = Window.partitionBy(*clause)
+    # quality q asks for a covered share of q * q; what the commoner words hold together may fall short of it
+    rest = F.sum("idf").over(inside.orderBy("idf", "a").rowsBetween(Window.unboundedPreceding, 0))
+    content = cut(content.withColumn("said", F.sum("idf").over(inside)).withColumn("rare", rest >= (FAR_QUALITY**2 - 1e-9) * F.col("said")))
+    candidates = content.filter("rare").select(*clause, "e").join(rendered.select("text", "line", "e"), ["text", "e"]).select(*clause, "line").distinct()
+    hits = content.join(candidates, clause).join(rendered, ["text", "line", "e"]).withColumn("value", F.col("s") * F.col("idf"))
+    pairs = hits.groupBy(*clause, "line").agg(F.max("said").alias("said"), F.collect_list(F.struct("value", "a", "b")).alias("hits"))
+    # one-to-one or not, a word of the clause counts with its best match at most
+    best = F.aggregate("hits", F.lit(0.0), lambda total, h: total + h["value"])
+    pairs = pairs.filter(best >= (FAR_QUALITY**2 - 1e-9) * F.col("said")).join(clauses.select(*clause, "k", "place"), clause).join(lines.select("text", "line", "at"), ["text", "line"]).join(whole, ["text", "line"])
+    pairs = pairs.withColumn("far", F.abs(F.col("at") - F.col("place"))).select(*clause, "k", "line", "far", "said", "weights", "hits")
+    return pairs.groupBy("text").applyInPandas(_far_links, "text string, line string, sentence string, sub int")
 
 
 def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -363,6 +438,11 @@ def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: in
     stats = cut(stats)
     useful = table.filter("f <> '' and p > 0.03 and c >= 2").join(stats.select("e", "idf"), "e")
     final = slices(useful, stats)
-    pairs = by_group.cogroup(final.groupBy("grp")).applyInPandas(_pair, "text string, line string, sentence string")
+    near = cut(by_group.cogroup(final.groupBy("grp")).applyInPandas(_pair, "text string, line string, sentence string, sub int, firm boolean"))
+    firm = near.filter("firm").drop("firm")
+    far = cut(_second_pass(held, firm, useful, stats))
+    # a place that was only left open gives way to what the words say
+    loose = near.filter("not firm").drop("firm").join(far, ["text", "sentence", "sub"], "left_anti").join(far, ["text", "line"], "left_anti")
+    pairs = firm.unionByName(far).unionByName(loose.select("text", "line", "sentence", "sub"))
     parts = F.split("sentence", "\u0001")
     return pairs.select("text", "line", parts[0].alias("para"), parts[1].cast("int").alias("sent")).distinct()
