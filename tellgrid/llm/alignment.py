@@ -15,8 +15,8 @@ the clauses without a firm link with the lines without one, however far apart in
 by the rarest words of a clause: as many of them as a pair of sufficient score cannot do without, so none is missed.
 
 A sentence ends with . ! or ? before white space or the end. Where a paragraph stands in the document comes from its line
-range, else from the lines that name it, else from its neighbours, and only guides the search. Sentences that recur word for word in very many documents are
-remarks, not translations.
+range, else from the lines that name it, else from its neighbours, and only guides the search. A
+sentence may recur in any number of documents: a remark stays unlinked because no line accounts for its words.
 
 Defined results
 ---------------
@@ -48,10 +48,10 @@ SEGMENT, REACH = 64, 8
 FAR_QUALITY = 0.7
 #: Clauses a group holds at most, on average.
 GROUP = 4000
-#: A sentence is a remark if it stands in at least this share of all sentences' documents, and in at least so many.
-REMARK_SHARE, REMARK_LEAST = 0.0015, 3
 #: A word says something if one source word accounts for at least this share of its uses; others (people, someone, it) do not.
 CONCENTRATION = 0.1
+#: A line translates a clause only if it accounts for this share of all its words, telling or not, by their rarity (fixed value).
+LEAST_SHARE = 0.2
 
 _SENTENCE_END = r"(?<=[.!?])\s+"
 _CLAUSE = r";\s+|,\s+(?:while|and)\s+"
@@ -108,14 +108,9 @@ def _spans(paragraphs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _clauses(paragraphs: DataFrame, spans: DataFrame) -> DataFrame:
-    """text, para, sent, sub, place, tokens of every clause that is no remark."""
+    """text, para, sent, sub, place, tokens of every clause."""
     sentences = paragraphs.select("text", "para", F.posexplode(F.filter(F.split(F.trim("translation"), _SENTENCE_END), lambda s: s != "")).alias("i", "sentence"))
-    wanted = max(REMARK_LEAST, math.ceil(REMARK_SHARE * sentences.count()))
-    common = sentences.groupBy("sentence").agg(F.countDistinct("text").alias("in_texts"))
-    remarks = common.filter(F.col("in_texts") >= wanted).select(F.col("sentence").alias("remark"))
-    # sentences in so large a share of documents are few: broadcast
-    told = sentences.join(F.broadcast(remarks), F.col("sentence") == F.col("remark"), "left_anti")
-    clauses = told.select("text", "para", (F.col("i") + 1).alias("sent"), F.posexplode(F.split("sentence", _CLAUSE)).alias("sub", "clause"))
+    clauses = sentences.select("text", "para", (F.col("i") + 1).alias("sent"), F.posexplode(F.split("sentence", _CLAUSE)).alias("sub", "clause"))
     inside = Window.partitionBy("text", "para")
     ordered = clauses.withColumn("k", F.row_number().over(inside.orderBy("sent", "sub"))).withColumn("n", F.count(F.lit(1)).over(inside))
     placed = ordered.join(spans, ["text", "para"])
@@ -207,6 +202,10 @@ class _Linker:
         value = self.words.get(e, (0, float("nan")))[1]
         return value if value == value else 0.0
 
+    def rarity(self, e: str) -> float:
+        """Of any word, whether it says something or not."""
+        return self.words.get(e, (0.0,))[0]
+
     def overlap(self, words: list[str], own: list[str]) -> tuple[float, set[int]]:
         """Weight of the one-to-one matches of clause words with source words, and which source words are used."""
         hits = []
@@ -228,6 +227,7 @@ class _Linker:
         """Clause to line, and the clauses whose link is firm (by its words); several clauses may share a line."""
         content = [[e for e in c[4] if self.idf(e) > 0] for c in clauses]
         said = [sum(map(self.idf, c)) for c in content]
+        least = [LEAST_SHARE * sum(map(self.rarity, c[4])) for c in clauses]
         weight = [[self.weights.get(f, 5.0) for f in x[4]] for x in lines]
         whole = [sum(w) for w in weight]
         pairs, overlaps = [], {}
@@ -238,7 +238,7 @@ class _Linker:
                 if abs(x[0] - c[0]) > REACH + 0.5:
                     continue
                 total, used = self.overlap(content[j], x[4])
-                if not total:
+                if not total or total < least[j]:
                     continue
                 overlaps[j, i] = total, used
                 far = max(0.0, abs(x[0] - c[0]) - 0.5)
@@ -311,13 +311,15 @@ def _pair(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
 def _far_links(rows: pd.DataFrame) -> pd.DataFrame:
     """Competitive linking of the candidates of the second pass within one text."""
     pairs, scored = [], {}
-    for k, sentence, sub, line, far, said, weights, hits in zip(*(rows[c] for c in ("k", "sentence", "sub", "line", "far", "said", "weights", "hits"))):
+    for k, sentence, sub, line, far, said, least, weights, hits in zip(*(rows[c] for c in ("k", "sentence", "sub", "line", "far", "said", "least", "weights", "hits"))):
         left, used, total = set(), set(), 0.0
         for hit in sorted(hits, key=lambda h: (-h["value"], h["a"], h["b"])):
             if hit["a"] not in left and hit["b"] not in used:
                 left.add(hit["a"])
                 used.add(hit["b"])
                 total += hit["value"]
+        if total < least:
+            continue
         covered, whole = total / said, float(sum(weights))
         quality = math.sqrt(covered * min(1.0, total / whole)) if whole else 0.0
         scored[k, line] = total, covered, used, weights, sentence, sub
@@ -365,14 +367,16 @@ def _second_pass(held: DataFrame, firm: DataFrame, useful: DataFrame, stats: Dat
     inside = Window.partitionBy(*clause)
     # quality q asks for a covered share of q * q; what the commoner words hold together may fall short of it
     rest = F.sum("idf").over(inside.orderBy("idf", "a").rowsBetween(Window.unboundedPreceding, 0))
+    every = clauses.select(*clause, F.explode("tokens").alias("e")).join(stats.select("e", F.col("p").alias("rarity")), "e")
+    least = every.groupBy(*clause).agg((LEAST_SHARE * F.sum("rarity")).alias("least"))
     content = cut(content.withColumn("said", F.sum("idf").over(inside)).withColumn("rare", rest >= (FAR_QUALITY**2 - 1e-9) * F.col("said")))
     candidates = content.filter("rare").select(*clause, "e").join(rendered.select("text", "line", "e"), ["text", "e"]).select(*clause, "line").distinct()
     hits = content.join(candidates, clause).join(rendered, ["text", "line", "e"]).withColumn("value", F.col("s") * F.col("idf"))
     pairs = hits.groupBy(*clause, "line").agg(F.max("said").alias("said"), F.collect_list(F.struct("value", "a", "b")).alias("hits"))
     # one-to-one or not, a word of the clause counts with its best match at most
     best = F.aggregate("hits", F.lit(0.0), lambda total, h: total + h["value"])
-    pairs = pairs.filter(best >= (FAR_QUALITY**2 - 1e-9) * F.col("said")).join(clauses.select(*clause, "k", "place"), clause).join(lines.select("text", "line", "at"), ["text", "line"]).join(whole, ["text", "line"])
-    pairs = pairs.withColumn("far", F.abs(F.col("at") - F.col("place"))).select(*clause, "k", "line", "far", "said", "weights", "hits")
+    pairs = pairs.filter(best >= (FAR_QUALITY**2 - 1e-9) * F.col("said")).join(clauses.select(*clause, "k", "place"), clause).join(least, clause).join(lines.select("text", "line", "at"), ["text", "line"]).join(whole, ["text", "line"])
+    pairs = pairs.withColumn("far", F.abs(F.col("at") - F.col("place"))).select(*clause, "k", "line", "far", "said", "least", "weights", "hits")
     return pairs.groupBy("text").applyInPandas(_far_links, "text string, line string, sentence string, sub int")
 
 
@@ -433,8 +437,10 @@ def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: in
     sentences = held.filter("kind = 'clause' and core").select("text", "id").distinct().count()
     strongest = table.filter("f <> ''").groupBy("e").agg(F.max("c").alias("most"))
     used = said.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text", "id").alias("in"))
-    idf = F.when(F.col("most") >= CONCENTRATION * F.col("n"), F.log(F.lit(float(max(1, sentences))) / F.col("in")))
-    stats = used.join(strongest, "e", "left").select("e", F.lit(0.0).alias("p"), F.coalesce(idf, F.lit(float("nan"))).alias("idf"), (F.col("n") / max(1, total)).alias("share"))
+    rarity = F.log(F.lit(float(max(1, sentences))) / F.col("in"))
+    idf = F.when(F.col("most") >= CONCENTRATION * F.col("n"), rarity)
+    # linking has no use for the empty word's p: the rarity of every word, telling or not, stands in its place
+    stats = used.join(strongest, "e", "left").select("e", rarity.alias("p"), F.coalesce(idf, F.lit(float("nan"))).alias("idf"), (F.col("n") / max(1, total)).alias("share"))
     stats = cut(stats)
     useful = table.filter("f <> '' and p > 0.03 and c >= 2").join(stats.select("e", "idf"), "e")
     final = slices(useful, stats)

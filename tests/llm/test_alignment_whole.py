@@ -20,3 +20,19 @@ def test_far_from_its_place(spark):
     found = {r for r in aligned(spark, lines, words, paragraphs) if r[0] == "far"}
     wanted = {("far", f"f{34 + i}", "far.p1", 1 + i) for i in range(6)}
     assert len(found & wanted) >= 5
+
+
+def test_frequent_sentences(spark):
+    """A refrain translated in every text is paired in every text; a remark that stands in as many is paired with nothing."""
+    lines, words, paragraphs, _ = bilingual(40, seed=4)
+    wanted, numbers = set(), {}
+    for n, (text, para, where, said) in enumerate(paragraphs):
+        last = max(place for t, _, place, _, _ in lines if t == text)
+        lines.append((text, "refrain", last + 1, str(last + 1), para))
+        words += [(text, "refrain", i, f"{g}x", f"{g}x", g) for i, g in enumerate(("shepherd", "garden", "praise"))]
+        paragraphs[n] = (text, para, f"1-{last + 1}" if where else "", said + " The shepherd praised the garden.")
+        wanted.add((text, "refrain", para, said.count(".") + 1))
+        numbers[text] = [i for i, s in enumerate(said.split(". "), 1) if s.strip(".").lower() == "two lines are lost"]
+    found = aligned(spark, lines, words, paragraphs)
+    assert len(found & wanted) >= 38
+    assert sum(sent in numbers[text] for text, _, _, sent in found) <= 2
