@@ -15,8 +15,8 @@ the clauses without a firm link with the lines without one, however far apart in
 by the rarest words of a clause: as many of them as a pair of sufficient score cannot do without, so none is missed.
 
 A sentence ends with . ! or ? before white space or the end. Where a paragraph stands in the document comes from its line
-range, else from the lines that name it, else from its neighbours, and only guides the search. A
-sentence may recur in any number of documents: a remark stays unlinked because no line accounts for its words.
+range, else from the lines that name it, else from its neighbours, else from its order in the text, and only guides the
+search. A sentence may recur in any number of documents: a remark stays unlinked because no line accounts for its words.
 
 Defined results
 ---------------
@@ -77,7 +77,7 @@ def source_tokens(words: DataFrame, text: str, line: str, position: str, lemma:
 
 
 def _spans(paragraphs: DataFrame, lines: DataFrame) -> DataFrame:
-    """text, para, number, first, last place of every paragraph that can be placed."""
+    """text, para, first, last place of every paragraph of a text with lines."""
     labels = lines.filter("label is not null").groupBy(F.col("text").alias("lt"), F.col("label").alias("ll")).agg(F.min("place").alias("at"))
     ends = paragraphs.select(
         "text", "para", F.regexp_extract("range", r"^\s*(\S+?)\s*-\s*(\S+)\s*$", 1).alias("a"), F.regexp_extract("range", r"^\s*(\S+?)\s*-\s*(\S+)\s*$", 2).alias("b")
@@ -104,7 +104,22 @@ def _spans(paragraphs: DataFrame, lines: DataFrame) -> DataFrame:
         "text", "para", F.coalesce("left", F.col("right") - 3).alias("first"), F.greatest(F.coalesce("right", F.col("left") + 3), F.coalesce("left", F.col("right") - 3)).alias("last")
     )
     found = placed.filter("first is not null").select("text", "para", "first", "last").unionByName(guessed.filter("first is not null"))
-    return found.groupBy("text", "para").agg(F.min("first").cast("double").alias("first"), F.max("last").cast("double").alias("last"))
+    found = found.groupBy("text", "para").agg(F.min("first").cast("double").alias("first"), F.max("last").cast("double").alias("last"))
+    # the others share what lies between the placed ones before and after them (or the ends of the text), by their length
+    whole = lines.filter("place is not null").groupBy("text").agg(F.min("place").cast("double").alias("low"), F.max("place").cast("double").alias("high"))
+    size = F.max(F.length(F.coalesce("translation", F.lit(""))) + 1).cast("double").alias("size")
+    every = paragraphs.groupBy("text", "para").agg(size).withColumn("number", number).join(found, ["text", "para"], "left").join(whole, "text")
+    order = Window.partitionBy("text").orderBy(F.col("number").asc_nulls_last(), "para")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    every = every.withColumn("from", F.coalesce(F.max("last").over(before) + 1, "low")).withColumn("to", F.coalesce(F.min("first").over(after) - 1, "high"))
+    every = every.withColumn("to", F.greatest("from", "to")).withColumn("gap", F.count("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    gap = Window.partitionBy("text", "gap", F.col("first").isNull())
+    end = F.sum("size").over(gap.orderBy(F.col("number").asc_nulls_last(), "para").rowsBetween(Window.unboundedPreceding, 0))
+    every = every.withColumn("end", end / F.sum("size").over(gap)).withColumn("part", F.col("size") / F.sum("size").over(gap))
+    room = F.col("to") - F.col("from") + 1
+    begin = F.col("from") + (F.col("end") - F.col("part")) * room
+    return every.select("text", "para", F.coalesce("first", begin).alias("first"), F.coalesce("last", begin + F.col("part") * room - 1).alias("last"))
 
 
 def _clauses(paragraphs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -36,3 +36,15 @@ def test_frequent_sentences(spark):
     found = aligned(spark, lines, words, paragraphs)
     assert len(found & wanted) >= 38
     assert sum(sent in numbers[text] for text, _, _, sent in found) <= 2
+
+
+def test_paragraphs_without_a_place(spark):
+    """Texts whose ranges are empty, whose lines name no paragraph and whose paragraphs have no number are paired too."""
+    lines, words, paragraphs, truth = bilingual(40, seed=6)
+    bare = {f"t{t}" for t in range(20)}
+    lines = [(*line[:4], None) if line[0] in bare else line for line in lines]
+    paragraphs = [(t, "main", "", said) if t in bare else (t, para, where, said) for t, para, where, said in paragraphs]
+    wanted = {(t, line, "main", sent) for t, line, _, sent in truth if t in bare}
+    found = {r for r in aligned(spark, lines, words, paragraphs) if r[0] in bare}
+    right = len(found & wanted)
+    assert right / len(wanted) > 0.85 and right / len(found) > 0.9
