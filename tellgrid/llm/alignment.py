@@ -37,11 +37,9 @@ from pyspark.sql.window import Window
 
 from tellgrid.session import cut, ship, width
 
-#: Rounds of expectation-maximization, how far a line may be from a clause to be its candidate in them, and the least
-#: probability that a pair of words keeps in the first table and in later ones.
-ROUNDS, NEAR, KEPT_FIRST, KEPT = 4, 2.5, 0.004, 0.01
-#: A word in more than this share of all clauses, and in more than so many, is no translation of anything.
-COMMON_SHARE, COMMON_LEAST = 0.15, 25
+#: Rounds of expectation-maximization, how far before and after a clause a line may be to be its candidate in them, and the
+#: least probability that a pair of words keeps.
+ROUNDS, BEFORE, AFTER, KEPT = 5, 4, 5, 1e-4
 #: Places of a segment, and how far from its expected place a clause is compared in the first pass.
 SEGMENT, REACH = 64, 8
 #: Least quality of a pair that stands far from where it is expected.
@@ -175,7 +173,7 @@ def _expect(first: bool):
             for place, _, _, core, tokens in clauses:
                 if not core:
                     continue
-                near = [(math.exp(-abs(at - place) / 1.5), set(own)) for at, _, _, _, own in lines if own and abs(at - place) <= NEAR]
+                near = [(math.exp(-abs(at - place) / 1.5), set(own)) for at, _, _, _, own in lines if own and -BEFORE <= at - place <= AFTER]
                 if not near:
                     continue
                 for e in set(tokens):
@@ -406,10 +404,6 @@ def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: in
     lines, paragraphs = lines.distinct(), paragraphs.distinct()
     clauses = cut(_clauses(paragraphs, _spans(paragraphs, lines)))
     count = clauses.count()
-    # a clause has few words, so words in so large a share of the clauses are few: their number is bounded by the share
-    within = clauses.select(F.explode(F.array_distinct("tokens")).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    common = [row["e"] for row in within.filter(F.col("n") > max(COMMON_LEAST, COMMON_SHARE * count)).collect()]
-    clauses = clauses.withColumn("tokens", F.filter("tokens", lambda w: ~w.isin(common))) if common else clauses
     placed = lines.filter("place is not null").groupBy("text", "line").agg(F.min("place").cast("double").alias("place"))
     source = placed.join(tokens, ["text", "line"]).join(paragraphs.select("text").distinct(), "text", "left_semi")
     as_rows = [F.col("text"), F.col("seg"), F.col("core")]
@@ -445,7 +439,7 @@ def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: in
             expected = by_group.cogroup(given.groupBy("grp")).applyInPandas(_expect(False), counts_schema)
         summed = expected.groupBy("f", "e").agg(F.sum("c").alias("c"))
         whole = summed.groupBy(F.col("f").alias("g")).agg(F.sum("c").alias("z"))
-        table = cut(summed.join(whole, F.col("f") == F.col("g")).select("f", "e", (F.col("c") / F.col("z")).alias("p"), "c").filter(F.col("p") > (KEPT if turn else KEPT_FIRST)))
+        table = cut(summed.join(whole, F.col("f") == F.col("g")).select("f", "e", (F.col("c") / F.col("z")).alias("p"), "c").filter(F.col("p") > KEPT))
 
     said = held.filter("kind = 'clause' and core").select("text", "id", F.explode("tokens").alias("e"))
     total = said.count()

@@ -3,6 +3,9 @@
 import random
 from itertools import combinations
 
+import pandas as pd
+
+from tellgrid.llm import alignment
 from tests.llm.test_alignment_stuffing import aligned, bilingual
 
 
@@ -48,3 +51,11 @@ def test_paragraphs_without_a_place(spark):
     found = {r for r in aligned(spark, lines, words, paragraphs) if r[0] in bare}
     right = len(found & wanted)
     assert right / len(wanted) > 0.85 and right / len(found) > 0.9
+
+
+def test_candidates_of_estimation():
+    """A line four places before or five after a clause is a candidate in expectation-maximization."""
+    rows = [("t", 0, "clause", "p\u00011", 0, 10.0, True, ["king"]), ("t", 0, "line", "a", 0, 6.0, True, ["ruler"]), ("t", 0, "line", "b", 0, 15.0, True, ["lord"])]
+    held = pd.DataFrame(rows, columns=["text", "seg", "kind", "id", "sub", "place", "core", "tokens"])
+    counts = alignment._expect(True)(held, pd.DataFrame(columns=["f", "e", "p", "c", "idf"]))
+    assert {"ruler", "lord"} <= set(counts["f"])
