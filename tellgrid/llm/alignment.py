@@ -3,16 +3,20 @@
 Translation tables are estimated by distributed expectation-maximization (a word-to-word model with an empty word): the
 texts are cut into segments of bounded length, segments are spread over groups, and in every round each group gets the
 segments it holds and just the rows of the table for their words, sums the expected counts, and the sums of all groups
-give the next table. Neither the corpus nor the table is ever in one place.
+give the next table. Words travel as 64-bit hashes, a source word's row as packed arrays, and the expectation is array
+arithmetic; neither the corpus nor the table is ever in one place.
 
 With the final table competitive linking pairs spans: the strongest compatible pair is accepted first, wherever it
 stands, then the next that does not contradict it, so order is free. A sentence is read in its clauses (which undoes
-merges); a clause that says what is left of a neighbour's line is a second link of that line (a split); what remains may
-take the place its linked neighbours leave open. Pairs below the thresholds stay unlinked (omissions and additions).
+merges); a clause that says what is left of a neighbour's line is a second link of that line (a split); what remains
+competes once more, with less to show, for the lines its linked neighbours leave open. Pairs below the thresholds stay
+unlinked (omissions and additions).
 
 Linking goes over the text twice: first each clause with the lines up to ``REACH`` places from where it is expected, then
 the clauses without a firm link with the lines without one, however far apart in the text. The second pass finds its pairs
-by the rarest words of a clause: as many of them as a pair of sufficient score cannot do without, so none is missed.
+by the rarest words of a clause: as many of them as a pair of sufficient score cannot do without, so none is missed. It
+competes by rounds of pairs that are the best of both their clause and their line, which gives what accepting the best
+pair first gives, without a text in one task.
 
 A sentence ends with . ! or ? before white space or the end. Where a paragraph stands in the document comes from its line
 range, else from the lines that name it, else from its neighbours, else from its order in the text, and only guides the
@@ -22,15 +26,17 @@ Defined results
 ---------------
 * null or empty translations and lines without words give no pairs; a word without a gloss counts under its own form;
 * repeated rows count once; empty tables give no rows; a line or paragraph of another document is never paired;
+* a word said any number of times in a line counts so often, though the line travels as its distinct words;
 * nothing depends on the order of rows; ties go to the nearer, then the earlier clause and line.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,24 +46,32 @@ from tellgrid.session import cut, ship, width
 #: Rounds of expectation-maximization, how far before and after a clause a line may be to be its candidate in them, and the
 #: least probability that a pair of words keeps.
 ROUNDS, BEFORE, AFTER, KEPT = 5, 4, 5, 1e-4
+#: Share of a word's expectation below which a pair of words gets nothing of it.
+LEAST_EXPECTED = 1e-3
 #: Places of a segment, and how far from its expected place a clause is compared in the first pass.
-SEGMENT, REACH = 64, 8
+SEGMENT, REACH = 256, 8
 #: Least quality of a pair that stands far from where it is expected.
 FAR_QUALITY = 0.7
-#: Clauses a group holds at most, on average.
-GROUP = 4000
+#: Clauses a group holds, on average.
+GROUP = 16_000
+#: Cells up to which a group keeps its pairs of words in a dense array, and word pairs worked on at once.
+DENSE, CHUNK = 1 << 23, 1 << 21
 #: A word says something if one source word accounts for at least this share of its uses; others (people, someone, it) do not.
 CONCENTRATION = 0.1
 #: A line translates a clause only if it accounts for this share of all its words, telling or not, by their rarity (fixed value).
 LEAST_SHARE = 0.2
+#: Weight of a source word of which no translation is known, and probability of a pair of words that is not in the table.
+UNKNOWN, UNSEEN = 5.0, 1e-7
 
 _SENTENCE_END = r"(?<=[.!?])\s+"
 _CLAUSE = r";\s+|,\s+(?:while|and)\s+"
 _WORDS = r"[\p{L}\p{N}\p{M}]+"
+#: Kinds of rows (fixed values): source words and lines, target words and clauses.
+SOURCE, TARGET = 0, 1
 
 
 def source_tokens(words: DataFrame, text: str, line: str, position: str, lemma: str, form: str, gloss: str) -> DataFrame:
-    """text, line, tokens: the gloss words of each line; a lemma's commonest gloss stands in where a word has none."""
+    """text, line, tokens, times: the distinct gloss words of each line and how often; a lemma's commonest gloss stands in where a word has none."""
     rows = words.select(
         F.col(text).alias("text"), F.col(line).alias("line"), F.col(position).alias("at"),
         F.when(F.col(lemma) != "", F.col(lemma)).alias("lemma"), F.col(form).alias("form"), F.when(F.col(gloss) != "", F.col(gloss)).alias("gloss"),
@@ -66,12 +80,12 @@ def source_tokens(words: DataFrame, text: str, line: str, position: str, lemma:
     best = counted.groupBy(F.col("lemma").alias("l")).agg(F.max(F.struct("n", "gloss")).alias("b")).select("l", F.col("b.gloss").alias("own"))
     bare = rows.filter("gloss is null").join(best, F.col("lemma") == F.col("l"), "left")
     token = F.coalesce(F.col("own"), F.concat(F.lit("#"), F.coalesce("lemma", "form", F.lit(""))))
-    filled = rows.filter("gloss is not null").select("text", "line", "at", "gloss").unionByName(bare.select("text", "line", "at", token.alias("gloss")))
+    filled = rows.filter("gloss is not null").select("text", "line", "gloss").unionByName(bare.select("text", "line", token.alias("gloss")))
     each = filled.select("text", "line", F.explode(F.split(F.lower("gloss"), r"\s+")).alias("token")).filter("token <> ''")
-    # a word said again and again in a line counts three times at most: the list of a line is bounded by the vocabulary
-    counted = each.groupBy("text", "line", "token").agg(F.least(F.count(F.lit(1)), F.lit(3)).cast("int").alias("n"))
-    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("token", "n"))), lambda t: F.array_repeat(t["token"], t["n"])))
-    return counted.groupBy("text", "line").agg(listed.alias("tokens"))
+    # counted before they are listed: the list of a line is bounded by the vocabulary
+    counted = each.groupBy("text", "line", "token").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    listed = counted.groupBy("text", "line").agg(F.array_sort(F.collect_list(F.struct("token", "n"))).alias("all"))
+    return listed.select("text", "line", F.col("all.token").alias("tokens"), F.col("all.n").alias("times"))
 
 
 def _spans(paragraphs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -121,15 +135,18 @@ def _spans(paragraphs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _clauses(paragraphs: DataFrame, spans: DataFrame) -> DataFrame:
-    """text, para, sent, sub, place, tokens of every clause."""
-    sentences = paragraphs.select("text", "para", F.posexplode(F.filter(F.split(F.trim("translation"), _SENTENCE_END), lambda s: s != "")).alias("i", "sentence"))
-    clauses = sentences.select("text", "para", (F.col("i") + 1).alias("sent"), F.posexplode(F.split("sentence", _CLAUSE)).alias("sub", "clause"))
-    inside = Window.partitionBy("text", "para")
-    ordered = clauses.withColumn("k", F.row_number().over(inside.orderBy("sent", "sub"))).withColumn("n", F.count(F.lit(1)).over(inside))
-    placed = ordered.join(spans, ["text", "para"])
-    place = F.col("first") + (F.col("k") - 0.5) / F.col("n") * (F.col("last") - F.col("first") + 1) - 0.5
-    tokens = F.regexp_extract_all(F.lower("clause"), F.lit(_WORDS), F.lit(0))
-    return placed.select("text", "para", "sent", "sub", place.alias("place"), tokens.alias("tokens")).filter(F.size("tokens") > 0)
+    """text, para, sent, sub, k (its number in the paragraph), place, tokens of every clause."""
+    sentences = F.filter(F.split(F.trim("translation"), _SENTENCE_END), lambda s: s != "")
+    numbered = F.transform(sentences, lambda s, i: F.transform(F.split(s, _CLAUSE), lambda c, j: F.struct((i + 1).alias("sent"), j.alias("sub"), c.alias("clause"))))
+    clauses = paragraphs.select("text", "para", F.flatten(numbered).alias("all")).select("text", "para", F.size("all").alias("n"), F.posexplode("all").alias("k", "c"))
+    placed = clauses.join(spans, ["text", "para"])
+    place = F.col("first") + (F.col("k") + 0.5) / F.col("n") * (F.col("last") - F.col("first") + 1) - 0.5
+    tokens = F.regexp_extract_all(F.lower("c.clause"), F.lit(_WORDS), F.lit(0))
+    return placed.select("text", "para", "c.sent", "c.sub", "k", place.alias("place"), tokens.alias("tokens")).filter(F.size("tokens") > 0)
+
+
+def _hashed(tokens: str) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 def _segmented(rows: DataFrame, place: Column, margin: int) -> DataFrame:
@@ -140,264 +157,490 @@ def _segmented(rows: DataFrame, place: Column, margin: int) -> DataFrame:
     return rows.withColumn("own", own).withColumn("seg", F.explode(segs)).withColumn("core", F.col("seg") == F.col("own")).drop("own")
 
 
-class _Group:
-    """Segments of a group, read from rows."""
+def _lists(rows: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the list of each row begins (and the last ends), and all values."""
+    lists = rows.column(column).combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    begin = lists.offsets.to_numpy().astype(np.int64)
+    return begin - begin[0], lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _packed(begin: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(values, kind))
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each low to its high, and to which range they belong."""
+    sizes = np.maximum(high - low, 0)
+    owner = np.repeat(np.arange(len(low)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes - low, sizes)
+
+
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def _codes(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted array, and which of them are there."""
+    if not len(known):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return at, known[at] == values
+
+
+class _Pairs:
+    """Numbers of pairs of words by key, dense where the vocabulary of the group allows it."""
+
+    def __init__(self, size: int, keys: np.ndarray, values: np.ndarray, default: float) -> None:
+        self.dense = None
+        if size <= DENSE:
+            self.dense = np.full(size, default)
+            self.dense[keys] = values
+            return
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values, self.default = keys[order], values[order], default
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[keys]
+        at, there = _codes(keys, self.keys)
+        return np.where(there, self.values[at] if len(self.values) else self.default, self.default)
+
+
+class _Sums:
+    """Sums by pair of words."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.keys, self.sums = size, np.empty(0, np.int64), np.zeros(size if size <= DENSE else 0)
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.segments: dict[tuple, tuple[list, list]] = {}
-        for text, seg, kind, ident, sub, place, core, tokens in zip(*(rows[c] for c in ("text", "seg", "kind", "id", "sub", "place", "core", "tokens"))):
-            held = self.segments.setdefault((text, seg), ([], []))
-            held[kind == "line"].append((float(place), ident, int(sub), bool(core), list(tokens)))
-        for held in self.segments.values():
-            held[0].sort()
-            held[1].sort()
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if self.size <= DENSE:
+            self.sums += np.bincount(keys, values, self.size)
+            return
+        self.keys, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        self.sums = np.bincount(at, np.concatenate([self.sums, values]), len(self.keys))
 
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.size <= DENSE:
+            keys = np.flatnonzero(self.sums)
+            return keys, self.sums[keys]
+        return self.keys, self.sums
 
-def _table(rows: pd.DataFrame) -> tuple[dict, dict]:
-    """{source: {word: (p, count, idf)}} and {word: (p of the empty word, idf or nan)}."""
-    table: dict[str, dict] = defaultdict(dict)
-    words: dict[str, tuple] = {}
-    for f, e, p, c, idf in zip(rows["f"], rows["e"], rows["p"], rows["c"], rows["idf"]):
-        if f == "":
-            words[e] = (p, idf)
+
+#: Key of a segment's places: segments lie this far apart on one axis.
+_APART = 4.0 * SEGMENT
+#: Slack of comparisons of places.
+_SLACK = 1e-6
+_COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("e", pa.list_(pa.int64())), ("c", pa.list_(pa.float64()))])
+_TABLE = pa.schema([*_COUNTS, ("p", pa.list_(pa.float32()))])
+
+
+def _by_place(rows: pa.Table, segment: np.ndarray, kind: int) -> tuple[pa.Table, np.ndarray]:
+    """The rows of a kind in the order of segment and place, and their places on one axis."""
+    own = np.flatnonzero(_column(rows, "kind") == kind)
+    place = _column(rows, "place")[own] - SEGMENT * _column(rows, "seg")[own].astype(float) + _APART * segment[own]
+    order = np.argsort(place, kind="stable")
+    return rows.take(pa.array(own[order])), place[order]
+
+
+def _expect(total: float | None):
+    """Expected counts of a group; ``total`` is the sum of the empty word's counts, None in the first round."""
+
+    def run(rows: pa.Table, given: pa.Table) -> pa.Table:
+        _, segment = np.unique(_column(rows, "segment"), return_inverse=True)
+        clauses, place = _by_place(rows, segment, TARGET)
+        lines, at = _by_place(rows, segment, SOURCE)
+        begin, words = _lists(clauses, "tokens")
+        held, own = _lists(lines, "tokens")
+        es, e_of = np.unique(words, return_inverse=True)
+        fs, f_of = np.unique(own, return_inverse=True)
+        size = len(fs) * len(es)
+        said = np.bincount(e_of, minlength=len(es))
+        # distinct words of each clause
+        once = np.unique(np.repeat(np.arange(len(place)), np.diff(begin)) * max(1, len(es)) + e_of)
+        clause_of, e_of = once // max(1, len(es)), once % max(1, len(es))
+        inside = np.bincount(e_of, minlength=len(es))
+
+        if total is None:
+            empty = np.ones(len(es))
+            same, there = _codes(fs, es)
+            table = _Pairs(size, np.flatnonzero(there) * len(es) + same[there], np.full(there.sum(), 20.0), 1.0)
         else:
-            table[f][e] = (p, c, idf)
-    return table, words
-
-
-def _expect(first: bool):
-    def run(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        counts: dict[tuple[str, str], float] = defaultdict(float)
-        table, words = _table(given)
-        for clauses, lines in _Group(rows).segments.values():
-            for place, _, _, core, tokens in clauses:
-                if not core:
-                    continue
-                near = [(math.exp(-abs(at - place) / 1.5), set(own)) for at, _, _, _, own in lines if own and -BEFORE <= at - place <= AFTER]
-                if not near:
-                    continue
-                for e in set(tokens):
-                    shares, total = [], 2.0 if first else 2.0 * words.get(e, (1e-7,))[0]
-                    empty = total
-                    for weight, own in near:
-                        for f in own:
-                            if first:
-                                p = weight * (20.0 if f == e else 1.0)
-                            else:
-                                hit = table[f].get(e) if f in table else None
-                                p = weight * (hit[0] if hit else 1e-7)
-                            shares.append((f, p))
-                            total += p
-                    counts["", e] += empty / total
-                    for f, p in shares:
-                        if p > 1e-3 * total:
-                            counts[f, e] += p / total
-        keys = list(counts)
-        return pd.DataFrame({"f": pd.Series([k[0] for k in keys], dtype=object), "e": pd.Series([k[1] for k in keys], dtype=object), "c": pd.Series([counts[k] for k in keys], dtype=float)})
+            kind, key = _column(given, "kind"), _column(given, "key")
+            spans, e = _lists(given, "e")
+            _, p = _lists(given, "p")
+            empty = np.full(len(es), UNSEEN)
+            target = given.filter(pa.array(kind == TARGET))
+            at_e, there = _codes(_column(target, "key"), es)
+            first, c = _lists(target, "c")
+            empty[at_e[there]] = c[first[:-1]][there] / total
+            source = np.repeat(kind == SOURCE, np.diff(spans))
+            f = np.repeat(np.searchsorted(fs, key), np.diff(spans))[source]
+            e, there = _codes(e[source], es)
+            table = _Pairs(size, (f * len(es) + e)[there], p[there].astype(float), UNSEEN)
+
+        # words of the lines near each clause, by clause
+        c_of, l_of = _ranges(np.searchsorted(at, place - BEFORE - _SLACK), np.searchsorted(at, place + AFTER + _SLACK, "right"))
+        near = np.exp(-np.abs(at[l_of] - place[c_of]) / 1.5)
+        by, word = _ranges(held[l_of], held[l_of + 1])
+        weight, f_near, starts = near[by], f_of[word] * len(es), np.searchsorted(c_of[by], np.arange(len(place) + 1))
+        low, high = starts[clause_of], starts[clause_of + 1]
+        known = high > low
+        clause_of, e_of, low, high = clause_of[known], e_of[known], low[known], high[known]
+        counts, none, done = _Sums(size), np.zeros(len(es)), np.cumsum(high - low)
+        begin = 0
+        while begin < len(e_of):
+            end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + CHUNK)))
+            part, e = slice(begin, end), e_of[begin:end]
+            by, word = _ranges(low[part], high[part])
+            keys = f_near[word] + e[by]
+            p = table(keys) * weight[word]
+            nothing = 2.0 * empty[e]
+            whole = np.add.reduceat(p, np.concatenate([[0], np.cumsum(high[part] - low[part])[:-1]])) + nothing
+            none += np.bincount(e, nothing / whole, len(es))
+            p /= whole[by]
+            good = p > LEAST_EXPECTED
+            counts.add(keys[good], p[good])
+            begin = end
+        keys, sums = counts.all()
+        f, e = keys // max(1, len(es)), keys % max(1, len(es))
+        different, first = np.unique(f, return_index=True)
+        ends = np.concatenate([first, [len(f)], len(f) + 1 + np.arange(len(es))]) if len(es) else np.concatenate([first, [len(f)]])
+        lists = [pa.array(np.repeat([SOURCE, TARGET], [len(different), len(es)]), pa.int8()), pa.array(np.concatenate([fs[different], es]), pa.int64())]
+        targets = np.stack([none, said, inside], 1).ravel()
+        c_ends = np.concatenate([first, len(f) + 3 * np.arange(len(es) + 1)])
+        lists += [_packed(ends, np.concatenate([es[e], es]), pa.int64()), _packed(c_ends, np.concatenate([sums, targets]), pa.float64())]
+        return pa.Table.from_arrays(lists, schema=_COUNTS)
 
     return run
 
 
-class _Linker:
-    """Competitive linking within a segment."""
-
-    def __init__(self, table: dict, words: dict, share: dict) -> None:
-        self.words, self.weights = words, {}
-        self.match_of: dict[str, dict[str, float]] = {}
-        for f, row in table.items():
-            own = {e: a for e, (p, c, _) in row.items() if p > 0.03 and c >= 2 and (a := 1 - 3 * share.get(e, 0.0) / p) > 0.2}
-            mass = [(row[e][0], row[e][2]) for e in own if row[e][2] == row[e][2]]
-            z = sum(p for p, _ in mass)
-            self.match_of[f] = own
-            self.weights[f] = sum(p * i for p, i in mass) / z if z else 5.0
-
-    def idf(self, e: str) -> float:
-        value = self.words.get(e, (0, float("nan")))[1]
-        return value if value == value else 0.0
-
-    def rarity(self, e: str) -> float:
-        """Of any word, whether it says something or not."""
-        return self.words.get(e, (0.0,))[0]
-
-    def overlap(self, words: list[str], own: list[str]) -> tuple[float, set[int]]:
-        """Weight of the one-to-one matches of clause words with source words, and which source words are used."""
-        hits = []
-        for a, e in enumerate(words):
-            for b, f in enumerate(own):
-                s = 1.0 if e == f else self.match_of.get(f, {}).get(e, 0.0)
-                if s:
-                    hits.append((s * self.idf(e), -a, -b))
-        hits.sort(reverse=True)
-        left, right, total = set(), set(), 0.0
-        for value, a, b in hits:
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
-                total += value
-        return total, {-b for b in right}
-
-    def link(self, clauses: list, lines: list) -> tuple[dict[int, int], set[int]]:
-        """Clause to line, and the clauses whose link is firm (by its words); several clauses may share a line."""
-        content = [[e for e in c[4] if self.idf(e) > 0] for c in clauses]
-        said = [sum(map(self.idf, c)) for c in content]
-        least = [LEAST_SHARE * sum(map(self.rarity, c[4])) for c in clauses]
-        weight = [[self.weights.get(f, 5.0) for f in x[4]] for x in lines]
-        whole = [sum(w) for w in weight]
-        pairs, overlaps = [], {}
-        for j, c in enumerate(clauses):
-            if not said[j]:
-                continue
-            for i, x in enumerate(lines):
-                if abs(x[0] - c[0]) > REACH + 0.5:
-                    continue
-                total, used = self.overlap(content[j], x[4])
-                if not total or total < least[j]:
-                    continue
-                overlaps[j, i] = total, used
-                far = max(0.0, abs(x[0] - c[0]) - 0.5)
-                covered = total / said[j]
-                quality = math.sqrt(covered * min(1.0, total / whole[i])) if whole[i] else 0.0
-                if quality >= (0.5 if far < 3 else FAR_QUALITY) or (covered >= 0.8 and far < 3 and total > 1):
-                    pairs.append((-total * math.exp(-far / 6) * (0.5 + quality), far, j, i))
-        pairs.sort()
-        link: dict[int, int] = {}
-        taken: dict[int, set[int]] = {}
-        for _, _, j, i in pairs:
-            if j not in link and i not in taken:
-                link[j] = i
-                taken[i] = overlaps[j, i][1]
-        direct = dict(link)
-        for j in range(len(clauses)):  # splits
-            if j in link or not said[j]:
-                continue
-            best = None
-            for k in (j - 1, j + 1, j - 2, j + 2, j - 3, j + 3, j - 4, j + 4):
-                if k in direct and (j, direct[k]) in overlaps:
-                    i = direct[k]
-                    total, used = overlaps[j, i]
-                    gain, covered, beside = sum(weight[i][b] for b in used - taken[i]), total / said[j], abs(k - j) == 1
-                    # it says words of the line that are not said yet, or right beside it only what the line says
-                    fits = (gain > 1.5 and covered >= (0.6 if beside else 0.75)) or (beside and covered >= 0.8)
-                    if fits and (best is None or gain > best[0]):
-                        best = gain, i
-            if best:
-                link[j] = best[1]
-        firm = set(link)
-        for j in range(len(clauses)):  # places left open between linked neighbours
-            if j in link or not said[j]:
-                continue
-            low = [link[k] for k in range(j - 3, j) if k in link]
-            high = [link[k] for k in range(j + 1, j + 4) if k in link]
-            a, b = max(low, default=None), min(high, default=None)
-            if a is not None and b is not None and a < b:
-                where = range(a + 1, b)
-            elif a is not None:
-                where = range(a + 1, min(len(lines), a + 3))
-            elif b is not None:
-                where = range(max(0, b - 2), b)
-            else:
-                where = range(len(lines))
-            open_lines = [(overlaps[j, i][0], -abs(lines[i][0] - clauses[j][0]), -i) for i in where if i not in taken and (j, i) in overlaps]
-            if a is None and b is None:
-                open_lines = [x for x in open_lines if x[1] > -1]
-            if open_lines:
-                i = -max(open_lines)[2]
-                link[j] = i
-                taken[i] = set()
-        return link, firm
-
-
-def _pair(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-    table, words = _table(given)
-    share = {e: s for f, e, s in zip(given["f"], given["e"], given["share"]) if f == ""}
-    # the words of a source row that the group does not hold are needed for its weight only
-    linker = _Linker(table, words, share)
-    out = []
-    for (text, _), (clauses, lines) in _Group(rows).segments.items():
-        link, firm = linker.link(clauses, lines)
-        for j, i in link.items():
-            if clauses[j][3]:
-                out.append((text, lines[i][1], clauses[j][1], clauses[j][2], j in firm))
-    return pd.DataFrame(out, columns=["text", "line", "sentence", "sub", "firm"]).astype({"text": object, "line": object, "sentence": object, "sub": "int32", "firm": bool})
-
-
-def _far_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Competitive linking of the candidates of the second pass within one text."""
-    pairs, scored = [], {}
-    for k, sentence, sub, line, far, said, least, weights, hits in zip(*(rows[c] for c in ("k", "sentence", "sub", "line", "far", "said", "least", "weights", "hits"))):
-        left, used, total = set(), set(), 0.0
-        for hit in sorted(hits, key=lambda h: (-h["value"], h["a"], h["b"])):
-            if hit["a"] not in left and hit["b"] not in used:
-                left.add(hit["a"])
-                used.add(hit["b"])
-                total += hit["value"]
-        if total < least:
+def _maximize(rows: pa.Table) -> pa.Table:
+    """The rows of the next table for a bucket of words: summed counts and probabilities of at least ``KEPT``."""
+    kind = _column(rows, "kind")
+    source, target = rows.filter(pa.array(kind == SOURCE)), rows.filter(pa.array(kind == TARGET))
+    fs, f_of = np.unique(_column(source, "key"), return_inverse=True)
+    begin, e = _lists(source, "e")
+    es, e_of = np.unique(e, return_inverse=True)
+    keys, at = np.unique(np.repeat(f_of, np.diff(begin)) * max(1, len(es)) + e_of, return_inverse=True)
+    c = np.bincount(at, _lists(source, "c")[1], len(keys))
+    f = keys // max(1, len(es))
+    p = c / np.bincount(f, c, len(fs))[f]
+    kept = p > KEPT
+    keys, f, c, p = keys[kept], f[kept], c[kept], p[kept]
+    begin = np.searchsorted(f, np.arange(len(fs) + 1))
+    words, at = np.unique(_column(target, "key"), return_inverse=True)
+    _, three = _lists(target, "c")
+    sums = np.stack([np.bincount(at, three[i::3], len(words)) for i in range(3)], 1).ravel()
+    steps = np.arange(1, len(words) + 1)
+    return pa.Table.from_arrays(
+        [
+            pa.array(np.repeat([SOURCE, TARGET], [len(fs), len(words)]), pa.int8()),
+            pa.array(np.concatenate([fs, words]), pa.int64()),
+            _packed(np.concatenate([begin, begin[-1] + steps]), np.concatenate([es[keys % max(1, len(es))], words]), pa.int64()),
+            _packed(np.concatenate([begin, begin[-1] + 3 * steps]), np.concatenate([c, sums]), pa.float64()),
+            _packed(np.concatenate([begin, np.full(len(words), begin[-1])]), p, pa.float32()),
+        ],
+        schema=_TABLE,
+    )
+
+
+def _one_to_one(pair: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray, times: np.ndarray, number: int) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """Total value of each pair's one-to-one matches of words a with words b (which are there ``times``), best first; and the b of the pairs with hits."""
+    order = np.lexsort((b, a, -value, pair))
+    pair, a, b, value = pair[order], a[order], b[order], value[order]
+    total = np.bincount(pair, value, number)
+    # pairs in which a word matches twice are settled one by one
+    twice = np.zeros(number, bool)
+    for side in (a, b):
+        by = np.lexsort((side, pair))
+        again = (pair[by][1:] == pair[by][:-1]) & (side[by][1:] == side[by][:-1])
+        twice[pair[by][1:][again]] = True
+    begin = np.searchsorted(pair, np.arange(number + 1))
+    used: dict[int, list[int]] = {}
+    words, sides, values = a.tolist(), b.tolist(), value.tolist()
+    for k in np.flatnonzero(np.diff(begin)).tolist():
+        low, high = int(begin[k]), int(begin[k + 1])
+        if not twice[k]:
+            used[k] = sides[low:high]
             continue
-        covered, whole = total / said, float(sum(weights))
-        quality = math.sqrt(covered * min(1.0, total / whole)) if whole else 0.0
-        scored[k, line] = total, covered, used, weights, sentence, sub
-        if quality >= FAR_QUALITY:
-            pairs.append((-total * (0.5 + quality), far, k, line))
-    link, taken = {}, {}
-    for _, _, k, line in sorted(pairs):
-        if k not in link and line not in taken:
-            link[k] = line
-            taken[line] = scored[k, line][2]
-    direct = dict(link)
-    for k in sorted({k for k, _ in scored} - set(direct)):  # splits, as in the first pass
-        best = None
-        for n in (k - 1, k + 1, k - 2, k + 2, k - 3, k + 3, k - 4, k + 4):
-            if n in direct and (k, direct[n]) in scored:
-                _, covered, used, weights, *_ = scored[k, direct[n]]
-                gain, beside = sum(weights[b] for b in used - taken[direct[n]]), abs(n - k) == 1
-                fits = (gain > 1.5 and covered >= (0.6 if beside else 0.75)) or (beside and covered >= 0.8)
-                if fits and (best is None or gain > best[0]):
-                    best = gain, direct[n]
-        if best:
-            link[k] = best[1]
-    out = [(rows["text"].iloc[0], line, *scored[k, line][4:]) for k, line in link.items()]
-    return pd.DataFrame(out, columns=["text", "line", "sentence", "sub"]).astype({"text": object, "line": object, "sentence": object, "sub": "int32"})
-
-
-def _second_pass(held: DataFrame, firm: DataFrame, useful: DataFrame, stats: DataFrame) -> DataFrame:
+        left, right, sum_, own = set(), {}, 0.0, []
+        for n in range(low, high):
+            if words[n] not in left and right.get(sides[n], 0) < times[sides[n]]:
+                left.add(words[n])
+                right[sides[n]] = right.get(sides[n], 0) + 1
+                sum_ += values[n]
+                own.append(sides[n])
+        total[k], used[k] = sum_, own
+    return total, used
+
+
+def _gain(used: list[int], taken: list[int], weights: np.ndarray) -> float:
+    """Weight of the words used that are not taken."""
+    rest = list(taken)
+    total = 0.0
+    for b in used:
+        if b in rest:
+            rest.remove(b)
+        else:
+            total += weights[b]
+    return total
+
+
+def _fits(gain: float, covered: float, beside: bool) -> bool:
+    """It says words of the line that are not said yet, or right beside it only what the line says."""
+    return (gain > 1.5 and covered >= (0.6 if beside else 0.75)) or (beside and covered >= 0.8)
+
+
+_LINKS = pa.schema(
+    [("what", pa.int8()), ("text", pa.string()), ("line", pa.string()), ("sentence", pa.string()), ("sub", pa.int32()), ("k", pa.int32()), ("score", pa.float64()), ("place", pa.float64())]
+    + [("said", pa.float64()), ("least", pa.float64()), ("words", pa.list_(pa.int64())), ("values", pa.list_(pa.float64())), ("slots", pa.list_(pa.int32())), ("rare", pa.list_(pa.int64()))]
+    + [("weights", pa.list_(pa.float64())), ("times", pa.list_(pa.int32()))]
+)
+#: What a row of the first pass says (fixed values): a link by the words of its own, one of a split, one of the places left open, or an open clause or line.
+DIRECT, SPLIT, LOOSE, CLAUSE, LINE = range(5)
+
+
+def _link(rows: pa.Table, given: pa.Table) -> pa.Table:
+    """Links of a group's segments, and what the second pass needs of its open clauses and lines."""
+    keys = rows.select(["text", "seg"]).to_pandas()
+    segment = keys.groupby(["text", "seg"], sort=True).ngroup().to_numpy()
+    clauses, place = _by_place(rows, segment, TARGET)
+    lines, at = _by_place(rows, segment, SOURCE)
+    begin, words = _lists(clauses, "tokens")
+    held, own = _lists(lines, "tokens")
+    times = _lists(lines, "times")[1]
+    es, e_of = np.unique(words, return_inverse=True)
+    fs, f_of = np.unique(own, return_inverse=True)
+    kind, key, x, y = (_column(given, c) for c in ("kind", "key", "x", "y"))
+    target = kind == TARGET
+    idf, rarity = np.zeros(len(es)), np.zeros(len(es))
+    at_e, there = _codes(key[target], es)
+    idf[at_e[there]], rarity[at_e[there]] = np.nan_to_num(x[target])[there], y[target][there]
+    heavy = np.full(len(fs), UNKNOWN)
+    at_f, there = _codes(key[~target], fs)
+    heavy[at_f[there]] = x[~target][there]
+    spans, e = _lists(given, "e")
+    _, s = _lists(given, "s")
+    row_f = np.repeat(np.searchsorted(fs, key), np.diff(spans))
+    same, there = _codes(fs, es)
+    here = np.flatnonzero(there)
+    local, known = _codes(e, es)
+    known &= e != fs[row_f] if len(row_f) else known
+    pair_keys = np.concatenate([(row_f * len(es) + local)[known], here * len(es) + same[here]])
+    match = _Pairs(len(fs) * len(es), pair_keys, np.concatenate([s[known], np.ones(len(here))]), 0.0)
+
+    number = len(place)
+    owner = np.repeat(np.arange(number), np.diff(begin))
+    least = LEAST_SHARE * np.bincount(owner, rarity[e_of], number)
+    telling = idf[e_of] > 0
+    owner, e_of, spot = owner[telling], e_of[telling], np.flatnonzero(telling)
+    said = np.bincount(owner, idf[e_of], number)
+    content = np.searchsorted(owner, np.arange(number + 1))
+    weights = heavy[f_of]
+    line_of = np.repeat(np.arange(len(at)), np.diff(held))
+    whole = np.bincount(line_of, weights * times, len(at))
+
+    # pairs within reach, and the matches of their words
+    j_of, i_of = _ranges(np.searchsorted(at, place - REACH - 0.5 - _SLACK), np.searchsorted(at, place + REACH + 0.5 + _SLACK, "right"))
+    cost = np.cumsum((content[j_of + 1] - content[j_of]) * (held[i_of + 1] - held[i_of]))
+    hits: list[tuple[np.ndarray, ...]] = []
+    low = 0
+    while low < len(j_of):
+        high = max(low + 1, int(np.searchsorted(cost, (cost[low - 1] if low else 0) + CHUNK)))
+        by, slot = _ranges(held[i_of[low:high]], held[i_of[low:high] + 1])
+        again, word = _ranges(content[j_of[low:high]][by], content[j_of[low:high] + 1][by])
+        strength = match(f_of[slot[again]] * len(es) + e_of[word])
+        good = np.flatnonzero(strength)
+        hits.append((low + by[again[good]], word[good], slot[again[good]], strength[good] * idf[e_of[word[good]]]))
+        low = high
+    pair, a, b, value = (np.concatenate(h) if hits else np.empty(0, np.int64) for h in (zip(*hits) if hits else ((),) * 4))
+    pair = pair.astype(np.int64)
+    enough = np.bincount(pair, value, len(j_of)) >= least[j_of] if len(pair) else np.zeros(len(j_of), bool)
+    mask = enough[pair]
+    pair, a, b, value = pair[mask], a[mask], b[mask], value[mask]
+    total, used = _one_to_one(pair, a, b, value, times, len(j_of))
+    there = np.flatnonzero((total > 0) & (total >= least[j_of]))
+    j, i, total = j_of[there], i_of[there], total[there]
+    used = [used[k] for k in there.tolist()]
+    far = np.maximum(0.0, np.abs(at[i] - place[j]) - 0.5)
+    covered = total / said[j]
+    quality = np.sqrt(covered * np.minimum(1.0, total / whole[i]))
+    fit = (quality >= np.where(far < 3, 0.5, FAR_QUALITY)) | ((covered >= 0.8) & (far < 3) & (total > 1))
+    score = total * np.exp(-far / 6) * (0.5 + quality)
+    js, is_, covers, totals, scores = (v.tolist() for v in (j, i, covered, total, score))
+
+    found = dict(zip(zip(js, is_), range(len(js))))
+    best = np.flatnonzero(fit)
+    link: dict[int, int] = {}
+    taken: dict[int, list[int]] = {}
+    what: dict[int, int] = {}
+    worth: dict[int, float] = {}
+    for n in best[np.lexsort((i[best], j[best], far[best], -score[best]))].tolist():
+        if js[n] not in link and is_[n] not in taken:
+            link[js[n]], taken[is_[n]], what[js[n]], worth[js[n]] = is_[n], used[n], DIRECT, scores[n]
+    direct, side = dict(link), np.floor((place + (_APART - SEGMENT) / 2) / _APART).tolist()
+    for c in np.flatnonzero(said > 0).tolist():  # splits
+        if c in direct:
+            continue
+        better = None
+        for n in (c - 1, c + 1, c - 2, c + 2, c - 3, c + 3, c - 4, c + 4):
+            if n in direct and side[n] == side[c] and (c, direct[n]) in found:
+                k = found[c, direct[n]]
+                gain = _gain(used[k], taken[direct[n]], weights)
+                if _fits(gain, covers[k], abs(n - c) == 1) and (better is None or gain > better[0]):
+                    better = gain, direct[n], scores[k]
+        if better:
+            link[c], what[c], worth[c] = better[1], SPLIT, better[2]
+    # what is left competes for the lines that the links of its neighbours leave open
+    firm, rest = dict(link), []
+
+    def bounds(c: int) -> tuple[int | None, int | None]:
+        low = [firm[n] for n in range(c - 3, c) if n in firm and side[n] == side[c]]
+        high = [firm[n] for n in range(c + 1, c + 4) if n in firm and side[n] == side[c]]
+        return max(low, default=None), min(high, default=None)
+
+    for n, (c, line) in enumerate(zip(js, is_)):
+        if c in firm or line in taken:
+            continue
+        low, high = bounds(c)
+        if low is not None and high is not None and low < high:
+            open_ = low < line < high
+        elif low is not None:
+            open_ = low < line < low + 3
+        elif high is not None:
+            open_ = high - 3 < line < high
+        else:
+            open_ = abs(at[line] - place[c]) < 1
+        if open_:
+            rest.append((-totals[n], abs(at[line] - place[c]), c, line))
+    for more, _, c, line in sorted(rest):
+        if c not in link and line not in taken:
+            link[c], taken[line], what[c], worth[c] = line, [], LOOSE, -more
+    return _answer(clauses, lines, place, at, link, what, worth, firm, (content, said, least, es, e_of, idf, held, fs, f_of, weights, times, spans, e, s, row_f))
+
+
+def _answer(clauses, lines, place, at, link, what, worth, firm, known) -> pa.Table:
+    content, said, least, es, e_of, idf, held, fs, f_of, weights, times, spans, e, s, row_f = known
+    core, sub, number = _column(clauses, "core"), _column(clauses, "sub"), _column(clauses, "k")
+    texts, names = clauses.column("text").to_pylist(), clauses.column("id").to_pylist()
+    line_names, line_texts, line_core = lines.column("id").to_pylist(), lines.column("text").to_pylist(), _column(lines, "core")
+    out: list[tuple] = []
+    within = at - _APART * np.floor((at + (_APART - SEGMENT) / 2) / _APART)
+    edge = (within < REACH + 1) | (within >= SEGMENT - REACH - 1)
+    where = _column(clauses, "place")
+    for c in np.flatnonzero(core).tolist():
+        if c in link:
+            out.append((what[c], texts[c], line_names[link[c]], names[c], int(sub[c]), int(number[c]), worth[c], where[c], 0.0, 0.0, None, None, None, None, None, None))
+        # a line that clauses of the next segment reach too may go to one of them, so its own stays in view
+        if said[c] > 0 and (c not in firm or edge[firm[c]]):
+            own = e_of[content[c] : content[c + 1]]
+            values = idf[own]
+            order = np.argsort(values, kind="stable")
+            # quality q asks for a covered share of q * q; what the commoner words hold together may fall short of it
+            rare = own[order[np.cumsum(values[order]) >= (FAR_QUALITY**2 - 1e-9) * said[c]]]
+            out.append((CLAUSE, texts[c], None, names[c], int(sub[c]), int(number[c]), 0.0, where[c], said[c], least[c], es[own].tolist(), values.tolist(), None, np.unique(es[rare]).tolist(), None, None))
+    busy = {firm[c] for c in firm}
+    by_f = np.argsort(row_f, kind="stable")
+    starts = np.searchsorted(row_f[by_f], np.arange(len(fs) + 1))
+    where = _column(lines, "place")
+    for n in np.flatnonzero(line_core).tolist():
+        if n in busy:
+            continue
+        heard, strengths, slots = [], [], []
+        for slot in range(int(held[n]), int(held[n + 1])):
+            f = f_of[slot]
+            rendered = by_f[starts[f] : starts[f + 1]]
+            rendered = rendered[e[rendered] != fs[f]]
+            heard += [int(fs[f]), *e[rendered].tolist()]
+            strengths += [1.0, *s[rendered].tolist()]
+            slots += [slot - int(held[n])] * (1 + len(rendered))
+        own = slice(int(held[n]), int(held[n + 1]))
+        out.append((LINE, line_texts[n], line_names[n], None, 0, 0, 0.0, where[n], 0.0, 0.0, heard, strengths, slots, None, weights[own].tolist(), times[own].tolist()))
+    columns = list(zip(*out)) if out else [[]] * len(_LINKS)
+    return pa.Table.from_arrays([pa.array(list(values), field.type) for values, field in zip(columns, _LINKS)], schema=_LINKS)
+
+
+_SCORED = "text string, sentence string, sub int, k int, line string, far double, covered double, quality double, score double, used array<int>, weights array<double>"
+
+
+def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Scores of candidates of the second pass; pairs that fall short of the least share or are too weak for any link drop out."""
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            heard: dict[int, list] = {}
+            for e, strength, slot in zip(row.heard, row.strengths, row.slots):
+                heard.setdefault(e, []).append((strength, slot))
+            hits = sorted((-strength * value, a, slot) for a, (e, value) in enumerate(zip(row.words, row.values)) for strength, slot in heard.get(e, ()))
+            left, right, total, used = set(), {}, 0.0, []
+            for value, a, slot in hits:
+                if a not in left and right.get(slot, 0) < row.times[slot]:
+                    left.add(a)
+                    right[slot] = right.get(slot, 0) + 1
+                    used.append(slot)
+                    total -= value
+            whole, covered = float(np.dot(row.weights, row.times)), total / row.said
+            if total >= row.least and covered >= FAR_QUALITY**2 - 1e-9:
+                quality = float(np.sqrt(covered * min(1.0, total / whole)))
+                out.append((row.text, row.sentence, row.sub, row.k, row.line, abs(row.place - row.at), covered, quality, total * (0.5 + quality), used, list(row.weights)))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCORED.split(", ")])
+
+
+def _compete(pairs: DataFrame, one: list[str], other: list[str], order: list[Column]) -> DataFrame:
+    """The pairs that accepting the best compatible pair first gives, by rounds of pairs that are the best of both their sides.
+
+    No side is gathered: the best of each is a maximum. ``order`` must tell all pairs apart. Every round accepts at least the best pair left.
+    """
+    names = [f"_o{n}" for n in range(len(order))]
+    pairs = pairs.withColumn("_best", F.struct(*[o.alias(n) for o, n in zip(order, names)]))
+    chosen = None
+    while True:
+        pairs = cut(pairs)
+        if pairs.isEmpty():
+            return pairs.drop("_best") if chosen is None else chosen.drop("_best")
+        first = pairs.groupBy(*one).agg(F.min("_best").alias("_best"))
+        second = pairs.groupBy(*other).agg(F.min("_best").alias("_best"))
+        winners = cut(pairs.join(first, [*one, "_best"], "left_semi").join(second, [*other, "_best"], "left_semi"))
+        chosen = winners if chosen is None else chosen.unionByName(winners)
+        pairs = pairs.join(winners.select(*one), one, "left_anti").join(winners.select(*other), other, "left_anti")
+
+
+def _second_pass(first: DataFrame, firm: DataFrame) -> DataFrame:
     """text, line, sentence, sub of the clauses and lines without a firm link that pair by their words anywhere in their text."""
-    clause, core = ["text", "sentence", "sub"], held.filter("core")
-    order = Window.partitionBy("text").orderBy("place", "sentence", "sub")
-    clauses = core.filter("kind = 'clause'").select("text", F.col("id").alias("sentence"), "sub", "place", "tokens").withColumn("k", F.row_number().over(order))
-    clauses = clauses.join(firm.select(*clause).distinct(), clause, "left_anti")
-    lines = core.filter("kind = 'line'").select("text", F.col("id").alias("line"), F.col("place").alias("at"), "tokens")
-    lines = lines.join(firm.select("text", "line").distinct(), ["text", "line"], "left_anti")
-
-    known = useful.join(stats.select("e", "share"), "e").withColumn("s", 1 - 3 * F.col("share") / F.col("p")).filter("s > 0.2")
-    telling = known.filter("not isnan(idf)")
-    weights = telling.groupBy("f").agg((F.sum(F.col("p") * F.col("idf")) / F.sum("p")).alias("weight"))
-    words = lines.select("text", "line", F.posexplode("tokens").alias("b", "f"))
-    whole = words.join(weights, "f", "left").groupBy("text", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.coalesce("weight", F.lit(5.0)).alias("w")))), lambda x: x["w"]).alias("weights"))
-    # a source word has at most 1 / 0.03 words of this probability
-    rendered = words.join(telling.filter("f <> e").select("f", "e", "s"), "f").select("text", "line", "b", "e", "s").unionByName(words.select("text", "line", "b", F.col("f").alias("e"), F.lit(1.0).alias("s")))
-
-    content = clauses.select(*clause, F.posexplode("tokens").alias("a", "e")).join(stats.filter("not isnan(idf) and idf > 0").select("e", "idf"), "e")
-    inside = Window.partitionBy(*clause)
-    # quality q asks for a covered share of q * q; what the commoner words hold together may fall short of it
-    rest = F.sum("idf").over(inside.orderBy("idf", "a").rowsBetween(Window.unboundedPreceding, 0))
-    every = clauses.select(*clause, F.explode("tokens").alias("e")).join(stats.select("e", F.col("p").alias("rarity")), "e")
-    least = every.groupBy(*clause).agg((LEAST_SHARE * F.sum("rarity")).alias("least"))
-    content = cut(content.withColumn("said", F.sum("idf").over(inside)).withColumn("rare", rest >= (FAR_QUALITY**2 - 1e-9) * F.col("said")))
-    candidates = content.filter("rare").select(*clause, "e").join(rendered.select("text", "line", "e"), ["text", "e"]).select(*clause, "line").distinct()
-    hits = content.join(candidates, clause).join(rendered, ["text", "line", "e"]).withColumn("value", F.col("s") * F.col("idf"))
-    pairs = hits.groupBy(*clause, "line").agg(F.max("said").alias("said"), F.collect_list(F.struct("value", "a", "b")).alias("hits"))
-    # one-to-one or not, a word of the clause counts with its best match at most
-    best = F.aggregate("hits", F.lit(0.0), lambda total, h: total + h["value"])
-    pairs = pairs.filter(best >= (FAR_QUALITY**2 - 1e-9) * F.col("said")).join(clauses.select(*clause, "k", "place"), clause).join(least, clause).join(lines.select("text", "line", "at"), ["text", "line"]).join(whole, ["text", "line"])
-    pairs = pairs.withColumn("far", F.abs(F.col("at") - F.col("place"))).select(*clause, "k", "line", "far", "said", "least", "weights", "hits")
-    return pairs.groupBy("text").applyInPandas(_far_links, "text string, line string, sentence string, sub int")
+    clause, line = ["text", "sentence", "sub"], ["text", "line"]
+    clauses = first.filter(F.col("what") == CLAUSE).join(firm.select(*clause), clause, "left_anti")
+    lines = first.filter(F.col("what") == LINE).join(firm.select(*line).distinct(), line, "left_anti")
+    clauses = clauses.select(*clause, "k", "place", "said", "least", "words", "values", "rare")
+    lines = lines.select(*line, F.col("place").alias("at"), F.col("words").alias("heard"), F.col("values").alias("strengths"), "slots", "weights", "times")
+    said = clauses.select(*clause, F.explode("rare").alias("e"))
+    heard = lines.select(*line, F.explode(F.array_distinct("heard")).alias("e"))
+    candidates = said.join(heard, ["text", "e"]).select(*clause, "line").distinct()
+    scored = cut(candidates.join(clauses, clause).join(lines, line).mapInPandas(_score, _SCORED))
+    order = [-F.col("score"), F.col("far"), F.col("text"), F.col("sentence"), F.col("sub"), F.col("line")]
+    direct = _compete(scored.filter(F.col("quality") >= FAR_QUALITY), clause, line, order)
+    # splits, as in the first pass: a clause near one that has the line says what is left of it
+    para = F.split("sentence", "\u0001")[0]
+    near = direct.select("text", "line", para.alias("para"), F.col("k").alias("n"), F.col("used").alias("taken"))
+    left = scored.join(direct.select(*clause), clause, "left_anti").withColumn("para", para).join(near, ["text", "line", "para"])
+    left = left.withColumn("apart", F.abs(F.col("n") - F.col("k"))).filter("apart between 1 and 4")
+
+    @F.pandas_udf("double")
+    def gain(used: pd.Series, taken: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([_gain(list(u), list(t), w) for u, t, w in zip(used, taken, weights)], dtype=float)
+
+    left = left.withColumn("gain", gain("used", "taken", "weights"))
+    beside = F.col("apart") == 1
+    fits = ((F.col("gain") > 1.5) & (F.col("covered") >= F.when(beside, 0.6).otherwise(0.75))) | (beside & (F.col("covered") >= 0.8))
+    best = left.filter(fits).groupBy(*clause).agg(F.max_by("line", F.struct("gain", -F.col("apart"), "line")).alias("line"))
+    return direct.select(*line, "sentence", "sub").unionByName(best.select(*line, "sentence", "sub"))
 
 
 def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """text, line, para, sent of the pairs.
 
-    ``lines`` has text, line, place (number), label, para; ``tokens`` text, line, tokens; ``paragraphs`` text, para, range,
-    translation.
+    ``lines`` has text, line, place (number), label, para; ``tokens`` text, line, tokens, times; ``paragraphs`` text, para,
+    range, translation.
     """
     spark = lines.sparkSession
     ship(spark)
@@ -406,58 +649,61 @@ def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: in
     count = clauses.count()
     placed = lines.filter("place is not null").groupBy("text", "line").agg(F.min("place").cast("double").alias("place"))
     source = placed.join(tokens, ["text", "line"]).join(paragraphs.select("text").distinct(), "text", "left_semi")
-    as_rows = [F.col("text"), F.col("seg"), F.col("core")]
+    as_rows = [F.col(c) for c in ("text", "seg", "core")]
     sentence_id = F.concat_ws("\u0001", "para", F.col("sent").cast("string"))
-    all_rows = (
+    none = F.lit(0)
+    rows = (
         _segmented(clauses, F.col("place"), REACH)
-        .select(*as_rows, F.lit("clause").alias("kind"), sentence_id.alias("id"), "sub", "place", "tokens")
-        .unionByName(_segmented(source, F.col("place"), 2 * REACH + 1).select(*as_rows, F.lit("line").alias("kind"), F.col("line").alias("id"), F.lit(0).alias("sub"), "place", "tokens"))
-    )
+        .select(*as_rows, F.lit(TARGET).cast("tinyint").alias("kind"), sentence_id.alias("id"), "sub", "k", "place", _hashed("tokens").alias("tokens"), F.array().cast("array<int>").alias("times"))
+        .unionByName(
+            _segmented(source, F.col("place"), 2 * REACH + 1)
+            .select(*as_rows, F.lit(SOURCE).cast("tinyint").alias("kind"), F.col("line").alias("id"), none.alias("sub"), none.alias("k"), "place", _hashed("tokens").alias("tokens"), "times")
+        )
+    )
     groups = max(width(spark), -(-count // GROUP))
-    held = cut(all_rows.withColumn("grp", F.pmod(F.xxhash64("text", "seg"), F.lit(groups)).cast("int")))
-    own_words = held.select("grp", "kind", F.explode(F.array_distinct("tokens")).alias("w")).distinct()
-    group = F.col("grp").alias("grp")  # a column of its own, which the two sides of a cogroup must have
-    source_words = cut(own_words.filter("kind = 'line'").select(group, F.col("w").alias("f")))
-    target_words = cut(own_words.filter("kind = 'clause'").select(group, F.col("w").alias("e")))
-    by_group = held.groupBy("grp")
-
-    def slices(table: DataFrame, stats: DataFrame) -> DataFrame:
-        """The rows of the table that each group needs."""
-        pairs = source_words.join(table.filter("f <> ''"), "f").select("grp", "f", "e", "p", "c", "idf", F.lit(0.0).alias("share"))
-        empty = target_words.join(stats, "e").select("grp", F.lit("").alias("f"), "e", "p", F.lit(0.0).alias("c"), "idf", "share")
-        return pairs.unionByName(empty)
-
-    counts_schema = "f string, e string, c double"
-    nothing = source_words.select("grp", "f").limit(0).select("grp", "f", F.lit("").alias("e"), *[F.lit(0.0).alias(x) for x in ("p", "c", "idf", "share")])
-    table = None
-    for turn in range(rounds):
-        if turn == 0:
-            expected = by_group.cogroup(nothing.groupBy("grp")).applyInPandas(_expect(True), counts_schema)
+    held = cut(rows.withColumn("segment", F.xxhash64("text", "seg")).withColumn("grp", F.pmod("segment", F.lit(groups)).cast("int")).repartition(groups, "grp"))
+    # columns of its own, which the two sides of a cogroup must have
+    words = cut(held.select(F.col("grp").alias("grp"), F.col("kind").alias("kind"), F.explode("tokens").alias("key")).distinct())
+    near = held.filter(f"kind = {SOURCE} or core").select("grp", "segment", "seg", "kind", "place", "tokens").groupBy("grp")
+    counts, packed = "kind tinyint, key bigint, e array<bigint>, c array<double>", "kind tinyint, key bigint, e array<bigint>, c array<double>, p array<float>"
+
+    table, totals = None, (None, None)
+    for _ in range(rounds):
+        if table is None:
+            given = words.limit(0).select("grp", "kind", "key", *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("e", "bigint"), ("c", "double"), ("p", "float"))])
         else:
-            empty_word = table.filter("f = ''").select("e", "p", F.lit(0.0).alias("idf"), F.lit(0.0).alias("share"))
-            given = slices(table.withColumn("idf", F.lit(0.0)), empty_word)
-            expected = by_group.cogroup(given.groupBy("grp")).applyInPandas(_expect(False), counts_schema)
-        summed = expected.groupBy("f", "e").agg(F.sum("c").alias("c"))
-        whole = summed.groupBy(F.col("f").alias("g")).agg(F.sum("c").alias("z"))
-        table = cut(summed.join(whole, F.col("f") == F.col("g")).select("f", "e", (F.col("c") / F.col("z")).alias("p"), "c").filter(F.col("p") > KEPT))
-
-    said = held.filter("kind = 'clause' and core").select("text", "id", F.explode("tokens").alias("e"))
-    total = said.count()
-    sentences = held.filter("kind = 'clause' and core").select("text", "id").distinct().count()
-    strongest = table.filter("f <> ''").groupBy("e").agg(F.max("c").alias("most"))
-    used = said.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text", "id").alias("in"))
-    rarity = F.log(F.lit(float(max(1, sentences))) / F.col("in"))
-    idf = F.when(F.col("most") >= CONCENTRATION * F.col("n"), rarity)
-    # linking has no use for the empty word's p: the rarity of every word, telling or not, stands in its place
-    stats = used.join(strongest, "e", "left").select("e", rarity.alias("p"), F.coalesce(idf, F.lit(float("nan"))).alias("idf"), (F.col("n") / max(1, total)).alias("share"))
-    stats = cut(stats)
-    useful = table.filter("f <> '' and p > 0.03 and c >= 2").join(stats.select("e", "idf"), "e")
-    final = slices(useful, stats)
-    near = cut(by_group.cogroup(final.groupBy("grp")).applyInPandas(_pair, "text string, line string, sentence string, sub int, firm boolean"))
-    firm = near.filter("firm").drop("firm")
-    far = cut(_second_pass(held, firm, useful, stats))
-    # a place that was only left open gives way to what the words say
-    loose = near.filter("not firm").drop("firm").join(far, ["text", "sentence", "sub"], "left_anti").join(far, ["text", "line"], "left_anti")
-    pairs = firm.unionByName(far).unionByName(loose.select("text", "line", "sentence", "sub"))
+            given = words.join(table, ["kind", "key"]).select("grp", "kind", "key", "e", "c", "p")
+        expected = near.cogroup(given.groupBy("grp")).applyInArrow(_expect(totals[0]), counts)
+        table = cut(expected.groupBy(F.pmod("key", F.lit(groups)).alias("bucket")).applyInArrow(_maximize, packed))
+        totals = table.filter(f"kind = {TARGET}").agg(F.sum(F.col("c")[0]), F.sum(F.col("c")[1])).first()
+
+    pairs = table.filter(f"kind = {SOURCE}").select(F.col("key").alias("f"), F.explode(F.arrays_zip("e", "p", "c")).alias("x")).select("f", "x.e", "x.p", "x.c")
+    strongest = pairs.groupBy("e").agg(F.max("c").alias("most"))
+    rarity = F.log(F.lit(float(max(1, count))) / F.col("c")[2])
+    said = F.col("c")[1]
+    stats = table.filter(f"kind = {TARGET}").select(F.col("key").alias("e"), rarity.alias("rarity"), said.alias("n"), (said / max(1.0, totals[1] or 1.0)).alias("share")).join(strongest, "e", "left")
+    stats = cut(stats.select("e", "rarity", "share", F.when(F.col("most") >= CONCENTRATION * F.col("n"), F.col("rarity")).alias("idf")))
+    useful = pairs.filter("p > 0.03 and c >= 2").join(stats, "e").withColumn("s", 1 - 3 * F.col("share") / F.col("p")).filter("s > 0.2")
+    weight = F.sum(F.when(F.col("idf").isNotNull(), F.col("p") * F.col("idf"))) / F.sum(F.when(F.col("idf").isNotNull(), F.col("p")))
+    known = useful.groupBy(F.col("f").alias("key")).agg(F.array_sort(F.collect_list(F.struct("e", "s"))).alias("all"), F.coalesce(weight, F.lit(UNKNOWN)).alias("x"))
+    known = known.select(F.lit(SOURCE).cast("tinyint").alias("kind"), "key", F.col("all.e").alias("e"), F.col("all.s").alias("s"), "x", F.lit(0.0).alias("y"))
+    nothing = [F.array().cast(f"array<{t}>").alias(c) for c, t in (("e", "bigint"), ("s", "double"))]
+    own = stats.select(F.lit(TARGET).cast("tinyint").alias("kind"), F.col("e").alias("key"), *nothing, F.coalesce("idf", F.lit(0.0)).alias("x"), F.col("rarity").alias("y"))
+    given = words.join(known.unionByName(own), ["kind", "key"]).select("grp", "kind", "key", "e", "s", "x", "y")
+    answer = "what tinyint, text string, line string, sentence string, sub int, k int, score double, place double, said double, least double, words array<bigint>, values array<double>, slots array<int>, rare array<bigint>, weights array<double>, times array<int>"
+    first = cut(held.groupBy("grp").cogroup(given.groupBy("grp")).applyInArrow(_link, answer))
+
+    links = first.filter(F.col("what") <= LOOSE).select("what", "text", "line", "sentence", "sub", "score")
+    # a line near the edge of a segment may be taken by clauses of two segments: the better one keeps it
+    rank = F.struct(-F.col("score"), "sentence", "sub")
+    best = links.filter(F.col("what") == DIRECT).groupBy("text", "line").agg(F.min(rank).alias("best"))
+    firm = links.filter(F.col("what") < LOOSE).join(best, ["text", "line"], "left")
+    firm = cut(firm.filter((F.col("what") == SPLIT) | (rank == F.col("best"))).select("text", "line", "sentence", "sub"))
+    far = cut(_second_pass(first, firm))
+    # a link of little weight gives way to what the words say
+    clause, line = ["text", "sentence", "sub"], ["text", "line"]
+    loose = links.filter(F.col("what") == LOOSE).select("text", "line", "sentence", "sub")
+    strong = firm.unionByName(far)
+    loose = loose.join(strong.select(*clause), clause, "left_anti").join(strong.select(*line), line, "left_anti")
     parts = F.split("sentence", "\u0001")
-    return pairs.select("text", "line", parts[0].alias("para"), parts[1].cast("int").alias("sent")).distinct()
+    return strong.unionByName(loose).select("text", "line", parts[0].alias("para"), parts[1].cast("int").alias("sent")).distinct()

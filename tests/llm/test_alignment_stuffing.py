@@ -76,7 +76,7 @@ def test_nothing_to_align(spark):
 def test_gloss_of_the_lemma(spark):
     rows = [("t", "1", 0, "f", "l", "Big House"), ("t", "1", 1, "f", "l", None), ("t", "1", 2, "g", None, None), ("t", "1", 3, "g", "", ""), ("t", "2", None, None, None, None)]
     df = spark.createDataFrame(rows, "t string, l string, at int, form string, lemma string, gloss string")
-    got = {r.line: r.tokens for r in alignment.source_tokens(df, "t", "l", "at", "lemma", "form", "gloss").collect()}
+    got = {r.line: [t for t, n in zip(r.tokens, r.times) for _ in range(n)] for r in alignment.source_tokens(df, "t", "l", "at", "lemma", "form", "gloss").collect()}
     assert sorted(got["1"]) == ["#g", "#g", "big", "big", "house", "house"] and got["2"] == ["#"]
 
 
@@ -129,3 +129,31 @@ def test_pages(spark):
     upper = df.withColumn("text", F.upper("text"))
     assert {"keywords", "served", "offers"} <= {r.id for r in stuffing.stuffed_pages(upper, "id", "text").collect()}
     assert stuffing.stuffed_pages(df.limit(0), "id", "text").count() == 0
+
+
+def test_a_word_said_ten_times():
+    """One-to-one matches count a source word as often as the line says it, and no oftener."""
+    import numpy as np
+
+    pair, a, b, value = np.zeros(12, np.int64), np.arange(12), np.zeros(12, np.int64), np.ones(12)
+    total, used = alignment._one_to_one(pair, a, b, value, np.array([10]), 1)
+    assert total[0] == 10 and len(used[0]) == 10
+
+
+def test_pairs_of_words_dense_or_not(monkeypatch):
+    """A group whose vocabulary is too large for a dense array counts and looks up the same."""
+    import numpy as np
+
+    keys, values = np.array([3, 17, 40]), np.array([0.5, 0.25, 1.0])
+    asked = np.array([40, 3, 4, 17])
+    dense = alignment._Pairs(64, keys, values, 0.125)(asked)
+    sums = alignment._Sums(64)
+    sums.add(np.array([3, 3, 9]), np.array([1.0, 2.0, 4.0]))
+    sums.add(np.array([9, 1]), np.array([1.0, 1.0]))
+    before = [x.tolist() for x in sums.all()]
+    monkeypatch.setattr(alignment, "DENSE", 8)
+    assert alignment._Pairs(64, keys, values, 0.125)(asked).tolist() == dense.tolist() == [1.0, 0.5, 0.125, 0.25]
+    sums = alignment._Sums(64)
+    sums.add(np.array([3, 3, 9]), np.array([1.0, 2.0, 4.0]))
+    sums.add(np.array([9, 1]), np.array([1.0, 1.0]))
+    assert [x.tolist() for x in sums.all()] == before == [[1, 3, 9], [1.0, 3.0, 5.0]]

@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-import pandas as pd
+import pyarrow as pa
 
 from tellgrid.llm import alignment
 from tests.llm.test_alignment_stuffing import aligned, bilingual
@@ -55,7 +55,8 @@ def test_paragraphs_without_a_place(spark):
 
 def test_candidates_of_estimation():
     """A line four places before or five after a clause is a candidate in expectation-maximization."""
-    rows = [("t", 0, "clause", "p\u00011", 0, 10.0, True, ["king"]), ("t", 0, "line", "a", 0, 6.0, True, ["ruler"]), ("t", 0, "line", "b", 0, 15.0, True, ["lord"])]
-    held = pd.DataFrame(rows, columns=["text", "seg", "kind", "id", "sub", "place", "core", "tokens"])
-    counts = alignment._expect(True)(held, pd.DataFrame(columns=["f", "e", "p", "c", "idf"]))
-    assert {"ruler", "lord"} <= set(counts["f"])
+    rows = [(1, 0, 1, 10.0, [7]), (1, 0, 0, 6.0, [101]), (1, 0, 0, 15.0, [102])]
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int8(), pa.float64(), pa.list_(pa.int64())))]
+    held = pa.Table.from_arrays(columns, names=["segment", "seg", "kind", "place", "tokens"])
+    counts = alignment._expect(None)(held, held.slice(0, 0))
+    assert {101, 102} <= set(counts.column("key").to_pylist())
