@@ -92,12 +92,72 @@ def brute_repeats(signs):
     return out
 
 
-def test_automaton():
+def automaton_repeats(signs):
+    """The same by a suffix automaton: the longest repeated stretch that ends at each position."""
+    follow, link, length, ends, last = [{}], [-1], [0], [], 0
+    for sign in signs:
+        state, at = len(follow), last
+        follow.append({})
+        length.append(length[last] + 1)
+        while at != -1 and sign not in follow[at]:
+            follow[at][sign] = state
+            at = link[at]
+        if at == -1:
+            link.append(0)
+        elif length[follow[at][sign]] == length[at] + 1:
+            link.append(follow[at][sign])
+        else:
+            to, copy = follow[at][sign], state + 1
+            link.append(copy)
+            follow.append(dict(follow[to]))
+            length.append(length[at] + 1)
+            link.append(link[to])
+            while at != -1 and follow[at].get(sign) == to:
+                follow[at][sign] = copy
+                at = link[at]
+            link[to] = copy
+        last = state
+        ends.append(state)
+    repeated = set(link[1:]) - {0}
+    return [length[s] if s in repeated else length[link[s]] for s in ends]
+
+
+def cover_of(lengths, least):
+    covered, left = 0, len(lengths)
+    for i in range(len(lengths) - 1, -1, -1):
+        if lengths[i] >= least:
+            left = min(left, i - lengths[i] + 1)
+        covered += i >= left
+    return covered
+
+
+def test_cover_is_that_of_the_automaton():
     rng = random.Random(7)
-    for _ in range(200):
-        signs = [rng.randint(0, 2) for _ in range(rng.randint(0, 25))]
-        assert stuffing.repeated_lengths(signs) == brute_repeats(signs)
-    assert stuffing.repeated_cover([0, 0, 2, 0], 2) == 2 and stuffing.repeated_cover([], 1) == 0
+    for n in range(300):
+        signs = [rng.randint(0, 2) for _ in range(rng.randint(0, 40))]
+        assert automaton_repeats(signs) == brute_repeats(signs)
+        # few and many different signs: with many, numbers are replaced by their ranks on the way
+        text = "".join(chr(0x4E00 + 7 * x if n % 2 else 97 + x) for x in signs) + "".join(chr(0x5000 + i) for i in range(3000 * (n % 50 == 1)))
+        least = rng.randint(1, 7)
+        assert round(stuffing.character_cover(text, least) * len(text)) == cover_of(automaton_repeats(text), least)
+    assert stuffing.character_cover("", 2) == stuffing.character_cover("a", 7) == 0
+
+
+def test_cover_decides(monkeypatch):
+    """Without clauses alone a list of different signs would be a case, and repeats alone would make one of a litany."""
+    rng = random.Random(3)
+    once = "\n".join("".join(rng.choice("abdegiklmnprstuz") for _ in range(rng.randint(4, 9))) for _ in range(60))
+    again = "cheap seal poster buy seal poster " * 20
+    litany = PAGES["litany"][0]
+    assert [stuffing.measure(t)[2] for t in (once, again, litany)] == [False, True, False]
+    assert stuffing.measure(once)[0] == 1.0 and stuffing.character_cover(litany) > 0.5
+    monkeypatch.setattr(stuffing, "LEAST_SCORE", 0.0)
+    assert [stuffing.measure(t)[2] for t in (once, again, litany)] == [True, True, False]
+
+
+def test_sentences():
+    assert stuffing.measure("what is tablet seal? tablet seal near me? seal poster pdf? " * 5)[2]
+    assert not stuffing.measure("Was the tablet seen near the river? It was the seal that they found! " * 3 + PROSE)[2]
 
 
 PROSE = "The scribe made two mistakes in the third line. It is hard to see why the reed should be found before the marsh. She repaid the wind, and the storehouse was never seen again. "
