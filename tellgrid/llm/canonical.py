@@ -1,23 +1,26 @@
 """Mapping freely typed values to a canonical list; what matches nothing, or several entries alike, is reported as 0.
 
-Reference entries read "Name" or "Name (ca. FROM-TO BC)". A typed value is read in steps: notes of doubt and words such as
-"period" are dropped, a date range is taken out, several names joined by "or", "and", "to", "/" or ";" make it a value of
-several entries, a name typed backwards at a comma is turned round, numerals are compared as numbers. What is left of the
-name is looked up in a BK-tree over the reference names under a true edit metric, which returns every entry within the
-radius; abbreviations (N. Tarsumic) and initials (NT) are read as such. The nearest entry wins; a tie is no match.
-
-A word that by itself sets entries apart (old, early, neo, a numeral ...) is taken as typed: if it is spelled right it must
-be part of the entry, so "Late X" never becomes "Neo-X" though they are few edits apart.
-
-The reference is broadcast in shards of ``SHARD`` entries; with more than one, each value meets every shard in a row of its
-own and the winners of the shards are merged. Values are matched where they lie (a bounded memo per task spares repeats),
-so nothing is shuffled with a single shard.
+A typed value is read in steps: words that say nothing (``fillers``) are dropped, a date range is taken out, a name typed
+backwards at a comma is turned round, numerals are compared as numbers. What is left of the name is looked up in a BK-tree
+over the reference names under a true edit metric, which returns every entry within the radius; before it abbreviations
+(N. Tarsumic) and after it initials (NT) are read as such. The nearest entry wins; a tie is no match. Two names joined by
+"or", "and", "to", "&", "/" or ";" are a value of several entries, unless the list has a name with such a joint that is
+meant (Trinidad and Tobago): the whole value is looked up among those first.
+
+A word that by itself sets entries apart (``qualifiers``: old, early, neo ...) is taken as typed: if it is spelled right it
+must be part of the entry, so "Late X" never becomes "Neo-X" though they are few edits apart.
+
+A reference of at most ``shard`` entries is broadcast, and values are matched where they lie (a bounded memo per task spares
+repeats), so nothing is shuffled. A larger one never leaves the executors: it is cut into shards of that size by hash, every
+distinct value passes every shard's tree, and the candidates of all shards are merged. A shard answers with the step at
+which it found an entry, its distance and whether its dates fit, and all choices between candidates are made in the merge,
+so the answer is the same for any size of shard.
 
 Defined results
 ---------------
 * a null value gives null; an empty or blank one gives 0; an exact name gives its own entry;
-* an empty reference gives 0 for everything; a reference with the same name twice gives 0 for that name;
-* more than ``LIMIT`` reference entries are refused.
+* an empty reference gives 0 for everything; a reference with the same name twice (under different ids) gives 0 for that name;
+* reference rows with a null name or id are left out; repeated ones count once.
 """
 
 from __future__ import annotations
@@ -32,19 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellgrid.llm.bktree import BKTree, edit_distance
-from tellgrid.session import ship, unused
+from tellgrid.session import ship, unused, width
 
-#: Reference entries of a shard (of a BK-tree), and most entries in all.
+#: Reference entries of a shard (of a BK-tree); the bound of what is broadcast.
 SHARD = 50_000
-LIMIT = 2_000_000
 #: Values remembered by a task.
 MEMO = 1 << 16
 
-#: Words that tell entries of one name apart (fixed values).
-QUALIFIERS = frozenset("early late later old older middle neo new proto post pre transitional".split())
-#: Words and marks that say nothing about which entry is meant (fixed values).
-FILLERS = frozenset("period periods per age era time the probably prob possibly perhaps maybe likely presumably ca c circa approx bc bce".split())
-
 _RANGE = re.compile(r"(?<!\d)(\d{2,5})\s*(?:[-‐-―−]|\bto\b)\s*(\d{2,5})(?!\d)")
 _SEVERAL = re.compile(r"\s*(?:;|/|\bor\b|\band\b|\bto\b|&)\s*", re.I)
 _NUMERAL = re.compile(r"^(i{1,3}|iv|vi{0,3}|ix|x)([a-d]?)$")
@@ -64,19 +61,20 @@ def _words(name: str) -> list[str]:
     """Lower-case words of a name; a word ending in a dot keeps it (an abbreviation)."""
     name = unicodedata.normalize("NFC", name)
     name = re.sub(r"(?<![^\W\d_])([^\W\d_])([^\W\d_]+)", lambda m: m.group(0) if m.group(1).islower() else m.group(1) + re.sub(r"(?<=[a-zß-ÿ])(?=[A-ZŠ])", " ", m.group(2)), name)
-    name = re.sub(r"[\s_‐-―−\-]+", " ", name.casefold())
-    words = re.findall(r"[^\W_]+\.?", name)
-    return [w for w in words if w.rstrip(".") not in FILLERS]
+    name = re.sub(r"[\s_‐-―−\-]+", " ", name.casefold().replace("&", " and "))
+    return re.findall(r"[^\W_]+\.?", name)
 
 
 class Entry:
     """A reference entry, read."""
 
-    def __init__(self, ident: int, name: str) -> None:
+    def __init__(self, ident: int, name: str, fillers: frozenset[str] = frozenset()) -> None:
         self.id, self.name = ident, name
         dated = _RANGE.search(name)
         self.years = (int(dated.group(1)), int(dated.group(2))) if dated else None
-        words = _words(re.sub(r"[\(\[].*?[\)\]]", " ", name))
+        plain = re.sub(r"[\(\[].*?[\)\]]", " ", name)
+        words = [w.rstrip(".") for w in _words(plain) if w.rstrip(".") not in fillers]
+        self.several = len([p for p in _SEVERAL.split(plain) if _words(p)]) > 1
         self.numeral = _numeral(words[-1]) if len(words) > 1 else None
         self.words = words[:-1] if self.numeral else words
         self.key = "".join(self.words)
@@ -101,11 +99,18 @@ def _abbreviates(typed: str, word: str) -> bool:
     return all(c in rest for c in letters)
 
 
+#: Steps at which an entry is found (fixed values); the first step that finds anything decides. YEARS says that dates are known.
+EXACT, SHORTENED, SPELLED, INITIALS, DATED, YEARS = range(6)
+#: step, distance, entry, whether its dates are the value's
+Candidate = tuple[int, int, int, bool]
+
+
 class Matcher:
     """Looks values up in one shard of the reference."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.entries = [Entry(i, n) for i, n in rows if n]
+    def __init__(self, rows: list[tuple[int, str]], qualifiers: frozenset[str] = frozenset(), fillers: frozenset[str] = frozenset()) -> None:
+        self.qualifiers, self.fillers = qualifiers, fillers
+        self.entries = [Entry(i, n, fillers) for i, n in rows if n]
         self.exact: dict[str, set[int]] = {}
         self.years: dict[tuple[int, int], set[int]] = {}
         for e in self.entries:
@@ -122,123 +127,140 @@ class Matcher:
             if e.initials:
                 self.initials.setdefault((e.initials, e.numeral), []).append(e)
 
-    def names(self, text: str, dated: bool) -> dict[int, int]:
-        """Entries that a single name may mean, with their distance."""
-        words = _words(",".join(reversed(text.split(","))) if text.count(",") == 1 else text)
+    def names(self, text: str, years: tuple[int, int] | None, several: bool) -> list[Candidate]:
+        """Entries that a single name may mean, by the first step that finds any in this shard."""
+        words = [w for w in _words(",".join(reversed(text.split(","))) if text.count(",") == 1 else text) if w.rstrip(".") not in self.fillers]
         if not words:
-            return {}
+            return []
         # the last word that reads as a numeral is one, if the name has another word ("V II": initial and numeral)
         at = next((i for i in range(len(words) - 1, -1, -1) if _numeral(words[i])), None) if len(words) > 1 else None
         numeral = _numeral(words[at]) if at is not None else None
         rest = [w for i, w in enumerate(words) if i != at]
         plain = [w.rstrip(".") for w in rest]
         key = "".join(plain)
-        found: dict[int, int] = {}
+        found: dict[int, Candidate] = {}
+
+        def add(step: int, distance: int, entry: Entry) -> None:
+            if several <= entry.several and (entry.id not in found or distance < found[entry.id][1]):
+                found[entry.id] = step, distance, entry.id, years is not None and entry.years == years
+
         dotted = next((i for i, w in enumerate(rest) if w.endswith(".")), None)
         if dotted is not None:
             for entry in self.shapes.get((len(rest), numeral, dotted, rest[dotted][0]), ()):
                 near = [0 if t.endswith(".") and _abbreviates(t, w) else edit_distance(t.rstrip("."), w) for t, w in zip(rest, entry.words)]
                 if all(d <= _radius(w, False) for d, w in zip(near, entry.words)):
-                    found[entry.id] = sum(near)
+                    add(SHORTENED, sum(near), entry)
         if not found:
-            strict = {w for w in plain if w in QUALIFIERS}
+            strict = {w for w in plain if w in self.qualifiers}
             for distance, own, entry in self.tree.within(key, max(_EDITS)):
                 # a word that the listed one merely goes on from (a place, the people of it) is a word of its own
-                if distance > _radius(own, dated) or (own.startswith(key) and len(own) - len(key) > 1):
+                fits = years is not None and entry.years == years
+                if distance > _radius(own, fits) or (own.startswith(key) and len(own) - len(key) > 1):
                     continue
                 if entry.numeral == numeral and strict <= set(entry.words) and not self._lacks(plain, entry):
-                    found[entry.id] = min(distance, found.get(entry.id, 99))
-        if not found and len(key) <= 4:
+                    add(SPELLED, distance, entry)
+        if not found and (len(plain) == 1 or all(len(w) == 1 for w in plain)):
             for entry in self.initials.get((key, numeral), ()):
-                found[entry.id] = 0
-        return found
+                add(INITIALS, 0, entry)
+        return list(found.values())
 
-    @staticmethod
-    def _lacks(plain: list[str], entry: Entry) -> bool:
+    def _lacks(self, plain: list[str], entry: Entry) -> bool:
         """The entry has a qualifier of which the value has no trace."""
-        own = [w for w in entry.words if w in QUALIFIERS]
+        own = [w for w in entry.words if w in self.qualifiers]
         return bool(own) and len(plain) < len(entry.words) and not any("".join(plain).startswith(w[:2]) or w in "".join(plain) for w in own)
 
-    def match(self, value: str) -> tuple[int, int, int]:
-        """(id or 0, distance, entries at that distance)."""
+    def candidates(self, value: str) -> list[Candidate]:
+        """What this shard has for a value."""
         if value in self.exact:
-            ids = self.exact[value]
-            return (min(ids), -1, len(ids))
+            return [(EXACT, 0, i, True) for i in sorted(self.exact[value])]
         dated = _RANGE.search(value)
-        ids = self.years.get((int(dated.group(1)), int(dated.group(2))), set()) if dated else set()
+        years = (int(dated.group(1)), int(dated.group(2))) if dated else None
+        ids = self.years.get(years, set()) if years else set()
+        known: list[Candidate] = [(YEARS, 0, 0, True)] if ids else []
         name = value[: dated.start()] + " " + value[dated.end() :] if dated else value
-        name = re.sub(r"^\s*period\s*:", " ", name, flags=re.I)
         name = re.sub(r"\b[Bb]\.?\s?[Cc]\.?(\s?[Ee]\.?)?(?=\W|$)", " ", name)
-        parts = [p for p in _SEVERAL.split(name) if _words(p)]
-        if len(parts) > 1:
-            return (0, 99, 0)
+        parts = [p for p in _SEVERAL.split(name) if any(w.rstrip(".") not in self.fillers for w in _words(p))]
         if not parts:
-            return (min(ids), 0, len(ids)) if ids else (0, 99, 0)
-        found = self.names(parts[0], bool(ids))
-        if ids:
-            found = {i: d for i, d in found.items() if i in ids}
-        if not found:
-            return (0, 99, 0)
-        best = min(found.values())
-        winners = [i for i, d in found.items() if d == best]
-        return (min(winners), best, len(winners))
+            return known + [(DATED, 0, i, True) for i in sorted(ids)]
+        return known + self.names(name if len(parts) > 1 else parts[0], years, len(parts) > 1)
 
 
-def _decide(found: list[tuple[int, int, int]]) -> int:
-    """Merge the winners of the shards."""
-    hits = [f for f in found if f[2]]
-    if not hits:
+def decide(candidates: list[Candidate]) -> int:
+    """The entry that the candidates of all shards together mean, or 0."""
+    found = [c for c in candidates if c[0] != YEARS]
+    if not found:
+        return 0
+    step = min(c[0] for c in found)
+    found = [c for c in found if c[0] == step and (c[3] or len(found) == len(candidates))]
+    if not found:
         return 0
-    best = min(d for _, d, _ in hits)
-    near = [f for f in hits if f[1] == best]
-    return near[0][0] if len(near) == 1 and near[0][2] == 1 else 0
+    best = min(c[1] for c in found)
+    near = {c[2] for c in found if c[1] == best}
+    return min(near) if len(near) == 1 else 0
 
 
 @lru_cache(maxsize=1)
-def _built(rows: tuple) -> Matcher:
-    return Matcher(list(rows))
+def _built(rows: tuple, qualifiers: frozenset[str], fillers: frozenset[str]) -> Matcher:
+    return Matcher(list(rows), qualifiers, fillers)
 
 
-def match_values(df: DataFrame, value: str, reference: DataFrame, ident: str, name: str, out: str, shard: int = SHARD) -> DataFrame:
+def match_values(
+    df: DataFrame, value: str, reference: DataFrame, ident: str, name: str, out: str, shard: int = SHARD,
+    qualifiers: frozenset[str] = frozenset(), fillers: frozenset[str] = frozenset(),
+) -> DataFrame:
     """``df`` with the int column ``out``: the entry that ``value`` means, or 0."""
     spark = df.sparkSession
     ship(spark)
-    size = reference.count()
-    if size > LIMIT:
-        raise ValueError(f"the reference has {size} entries; at most {LIMIT} are matched")
-    rows = [(r[0], r[1]) for r in reference.select(ident, name).orderBy(ident, name).distinct().toLocalIterator()]
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    shards = [spark.sparkContext.broadcast(tuple(rows[i : i + shard])) for i in range(0, max(1, len(rows)), shard)]
-    if len(shards) == 1:
-        only = shards[0]
+    listed = reference.select(F.col(ident).cast("int").alias("_id"), F.col(name).alias("_v")).filter("_id is not null and _v is not null").distinct()
+    # at most shard + 1 rows come to the driver
+    some = sorted((r[0], r[1]) for r in listed.limit(shard + 1).collect())
+    if len(some) <= shard:
+        only = spark.sparkContext.broadcast(tuple(some))
 
         @F.pandas_udf("int")
         def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            matcher = _built(only.value)
+            matcher = _built(only.value, qualifiers, fillers)
 
             @lru_cache(maxsize=MEMO)
             def one(v: str) -> int:
-                return _decide([matcher.match(v)])
+                return decide(matcher.candidates(v))
 
             for batch in batches:
                 yield pd.Series([None if v is None else one(v) for v in batch], dtype="Int32")
 
         return df.withColumn(out, look_up(F.col(value)))
 
-    def per_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for number, part in batch.groupby("_shard"):
-                matcher = _built(shards[int(number)].value)
-                hits = [matcher.match(v) for v in part["_v"]]
-                yield pd.DataFrame({"_v": part["_v"].to_numpy(), "_id": [h[0] for h in hits], "_d": [h[1] for h in hits], "_n": [h[2] for h in hits]})
-
+    shards = -(-listed.count() // shard)
+    # the values of a shard are spread over blocks, each of which gets the shard's entries ahead of its values
+    blocks = max(1, -(-width(spark) // shards))
+    entries = listed.select("_id", "_v", F.pmod(F.xxhash64("_v"), F.lit(shards)).alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
     values = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v")).distinct()
-    met = values.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(len(shards) - 1))))
-    met = met.repartition("_shard", "_v").sortWithinPartitions("_shard")
-    hits = met.mapInPandas(per_shard, "_v string, _id int, _d int, _n int").filter("_n > 0")
-    best = hits.groupBy("_v").agg(F.min("_d").alias("_best"), F.collect_list(F.struct("_d", "_id", "_n")).alias("_all"))
-    near = F.filter("_all", lambda h: h["_d"] == F.col("_best"))
-    decided = best.select("_v", F.when((F.size(near) == 1) & (near[0]["_n"] == 1), near[0]["_id"]).otherwise(0).alias("_id"))
+    values = values.select(F.lit(None).cast("int").alias("_id"), "_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("_shard"), F.pmod(F.xxhash64("_v"), F.lit(blocks)).cast("int").alias("_block"))
+    met = entries.unionByName(values).withColumn("_entry", F.col("_id").isNotNull()).repartition("_shard", "_block").sortWithinPartitions("_shard", "_block", F.col("_entry").desc())
+
+    def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, matcher = None, [], None
+        for batch in batches:
+            for place, part in batch.groupby(["_shard", "_block"], sort=False):
+                if place != held:
+                    held, rows, matcher = place, [], None
+                own = part["_entry"].to_numpy(bool)
+                rows += [(int(i), n) for i, n in zip(part["_id"][own], part["_v"][own])]
+                asked = part["_v"][~own]
+                if not len(asked):
+                    continue
+                matcher = matcher or Matcher(sorted(rows), qualifiers, fillers)
+                found = [(v, *c) for v in asked for c in matcher.candidates(v)]
+                if found:
+                    yield pd.DataFrame(found, columns=["_v", "_step", "_d", "_id", "_fits"])
+
+    @F.pandas_udf("int")
+    def merge(all_: pd.Series) -> pd.Series:
+        return pd.Series([decide([(c["_step"], c["_d"], c["_id"], c["_fits"]) for c in row]) for row in all_], dtype="int32")
+
+    # a candidate for each entry within the radius; the years of a value are known or not, once
+    hits = met.mapInPandas(pass_by, "_v string, _step int, _d int, _id int, _fits boolean").distinct()
+    decided = hits.groupBy("_v").agg(F.collect_list(F.struct("_step", "_d", "_id", "_fits")).alias("_all")).select("_v", merge("_all").alias("_id"))
     held, found = unused(df, "_v", "_id")
     decided = decided.toDF(held, found)
     joined = df.join(decided, df[value] == decided[held], "left")

@@ -28,6 +28,11 @@ def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("a", "b", "together", "records_a", "records_b", "baskets", F.round("lift", 6).alias("lift"))
 
 
+#: Words that tell periods of one name apart, and words that say nothing about which period is meant (fixed values).
+PERIOD_QUALIFIERS = frozenset("early late later old older middle neo new proto post pre transitional".split())
+PERIOD_FILLERS = frozenset("period periods per age era time the probably prob possibly perhaps maybe likely presumably ca c circa approx bc bce".split())
+
+
 def _typed_periods(spark: SparkSession, folder: str) -> DataFrame:
     """src, k1, k2, period of every record whose period is not character for character a listed name."""
     nothing = F.lit("")
@@ -46,14 +51,14 @@ def _typed_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     reference = load(spark, folder, "period_list")
-    found = canonical.match_values(_typed_periods(spark, folder), "period", reference, "period_id", "name", "period_id")
+    found = canonical.match_values(_typed_periods(spark, folder), "period", reference, "period_id", "name", "period_id", qualifiers=PERIOD_QUALIFIERS, fillers=PERIOD_FILLERS)
     return found.select("src", "k1", "k2", "period_id").distinct()
 
 
 def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """The typed values that mean no listed period, or several, with their records."""
     reference = load(spark, folder, "period_list")
-    found = canonical.match_values(_typed_periods(spark, folder).distinct(), "period", reference, "period_id", "name", "period_id")
+    found = canonical.match_values(_typed_periods(spark, folder).distinct(), "period", reference, "period_id", "name", "period_id", qualifiers=PERIOD_QUALIFIERS, fillers=PERIOD_FILLERS)
     return found.filter("period_id = 0").groupBy("period").agg(F.count(F.lit(1)).alias("records"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tellgrid.llm import canonical, lookalikes
 from tellgrid.llm.bktree import BKTree, edit_distance
+from tellgrid.llm.queries import PERIOD_FILLERS, PERIOD_QUALIFIERS
 
 LIST = [
     (1, "Early Hadrune (ca. 3420-3260 BC)"), (2, "Late Hadrune (ca. 3260-3120 BC)"), (4, "Vosk I (ca. 3040-2890 BC)"), (5, "Vosk II (ca. 2890-2760 BC)"),
@@ -38,25 +39,71 @@ def test_metric_and_pruning():
     assert BKTree().within("a", 3) == []
 
 
-@pytest.mark.parametrize("shard", [1000, 4])
+@pytest.mark.parametrize("shard", [1000, 4, 1])
 def test_values(spark, shard):
     reference = spark.createDataFrame(LIST, "id int, name string")
     rows = [(v,) for v in [*CASES, None] for _ in range(2)]
     df = spark.createDataFrame(rows, "v string").withColumn("_v", F.lit("clash")).withColumn("_id", F.lit(7)).withColumn("id", F.lit(8))
-    out = canonical.match_values(df, "v", reference, "id", "name", "means", shard).collect()
+    out = canonical.match_values(df, "v", reference, "id", "name", "means", shard, PERIOD_QUALIFIERS, PERIOD_FILLERS).collect()
     assert len(out) == len(rows)
     assert {r.v: r.means for r in out} == CASES | {None: None}
 
 
-def test_reference_limits(spark, monkeypatch):
+def test_reference_limits(spark):
     df = spark.createDataFrame([("Vosk I",)], "v string")
     empty = spark.createDataFrame([], "id int, name string")
-    assert canonical.match_values(df, "v", empty, "id", "name", "m").first().m == 0
-    twice = spark.createDataFrame([(1, "Vosk I"), (2, "Vosk I"), (3, None)], "id int, name string")
-    assert canonical.match_values(df, "v", twice, "id", "name", "m").first().m == 0
-    monkeypatch.setattr(canonical, "LIMIT", 1)
-    with pytest.raises(ValueError):
-        canonical.match_values(df, "v", twice, "id", "name", "m")
+    twice = spark.createDataFrame([(1, "Vosk I"), (2, "Vosk I"), (3, None), (None, "Vosk I"), (4, "Vosk II"), (4, "Vosk II")], "id int, name string")
+    for shard in (1, 100):
+        assert canonical.match_values(df, "v", empty, "id", "name", "m", shard).first().m == 0
+        assert canonical.match_values(df, "v", twice, "id", "name", "m", shard).first().m == 0
+        assert canonical.match_values(df.select(F.lit("Vosk II").alias("v")), "v", twice, "id", "name", "m", shard).first().m == 4
+
+
+NAMES = (
+    "Trinidad and Tobago;Johnson & Johnson;Bosnia and Herzegovina;Sales/Marketing Manager;Nyla;New York City Area;Procter & Gamble;Rio de Janeiro;San Francisco;Los Angeles;"
+    "Saint Petersburg;Buenos Aires;Kuala Lumpur;Software Engineer;Hardware Engineer;Product Manager;Project Manager;Head of Research and Development;Coca-Cola;Mercedes-Benz;"
+    "Old Xanthic (ca. 2500-2340 BC);Tarsumic (ca. 1900-1800 BC);United Nations Educational Scientific Cultural Organization;Antigua and Barbuda;Marks & Spencer;Birmingham;Wellington"
+).split(";")
+
+
+def meant(values, names, shard):
+    """What the shards of a reference together say."""
+    rows = list(enumerate(names, 1))
+    matchers = [canonical.Matcher(rows[i : i + shard]) for i in range(0, len(rows), shard)]
+    return [canonical.decide([c for m in matchers for c in m.candidates(v)]) for v in values]
+
+
+def test_any_list_any_shard(spark):
+    """Cities, brands and titles: joints are part of a name first; the answer does not depend on the shards."""
+    listed = {n: i for i, n in enumerate(NAMES, 1)}
+    typed = {
+        "Trinidad and Tobagoo": "Trinidad and Tobago", "Johnson & Jonson": "Johnson & Johnson", "Bosnia and Herzegowina": "Bosnia and Herzegovina", "Sales/Marketing Manger": "Sales/Marketing Manager",
+        "NYCA": "Nyla", "UNESCO": "United Nations Educational Scientific Cultural Organization", "Tarsumic (ca. 2500-2340 BC)": None, "Coca Cola / Nyla": None, "san fransisco": "San Francisco",
+        "Los Angelos": "Los Angeles", "Sofware Engineer": "Software Engineer", "Prodcut Manager": "Product Manager", "Antigua & Barbuda": "Antigua and Barbuda", "Welington": "Wellington", "Berlin": None,
+    }
+    wanted = [listed.get(n, 0) for n in typed.values()]
+    for shard in (100, 7, 2, 1):
+        assert meant(typed, NAMES, shard) == wanted
+    reference = spark.createDataFrame([(i, n) for n, i in listed.items()], "id int, name string")
+    df = spark.createDataFrame([(v,) for v in typed], "v string")
+    got = {r.v: r.m for r in canonical.match_values(df, "v", reference, "id", "name", "m", 6).collect()}
+    assert [got[v] for v in typed] == wanted
+
+
+def test_misspelled_lists():
+    """Names with one edit are found; shards of any size give the same answers."""
+    rng = random.Random(11)
+    values, wanted = [], []
+    for n, name in enumerate(NAMES, 1):
+        for _ in range(6):
+            at = rng.randrange(1, len(name))
+            edit = rng.choice((name[:at] + name[at + 1 :], name[:at] + rng.choice("aeiost") + name[at:], name[: at - 1] + name[at] + name[at - 1] + name[at + 1 :]))
+            values.append(edit)
+            wanted.append(n)
+    found = meant(values, NAMES, 100)
+    assert sum(f == w for f, w in zip(found, wanted)) >= 0.9 * len(values)
+    assert sum(f not in (0, w) for f, w in zip(found, wanted)) <= 0.02 * len(values)
+    assert meant(values, NAMES, 5) == meant(values, NAMES, 3) == found
 
 
 CLEAN = ["lugal", "šaše-a", "{ŋeš}zap-e-ne", "|AŠIK+KA×NIBUB₅|", "½(dapag₄-e)", "bulug′", "i₃-ḫazuk†", "à-mé", "r̃ular̃", "radid₇⁽²⁾", "kug(𒀻)", "14(bal)", "neḫun-akₓ", "piʾŋam₆", "lip didli", ""]
