@@ -109,9 +109,14 @@ def _lemma_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_counts.suffixes_of_rows(words, ["text_id", "line_id"], "lemma")
 
 
-def _gram_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+#: Terms of the longest n-gram of ``collocations``; every run within one is counted, and the terms are the runs of one.
+RUN = 4
+
+
+def _gram_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """gram, occurrences, records of every run of terms within an n-gram."""
     grams = load(spark, folder, "collocations").filter("ngram is not null").select("n", "ngram").distinct()
-    return suffix_counts.suffixes_of_arrays(grams.withColumn("terms", F.split("ngram", " ")), ["n", "ngram"], "terms", 1)
+    return suffix_counts.count_prefixes(suffix_counts.suffixes_of_arrays(grams.withColumn("terms", F.split("ngram", " ")), "terms", RUN), RUN)
 
 
 def _unigram_suffixes(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,7 +130,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     total = load(spark, folder, "unigrams").distinct().agg(F.sum("count")).first()[0] or 0
     lemmas = suffix_counts.count_prefixes(_lemma_suffixes(spark, folder), 1)
     heads = suffix_counts.count_prefixes(_unigram_suffixes(spark, folder), 1)
-    terms = suffix_counts.count_prefixes(_gram_suffixes(spark, folder), 1)
+    terms = _gram_runs(spark, folder).filter(F.size("gram") == 1)
     return (
         _marked(lemmas, "words.lemma", "records", 2, 50, words)
         .unionByName(_marked(heads, "unigrams.cf", "occurrences", 5, 200, total))
@@ -136,16 +141,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Every term of the three fields with its occurrences and records."""
     parts = (
-        ("words.lemma", _lemma_suffixes(spark, folder)),
-        ("unigrams.cf", _unigram_suffixes(spark, folder)),
-        ("collocations.ngram", _gram_suffixes(spark, folder)),
+        ("words.lemma", suffix_counts.count_prefixes(_lemma_suffixes(spark, folder), 1)),
+        ("unigrams.cf", suffix_counts.count_prefixes(_unigram_suffixes(spark, folder), 1)),
+        ("collocations.ngram", _gram_runs(spark, folder).filter(F.size("gram") == 1)),
     )
-    found = None
-    for field, suffixes in parts:
-        counted = suffix_counts.count_prefixes(suffixes, 1)
-        part = counted.select(F.lit(field).alias("field"), F.col("gram")[0].alias("term"), "occurrences", "records")
-        found = part if found is None else found.unionByName(part)
-    return found
+    found = [counted.select(F.lit(field).alias("field"), F.col("gram")[0].alias("term"), "occurrences", "records") for field, counted in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p7_gram_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run of one to four terms within the n-grams of ``collocations``, with its occurrences and n-grams."""
+    return _gram_runs(spark, folder).select(F.size("gram").cast("bigint").alias("n"), F.concat_ws(" ", "gram").alias("gram"), "occurrences", "records")
 
 
 def p7_line_ngrams(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,4 +196,5 @@ def queries() -> dict[str, Query]:
         "p7_found": p7_found,
         "p7_terms": p7_terms,
         "p7_line_ngrams": p7_line_ngrams,
+        "p7_gram_runs": p7_gram_runs,
     }

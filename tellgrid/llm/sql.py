@@ -58,6 +58,11 @@ with {_P7_COUNTS}
 select 'words.lemma' as field, term, occurrences, records from l
 union all select 'unigrams.cf', term, occurrences, records from u
 union all select 'collocations.ngram', term, occurrences, records from c""",
+        "p7_gram_runs": """
+with g as (select row_number() over () as id, list_filter(string_split(ngram, ' '), lambda t: t <> '') as t from (select distinct n, ngram from collocations where ngram is not null)),
+  p as (select id, t, unnest(range(1, len(t) + 1)) as i from g),
+  r as (select id, k as n, array_to_string(t[i:i + k - 1], ' ') as gram from p, (values (1), (2), (3), (4)) as l(k) where i + k - 1 <= len(t))
+select n::bigint as n, gram, count(*) as occurrences, count(distinct id) as records from r group by 1, 2""",
         "p7_line_ngrams": """
 with w as (select text_id, line_id, lemma, row_number() over (partition by text_id, line_id order by word_pos) as i
            from (select distinct text_id, line_id, word_pos, lemma from words where lemma is not null and lemma <> '')),

@@ -1,10 +1,10 @@
 """Frequency of every distinct value, term or n-gram by suffix-sorted counting.
 
 Every position of a record's term sequence gives one suffix, cut to the longest n-gram wanted. Equal suffixes are summed
-before anything moves. The sums are routed by their first term (a term that starts very many suffixes is spread over
-several partitions by its second term), sorted in reverse lexicographic order within each partition, and one pass with a
-stack no deeper than the longest n-gram adds up all prefixes: when the next suffix no longer shares a prefix on the stack,
-that prefix is complete and comes out.
+before anything moves. The sums are routed by their first term (a term that starts more than ``HEAVY`` different suffixes is
+spread over as many partitions as its weight asks for), sorted in reverse lexicographic order within each partition, and
+one pass with a stack no deeper than the longest n-gram adds up all prefixes: when the next suffix no longer shares a prefix
+on the stack, that prefix is complete and comes out. What a spread term's partitions have in common is summed at the end.
 
 Records are counted without keeping sets of them: a suffix carries the shortest length from which its prefixes are seen
 for the first time in their record ("fresh"), so a prefix adds one record exactly where it first occurs.
@@ -25,16 +25,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Partitions over which the suffixes of one first term may be spread.
-SPREAD = 16
+#: Different suffixes of one first term that a partition holds; the terms that have more are at most one in so many suffixes.
+HEAVY = 500_000
 
 _OUT = "gram array<string>, occurrences bigint, records bigint"
 
 
-def suffixes_of_arrays(df: DataFrame, record: list[str], terms: str, longest: int) -> DataFrame:
-    """suffix, fresh, weight of every position of the arrays in ``terms``; ``record`` names the columns that tell records apart."""
-    rows = df.select(*record, F.posexplode(terms).alias("_at", "_term"))
-    return suffixes_of_rows(rows, record, "_term", "_at", longest)
+def suffixes_of_arrays(df: DataFrame, terms: str, longest: int) -> DataFrame:
+    """suffix, fresh, weight of every position of the arrays in ``terms``, each array a record; nothing is shuffled."""
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            suffixes, fresh = [], []
+            for sequence in batch["terms"]:
+                own, seen = [t for t in sequence if t], set()
+                for at in range(len(own)):
+                    suffix = tuple(own[at : at + longest])
+                    # prefixes of a prefix that was seen were seen too
+                    new = next((n for n in range(1, len(suffix) + 1) if suffix[:n] not in seen), len(suffix) + 1)
+                    seen.update(suffix[:n] for n in range(new, len(suffix) + 1))
+                    suffixes.append(list(suffix))
+                    fresh.append(new)
+            if suffixes:
+                yield pd.DataFrame({"suffix": suffixes, "fresh": fresh, "weight": 1})
+
+    return df.filter(F.col(terms).isNotNull()).select(F.col(terms).alias("terms")).mapInPandas(cut_up, "suffix array<string>, fresh int, weight bigint")
 
 
 def suffixes_of_rows(df: DataFrame, record: list[str], term: str, position: str | None = None, longest: int = 1) -> DataFrame:
@@ -104,11 +119,17 @@ def count_prefixes(suffixes: DataFrame, longest: int) -> DataFrame:
     summed = suffixes.groupBy("suffix", "fresh").agg(
         F.sum(F.coalesce("weight", F.lit(0))).cast("bigint").alias("weight"), F.count(F.lit(1)).alias("n")
     )
-    spread = F.lit(0) if longest == 1 else F.pmod(F.xxhash64(F.get("suffix", F.lit(1))), F.lit(SPREAD))
-    routed = summed.withColumn("_first", F.get("suffix", F.lit(0))).withColumn("_spread", spread)
-    routed = routed.repartition("_first", "_spread").sortWithinPartitions(F.col("suffix").desc()).select("suffix", "fresh", "weight", "n")
+    first = summed.withColumn("_first", F.get("suffix", F.lit(0)))
+    if longest > 1:
+        heavy = first.groupBy("_first").agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") > HEAVY)
+        # at most one row in HEAVY suffixes, so it may be broadcast
+        heavy = heavy.select(F.col("_first").alias("_heavy"), F.ceil(2 * F.col("_all") / HEAVY).alias("_parts"))
+        first = first.join(F.broadcast(heavy), F.col("_first") == F.col("_heavy"), "left")
+        first = first.withColumn("_spread", F.pmod(F.xxhash64("suffix"), F.coalesce("_parts", F.lit(1).cast("bigint")))).drop("_heavy", "_parts")
+    by = ["_first"] if longest == 1 else ["_first", "_spread"]
+    routed = first.repartition(*by).sortWithinPartitions(F.col("suffix").desc()).select("suffix", "fresh", "weight", "n")
     counted = routed.mapInPandas(_stack(longest), _OUT)
     if longest == 1:
         return counted
-    # the one-term prefixes of a spread first term come out once per partition
+    # the prefixes of a spread first term come out once per partition
     return counted.groupBy("gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

@@ -10,8 +10,8 @@ sequence of tokens is the encoding of its bytes if and only if each neighbouring
 Defined results
 ---------------
 * a null and an empty text give an empty list; a blank text is encoded as it stands; special tokens are ordinary text;
-* ``key`` must be unique; a repeated row of a text with a long piece comes out once, other repeated rows as often as they
-  come in; an empty table gives no rows; other columns are dropped.
+* every row comes out once, whether its key or its text is repeated or not, and however long its pieces are; an empty table
+  gives no rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def _leaves(path: str, leaf: int):
 
         split = regex.compile(PATTERN)
         for batch in batches:
-            for key, text in zip(batch["key"], batch["text"]):
+            for number, text in enumerate(batch["text"]):
                 rows, plain = [], []
                 segment = 0
 
@@ -141,7 +141,8 @@ def _leaves(path: str, leaf: int):
                     rows += [(segment, i, True, data[i * leaf : (i + 1) * leaf]) for i in range(-(-len(data) // leaf))]
                     segment += 1
                 close()
-                yield pd.DataFrame(rows, columns=["segment", "leaf", "raw", "data"]).assign(key=key)[["key", "segment", "leaf", "raw", "data"]]
+                own = batch.iloc[[number] * len(rows)][["key", "mark", "times"]].reset_index(drop=True)
+                yield pd.concat([own, pd.DataFrame(rows, columns=["segment", "leaf", "raw", "data"])], axis=1)
 
     return run
 
@@ -154,7 +155,7 @@ def _encode_leaves(path: str):
                 enc._encode_single_piece(bytes(data)) if raw else enc.encode_ordinary(bytes(data).decode())
                 for raw, data in zip(batch["raw"], batch["data"])
             ]
-            yield batch[["key", "segment", "leaf", "raw"]].assign(ids=ids)
+            yield batch[["key", "mark", "times", "segment", "leaf"]].assign(ids=ids)
 
     return run
 
@@ -165,7 +166,7 @@ def _grow(path: str):
         ids: list[int] = []
         for _, part in group.sort_values(["segment", "leaf"]).groupby("segment", sort=True):
             ids += joiner.tree([list(x) for x in part["ids"]])
-        return pd.DataFrame({"key": [group["key"].iloc[0]], "ids": [ids]})
+        return group[["key", "times"]].iloc[:1].assign(ids=[ids])
 
     return run
 
@@ -178,14 +179,17 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None, l
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     long = F.coalesce(_is_long(F.col("text"), leaf), F.lit(False))
     short = rows.filter(~long).mapInArrow(_ids(path, count_only), f"key {kind}, ids {'int' if count_only else 'array<int>'}")
+    # a repeated key may have several long texts, and each may be there several times
+    own, kept = f"key {kind}, mark string, times bigint", ["key", "mark", "segment", "leaf"]
     parts = (
-        rows.filter(long)
-        .dropDuplicates(["key"])
-        .mapInPandas(_leaves(path, leaf), f"key {kind}, segment int, leaf int, raw boolean, data binary")
-        .repartition("key", "segment", "leaf")
-        .mapInPandas(_encode_leaves(path), f"key {kind}, segment int, leaf int, raw boolean, ids array<int>")
-    )
-    grown = parts.groupBy("key").applyInPandas(_grow(path), f"key {kind}, ids array<int>")
+        rows.filter(long).groupBy("key", "text").agg(F.count(F.lit(1)).alias("times"))
+        .select("key", F.sha2("text", 256).alias("mark"), "times", "text")
+        .mapInPandas(_leaves(path, leaf), f"{own}, segment int, leaf int, raw boolean, data binary")
+        .repartition(*kept)
+        .mapInPandas(_encode_leaves(path), f"{own}, segment int, leaf int, ids array<int>")
+    )
+    grown = parts.groupBy("key", "mark").applyInPandas(_grow(path), f"key {kind}, times bigint, ids array<int>")
+    grown = grown.select("key", "ids", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).select("key", "ids")
     if count_only:
         grown = grown.select("key", F.size("ids").alias("ids"))
     return short.unionByName(grown).withColumnRenamed("key", key)

@@ -79,9 +79,20 @@ def test_suffix_counts(spark, longest):
 
 def test_suffix_counts_of_arrays(spark):
     df = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["b", None, "a"]), (3, []), (4, None)], "id int, t array<string>")
-    got = {tuple(x.gram): (x.occurrences, x.records) for x in suffix_counts.count_prefixes(suffix_counts.suffixes_of_arrays(df, ["id"], "t", 2), 2).collect()}
+    got = {tuple(x.gram): (x.occurrences, x.records) for x in suffix_counts.count_prefixes(suffix_counts.suffixes_of_arrays(df, "t", 2), 2).collect()}
     assert got == brute_grams({1: ["a", "b", "a", "b"], 2: ["b", "a"]}, 2)
-    assert suffix_counts.count_prefixes(suffix_counts.suffixes_of_arrays(df.limit(0), ["id"], "t", 2), 2).count() == 0
+    assert suffix_counts.count_prefixes(suffix_counts.suffixes_of_arrays(df.limit(0), "t", 2), 2).count() == 0
+
+
+def test_a_first_term_of_any_weight(spark, monkeypatch):
+    """However many suffixes a first term starts, and over however many partitions they are spread, the counts are the same."""
+    rng = random.Random(9)
+    records = {i: ["h" if rng.random() < 0.6 else rng.choice("abcd") for _ in range(rng.randint(0, 9))] for i in range(200)}
+    df = spark.createDataFrame([(i, t) for i, t in records.items()], "id int, t array<string>")
+    for heavy in (1, 7, 10_000):
+        monkeypatch.setattr(suffix_counts, "HEAVY", heavy)
+        got = {tuple(x.gram): (x.occurrences, x.records) for x in suffix_counts.count_prefixes(suffix_counts.suffixes_of_arrays(df, "t", 4), 4).collect()}
+        assert got == brute_grams(records, 4)
 
 
 @pytest.mark.parametrize("n", [1, 3])

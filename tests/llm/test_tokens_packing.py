@@ -42,6 +42,18 @@ def test_corpus(spark, leaf):
     assert tokens.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("leaf", [32, tokens.LEAF])
+def test_repeated_keys(spark, leaf):
+    """Rows of one key all come out, also those of long texts."""
+    enc = tokens.encoder(PATH)
+    rows = [(1, "a" * 400), (1, "a" * 400), (1, "b" * 400), (2, "c"), (2, "c"), (None, "-" * 400), (None, "-" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, tuple(r.ids)) for r in tokens.encode_corpus(df, "doc_id", "text", leaf=leaf).collect())
+    assert got == sorted((k or 0, tuple(enc.encode(t))) for k, t in rows)
+    sizes = sorted((r.doc_id or 0, r.ids) for r in tokens.encode_corpus(df, "doc_id", "text", leaf=leaf, count_only=True).collect())
+    assert sizes == sorted((k, len(x)) for k, x in got)
+
+
 def test_other_library_agrees(spark):
     tokenizers = pytest.importorskip("tokenizers")
     other = tokenizers.Tokenizer.from_file(os.path.join(tokens.FOLDER, "byte_bpe_50k.json"))
