@@ -27,12 +27,12 @@ CORPUS_ENTITIES = {
     "amacr": "ā", "Amacr": "Ā", "emacr": "ē", "Emacr": "Ē", "imacr": "ī", "Imacr": "Ī", "omacr": "ō", "Omacr": "Ō", "umacr": "ū", "Umacr": "Ū",
     "apos": "'", "nbsp": " ",
 }
-#: Determinatives: written as an entity, read in braces (fixed values).
+#: Determinatives as they come out (fixed values).
 DETERMINATIVES = {
-    "d": "d", "dug": "dug", "f": "f", "gi": "gi", "id2": "id₂", "im": "im", "jic": "ŋeš", "ki": "ki", "ku6": "ku₆", "kuc": "kuš", "lu2": "lu₂",
-    "m": "m", "mu": "mu", "mucen": "mušen", "mul": "mul", "zabar": "zabar", "na4": "na₄", "sar": "sar", "tug2": "tug₂", "u2": "u₂", "udu": "udu",
-    "urud": "urud", "uzu": "uzu", "ance": "anše", "cah2": "šaḫ₂", "e2": "e₂", "gud": "gud", "iku": "iku", "kac": "kaš", "kur": "kur",
-    "ninda": "ninda", "sa": "sa", "tum9": "tum₉",
+    "d": "{d}", "dug": "{dug}", "f": "{f}", "gi": "{gi}", "id2": "{id₂}", "im": "{im}", "jic": "{ŋeš}", "ki": "{ki}", "ku6": "{ku₆}", "kuc": "{kuš}",
+    "lu2": "{lu₂}", "m": "{m}", "mu": "{mu}", "mucen": "{mušen}", "mul": "{mul}", "zabar": "{zabar}", "na4": "{na₄}", "sar": "{sar}", "tug2": "{tug₂}",
+    "u2": "{u₂}", "udu": "{udu}", "urud": "{urud}", "uzu": "{uzu}", "ance": "{anše}", "cah2": "{šaḫ₂}", "e2": "{e₂}", "gud": "{gud}", "iku": "{iku}",
+    "kac": "{kaš}", "kur": "{kur}", "ninda": "{ninda}", "sa": "{sa}", "tum9": "{tum₉}",
 }
 _LATIN = (
     "euml iuml Iuml aacute eacute iacute oacute uacute Aacute Eacute Iacute Oacute Uacute ouml auml uuml Ouml Auml Uuml "
@@ -44,7 +44,7 @@ _ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9_]*);")
 def entity_map() -> dict[str, str]:
     """Entity name to text."""
     latin = {name: html.entities.html5[name + ";"] for name in _LATIN}
-    return latin | CORPUS_ENTITIES | {name: "{" + sign + "}" for name, sign in DETERMINATIVES.items()}
+    return latin | CORPUS_ENTITIES | DETERMINATIVES
 
 
 @F.pandas_udf(T.StringType())
@@ -94,8 +94,10 @@ def digits_to_subscripts(text: Column) -> Column:
 
 
 def _index_digits(text: Column, letters: str) -> Column:
-    """Digits that follow a letter, or another such digit, become index digits."""
-    return reduce(lambda t, d: F.regexp_replace(t, f"(?<=[{letters}][0-9{SUBSCRIPTS}]{{0,9}}){d}", SUBSCRIPTS[d]), range(10), text)
+    """A run of digits right behind a letter becomes index digits; digits behind anything else stay."""
+    runs = F.split(text, f"(?<=[{letters}])(?=[0-9])|(?<=[0-9])(?=[^0-9])", -1)
+    lowered = F.transform(runs, lambda run, i: F.when((i > 0) & run.rlike("^[0-9]+$"), digits_to_subscripts(run)).otherwise(run))
+    return F.array_join(lowered, "")
 
 
 def normalize_translit(text: Column) -> Column:
@@ -154,19 +156,20 @@ def normalize_p_id(raw: Column) -> Column:
     return format_p_id(F.regexp_replace(strip(raw), "^[Pp]+", ""))
 
 
-def tokens(text: Column, placeholders: bool = False) -> Column:
-    """Words of a transliteration without determinatives and edge punctuation; empty ones drop out.
+#: Signs stripped from the ends of a word (fixed values).
+_EDGES = r"\[\]⸢⸣(),;:!?"
+
 
-    With ``placeholders`` a lone x or X is dropped too.
-    """
-    strip_chars = r"\[\]⸢⸣(),;:!?"
+def clean_word(word: Column, placeholders: bool = False) -> Column:
+    """A word without determinatives and edge punctuation; with ``placeholders`` a lone x or X becomes empty."""
+    bare = strip(F.regexp_replace(word, r"\{[^}]*\}", ""))
+    bare = F.regexp_replace(bare, f"^[{_EDGES}]+|[{_EDGES}]+$", "")
+    return F.when(bare.isin("x", "X"), "").otherwise(bare) if placeholders else bare
 
-    def clean(word: Column) -> Column:
-        bare = strip(F.regexp_replace(word, r"\{[^}]*\}", ""))
-        bare = F.regexp_replace(bare, f"^[{strip_chars}]+|[{strip_chars}]+$", "")
-        return F.when(bare.isin("x", "X"), "").otherwise(bare) if placeholders else bare
 
-    words = F.transform(F.split(strip(text), r"(?U)\s+"), clean)
+def tokens(text: Column, placeholders: bool = False) -> Column:
+    """Words of a transliteration without determinatives and edge punctuation; empty ones drop out."""
+    words = F.transform(F.split(strip(text), r"(?U)\s+"), lambda w: clean_word(w, placeholders))
     return F.filter(words, lambda w: w != "")
 
 
@@ -175,6 +178,11 @@ def pieces(word: Column) -> Column:
     return F.filter(F.split(word, r"[-.]"), lambda p: p != "")
 
 
+def clean_pieces(word: Column) -> Column:
+    """Parts of a word between hyphens and dots, each cleaned like a word; placeholders and empty ones drop out."""
+    return F.filter(F.transform(F.split(word, r"[-.]"), lambda p: clean_word(p, True)), lambda p: p != "")
+
+
 def joined(separator: str, *parts: Column) -> Column:
     """Parts that are neither null nor empty, joined."""
     return F.concat_ws(separator, *[F.nullif(p, F.lit("")) for p in parts])

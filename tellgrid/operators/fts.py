@@ -12,7 +12,6 @@ stand in a matching document.
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -247,18 +246,16 @@ def _evaluate(index: Index, node: Node) -> tuple[DataFrame, list[DataFrame]]:
 
 
 def search(index: Index, query: str) -> DataFrame:
-    """doc, score of every matching document; order by score descending, then doc."""
+    """doc, score of every matching document; order by score descending, then doc. No job runs while this is planned."""
     ship(index.postings.sparkSession)
     docs, phrases = _evaluate(index, parse(query, index.stemmed))
-    stats = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    total, mean = stats["n"], stats["mean"] or 1.0
-    scored = None
-    for hits in phrases:
-        found = hits.count()
-        idf = max(1e-6, math.log((total - found + 0.5) / (found + 0.5))) if total else 1e-6
-        part = hits.join(index.lengths, "doc").select(
-            "doc", (F.lit(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))).alias("s")
-        )
-        scored = part if scored is None else scored.unionByName(part)
-    summed = scored.groupBy("doc").agg(F.sum("s").alias("score"))
+    hits = reduce(DataFrame.unionByName, [h.select(F.lit(i).alias("phrase"), "doc", "tf") for i, h in enumerate(phrases)])
+    total, mean = index.lengths.agg(F.count(F.lit(1))).scalar(), index.lengths.agg(F.avg("length")).scalar()
+    found = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("found")).withColumn("n", total).withColumn("mean", mean)
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("found") + 0.5) / (F.col("found") + 0.5)))
+    # a row per phrase of the query
+    found = F.broadcast(found.select("phrase", idf.alias("idf"), "mean"))
+    length = F.col("length") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
+    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
+    summed = hits.join(index.lengths, "doc").join(found, "phrase").groupBy("doc").agg(F.sum(score).alias("score"))
     return docs.join(summed, "doc", "left").select("doc", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -20,13 +20,13 @@ def sequences(df: DataFrame, line: list[str], position: str, item: str, least: i
     return kept.groupBy(*line).agg(ordered.alias("items")).filter(F.size("items") >= least)
 
 
-def ngram_counts(df: DataFrame, line: list[str], position: str, item: str, n: int, least_count: int = 1) -> DataFrame:
-    """ngram (items joined by a blank), n, count of all runs of ``n`` items; window form, so no line is gathered."""
+def ngram_counts(df: DataFrame, line: list[str], position: str, item: str, n: int, least_count: int = 1, separator: str = " ") -> DataFrame:
+    """ngram (items joined by ``separator``), n, count of all runs of ``n`` items; window form, so no line is gathered."""
     kept = df.filter(F.col(item).isNotNull() & (F.col(item) != ""))
     by = Window.partitionBy(*line).orderBy(position)
     columns = [F.col(item), *[F.lead(item, k).over(by) for k in range(1, n)]]
     grams = kept.select(*[c.alias(f"w{i}") for i, c in enumerate(columns)]).filter(F.col(f"w{n - 1}").isNotNull())
-    joined = F.concat_ws(" ", *[f"w{i}" for i in range(n)])
+    joined = F.concat_ws(separator, *[f"w{i}" for i in range(n)])
     counted = grams.groupBy(joined.alias("ngram")).agg(F.count(F.lit(1)).alias("count"))
     return counted.filter(F.col("count") >= least_count).select(F.lit(n).cast("bigint").alias("n"), "ngram", "count")
 

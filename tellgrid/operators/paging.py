@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellgrid.session import unused
+
 
 @dataclass(frozen=True)
 class PageInfo:
@@ -28,6 +30,15 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, cap: i
     return df.orderBy(*order).offset(offset).limit(limit), PageInfo(total, offset, after if after < total else None)
 
 
+def paged(df: DataFrame, order: list[Column], limit: int, offset: int = 0, cap: int = 50) -> DataFrame:
+    """The rows of a page with ``total`` and ``next_offset`` (null at the end) as columns; nothing runs while this is planned."""
+    limit, offset = clamp(limit, cap), max(0, int(offset))
+    total, following = unused(df, "total", "next_offset")
+    rows = df.orderBy(*order).offset(offset).limit(limit).withColumn(total, df.agg(F.count(F.lit(1))).scalar())
+    after = F.lit(offset + limit).cast("bigint")
+    return rows.withColumn(following, F.when(after < F.col(total), after))
+
+
 def keyset_page(df: DataFrame, key: str, start: object, limit: int, cap: int = 200) -> tuple[DataFrame, object | None]:
     """Rows with ``key`` >= start, and where the next page starts (None at the end)."""
     limit = clamp(limit, cap)

@@ -10,6 +10,7 @@ from tellgrid.functions.refs import parse_word_ref
 from tellgrid.functions.text import SUBSCRIPTS, joined, normalize_p_id
 from tellgrid.operators import filters, fts, groups, pattern
 from tellgrid.operators.dedup import first_wins
+from tellgrid.operators.paging import paged
 from tellgrid.plans import lexicon
 from tellgrid.plans.tables import Corpus
 
@@ -64,7 +65,10 @@ def attestations(corpus: Corpus, per_entry: int = 3, period: str | None = None,
     if oids is not None:
         entries = entries.filter(F.col("oid").isin(oids))
     ref = parse_word_ref(F.col("word_ref"))
-    refs = corpus["instances"].filter("word_ref is not null").withColumn("_r", ref).filter("_r is not null")
+    instances = corpus["instances"].filter("word_ref is not null")
+    if oids is not None:
+        instances = instances.join(entries.select("xis"), "xis", "left_semi")
+    refs = instances.withColumn("_r", ref).filter("_r is not null")
     refs = refs.select("xis", "word_ref", "_r.project", "_r.text_id", F.col("_r.line").alias("line_label"))
     texts = corpus["text_locations"].select("project", "text_id", "period", "designation")
     if period is not None:
@@ -72,13 +76,54 @@ def attestations(corpus: Corpus, per_entry: int = 3, period: str | None = None,
         texts = texts.join(names, texts["period"] == names["_name"], "left_semi")
         refs = refs.join(texts, ["project", "text_id"], "left_semi")
     lines = refs.groupBy("xis", "project", "text_id", "line_label").agg(F.min("word_ref").alias("word_ref"))
-    top = groups.top_per_group(lines, ["xis"], [F.col("word_ref")], per_entry).drop("total")
+    rank = F.row_number().over(Window.partitionBy("xis").orderBy("word_ref"))
+    top = lines.withColumn("rank", rank).filter(F.col("rank") <= per_entry)
     found = entries.join(top, "xis").join(texts, ["project", "text_id"], "left")
     dated = corpus["artifacts"].select(F.col("p_id").alias("text_id"), "museum_collection", "museum_no")
     full = found.join(dated, "text_id", "left")
     return full.select("oid", F.col("rank").cast("bigint").alias("rank"), "word_ref", "project", "text_id", "line_label", "period", "designation", "museum_collection", "museum_no")
 
 
+def examples(corpus: Corpus, per_entry: int = 3, period: str | None = None, oids: list[str] | None = None, base: str = CATALOGUE, citations: tuple[str, str] = ("dictionary", "catalogue")) -> DataFrame:
+    """Attested lines as they read: attestations with transliteration, target (the word itself), target_position, the
+    artifact's addresses and a quotation in markdown.
+
+    A line of a text that is not at hand has none of these. Needs ``corpus_words`` (project, text_id, line, position, frag, ref).
+    """
+    found = attestations(corpus, per_entry, period, oids)
+    lines = resolve_lines(corpus["corpus_words"], found, "word_ref").withColumnRenamed("line", "line_label").drop("asked")
+    lines = lines.withColumn("target", F.get(F.col("frags"), F.col("target_position")))
+    shown = corpus["artifacts"].select(F.col("p_id").alias("text_id"), "cdli_id", "has_photo", "has_lineart")
+    both = found.join(lines, ["project", "text_id", "line_label"], "left").join(shown, "text_id", "left")
+    urls = asset_urls(F.col("text_id"), F.col("cdli_id"), F.col("has_photo"), F.col("has_lineart"), base)
+    both = both.select(*found.columns, "transliteration", "target", "target_position", *[c.alias(n) for n, c in urls.items()])
+    return both.withColumn("markdown", attestation_markdown(*citations))
+
+
+def unresolved(corpus: Corpus, oids: list[str] | None = None, top: int = 3) -> DataFrame:
+    """oid, refs, p_refs, q_refs, projects for entries none of whose references leads to a located text.
+
+    projects are the ``top`` projects named most, with their counts; p_refs and q_refs count references by kind of text id.
+    """
+    entries = corpus["entries"].select(F.col("id").alias("oid"), "xis").filter("xis is not null")
+    if oids is not None:
+        entries = entries.filter(F.col("oid").isin(oids))
+    read = corpus["instances"].filter("word_ref is not null").withColumn("_r", parse_word_ref(F.col("word_ref"))).filter("_r is not null")
+    read = read.select("xis", "_r.project", "_r.text_id").groupBy("xis", "project", "text_id").agg(F.count(F.lit(1)).alias("n"))
+    known = corpus["text_locations"].select("project", "text_id", F.lit(1).alias("known")).distinct()
+    both = read.join(known, ["project", "text_id"], "left")
+    kind = F.substring("text_id", 1, 1)
+    per = both.groupBy("xis", "project").agg(
+        F.sum("n").alias("n"), F.sum(F.when(kind == "P", F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(kind == "Q", F.col("n")).otherwise(0)).alias("q"), F.count("known").alias("known")
+    )
+    whole = per.groupBy("xis").agg(
+        F.sum("n").alias("refs"), F.sum("p").alias("p_refs"), F.sum("q").alias("q_refs"), F.sum("known").alias("known"),
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("down"), "project", "n"))), 1, top).alias("all"),
+    ).filter("known = 0")
+    projects = F.transform("all", lambda p: F.concat(p["project"], F.lit(" ("), p["n"].cast("string"), F.lit(")")))
+    return entries.join(whole, "xis").select("oid", "refs", "p_refs", "q_refs", F.array_join(projects, ", ").alias("projects"))
+
+
 def resolve_lines(words: DataFrame, refs: DataFrame, ref: str) -> DataFrame:
     """Lines that references point at: project, text_id, line, transliteration, target_position; a line comes out once.
 
@@ -88,21 +133,35 @@ def resolve_lines(words: DataFrame, refs: DataFrame, ref: str) -> DataFrame:
     wanted = wanted.select("r.project", "r.text_id", "r.line", "asked", F.concat_ws(".", "r.text_id", "r.line", "r.word").alias("_target"))
     once = first_wins(wanted, ["project", "text_id", "line"], ["asked"])
     pieces = words.join(once, ["project", "text_id", "line"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "frag"))), lambda s: s["frag"]), " ")
-    ahead = F.row_number().over(Window.partitionBy("project", "text_id", "line").orderBy("position")) - 1
-    placed = pieces.withColumn("_i", ahead)
-    return placed.groupBy("project", "text_id", "line", "asked").agg(
-        text.alias("transliteration"), F.min(F.when(F.col("ref") == F.col("_target"), F.col("_i"))).alias("target_position")
+    gathered = pieces.groupBy("project", "text_id", "line", "asked", "_target").agg(F.array_sort(F.collect_list(F.struct("position", "frag", "ref"))).alias("_all"))
+    hit = F.array_position(F.transform("_all", lambda s: F.coalesce(s["ref"] == F.col("_target"), F.lit(False))), F.lit(True)) - 1
+    frags = F.transform("_all", lambda s: s["frag"])
+    return gathered.select(
+        "project", "text_id", "line", "asked", F.array_join(frags, " ").alias("transliteration"), F.when(hit >= 0, hit.cast("int")).alias("target_position"), frags.alias("frags")
     )
 
 
-def attestation_markdown() -> Column:
-    """A quotation with its text, line and place; parts that are missing are left out."""
+def attestation_markdown(source: str | None = None, catalogue: str | None = None) -> Column:
+    """A quotation with its text, line and place; parts that are missing are left out. ``source`` and ``catalogue`` are what to
+    cite for the line and, where the artifact is in the catalogue, for its data."""
     ref = F.when(F.col("artifact_url").isNotNull(), F.concat(F.lit("["), F.col("text_id"), F.lit("]("), F.col("artifact_url"), F.lit(")"))).otherwise(F.col("text_id"))
     head = joined(" ", ref, F.col("line_label"))
     place = joined(" · ", F.col("designation"), F.col("period"), F.col("museum_collection"), F.col("museum_no"))
     second = F.when(head != "", F.concat(F.lit("\n> — "), head, F.when(place != "", F.concat(F.lit(" · "), place)).otherwise("")))
-    return F.concat(F.lit("> "), F.coalesce("transliteration", F.lit("")), F.coalesce(second, F.lit("")))
+    block = F.concat(F.rtrim(F.concat(F.lit("> "), F.coalesce("transliteration", F.lit("")))), F.coalesce(second, F.lit("")))
+    if source is None:
+        return block
+    also = F.when(F.col("artifact_url").isNotNull(), f"; tablet metadata: {catalogue}").otherwise("") if catalogue else F.lit("")
+    return F.concat(block, F.lit(f"\n<sub>— line & lemma: {source}"), also, F.lit("</sub>"))
+
+
+def bilingual_markdown(title: Column, text_id: Column, label: Column, transliteration: Column, translation: Column, source: str) -> Column:
+    """A quotation in two languages with where it is from; parts that are null or empty are left out."""
+    place = F.concat(F.coalesce(title, text_id), F.lit(" ("), text_id, F.when(label != "", F.concat(F.lit(", line "), label)).otherwise(""), F.lit(")"))
+    return F.concat_ws(
+        "\n", F.when(transliteration != "", F.concat(F.lit("> "), transliteration)), F.when(translation != "", F.concat(F.lit('> "'), translation, F.lit('"'))),
+        F.concat(F.lit("> — "), place), F.lit(f"<sub>— {source}</sub>"),
+    )
 
 
 def lines_with_lemma(corpus: Corpus, lemma: str | None = None) -> DataFrame:
@@ -134,14 +193,71 @@ def paragraph_lines(corpus: Corpus) -> DataFrame:
     return lines.groupBy("text_id", "paragraph_id").agg(text.alias("lines"))
 
 
-def index_translations(corpus: Corpus, stemmed: bool = True) -> fts.Index:
+def _titles(corpus: Corpus) -> DataFrame | None:
+    return corpus["texts"].select("text_id", "title") if "texts" in corpus else None
+
+
+def _titled(corpus: Corpus, rows: DataFrame) -> DataFrame:
+    """``rows`` with the title of their text; null where texts have none."""
+    titles = _titles(corpus)
+    return rows.withColumn("title", F.lit(None).cast("string")) if titles is None else rows.join(titles, "text_id", "left")
+
+
+def _paragraph_docs(corpus: Corpus) -> DataFrame:
     rows = first_wins(corpus["paragraphs"], ["text_id", "para_id"], ["line_range", "translation"])
-    return fts.build_index(rows.withColumn("doc", F.concat_ws("|", "text_id", "para_id")), "doc", "translation", stemmed)
+    return rows.withColumn("doc", F.concat_ws("|", "text_id", "para_id"))
 
 
-def index_lines(corpus: Corpus) -> fts.Index:
+def _line_docs(corpus: Corpus) -> DataFrame:
     rows = first_wins(corpus["lines"], ["text_id", "line_id"], ["ord", "transliteration"])
-    return fts.build_index(rows.withColumn("doc", F.concat_ws("|", "text_id", "line_id")), "doc", "transliteration", False)
+    return rows.withColumn("doc", F.concat_ws("|", "text_id", "line_id"))
+
+
+def _index(corpus: Corpus, name: str, docs: DataFrame, column: str, stemmed: bool) -> fts.Index:
+    """The index of a column, postings in the order of their terms; a built corpus keeps it on disk."""
+    made = fts.build_index(docs, "doc", column, stemmed)
+    postings = corpus.derived(f"{name}_postings", lambda _: made.postings, ("term", "doc"))
+    return fts.Index(postings, corpus.derived(f"{name}_lengths", lambda _: made.lengths, ("doc",)), stemmed)
+
+
+def index_translations(corpus: Corpus, stemmed: bool = True) -> fts.Index:
+    return _index(corpus, "stems" if stemmed else "translations", corpus.derived("paragraph_docs", _paragraph_docs, ("doc",)), "translation", stemmed)
+
+
+def index_lines(corpus: Corpus) -> fts.Index:
+    return _index(corpus, "transliterations", corpus.derived("line_docs", _line_docs, ("doc",)), "transliteration", False)
+
+
+def search_translations(corpus: Corpus, query: str, limit: int = 10, offset: int = 0, stemmed: bool = True, source: str = "corpus") -> DataFrame:
+    """A page of paragraphs whose translation fits a query, best first, with the lines they translate.
+
+    text_id, para_id, title, line_range, translation, score, lines (array of line, transliteration in order), markdown, total,
+    next_offset. Only the paragraphs of the page are joined with their lines.
+    """
+    hits = paged(fts.search(index_translations(corpus, stemmed), query), [F.round("score", 9).desc(), F.col("doc")], limit, offset)
+    docs = corpus.derived("paragraph_docs", _paragraph_docs, ("doc",)).select("doc", "text_id", "para_id", "line_range", "translation")
+    found = hits.join(docs, "doc")
+    wanted = found.select("text_id", F.col("para_id").alias("paragraph_id"))
+    own = corpus["lines"].join(F.broadcast(wanted), ["text_id", "paragraph_id"], "left_semi").select("text_id", F.col("paragraph_id").alias("para_id"), "ord", "line_id", "line_label", "transliteration").distinct()
+    listed = own.groupBy("text_id", "para_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line_id", "line_label", "transliteration"))).alias("all"))
+    listed = listed.withColumn("lines", F.transform("all", lambda x: F.struct(x["line_label"].alias("line"), x["transliteration"].alias("transliteration")))).drop("all")
+    full = _titled(corpus, found.join(listed, ["text_id", "para_id"], "left"))
+    quoted = F.array_join(F.transform("lines", lambda x: x["transliteration"]), "\n> ")
+    block = bilingual_markdown(F.col("title"), F.col("text_id"), F.col("line_range"), quoted, F.col("translation"), source)
+    return full.select("text_id", "para_id", "title", "line_range", "translation", "score", "lines", block.alias("markdown"), "total", "next_offset")
+
+
+def search_lines(corpus: Corpus, query: str, limit: int = 10, offset: int = 0, source: str = "corpus") -> DataFrame:
+    """A page of lines whose transliteration fits a query, best first, with the translation of their paragraph.
+
+    text_id, line_id, title, line, transliteration, translation, score, markdown, total, next_offset.
+    """
+    hits = paged(fts.search(index_lines(corpus), query), [F.round("score", 9).desc(), F.col("doc")], limit, offset)
+    docs = corpus.derived("line_docs", _line_docs, ("doc",)).select("doc", "text_id", "line_id", "line_label", "transliteration", F.col("paragraph_id").alias("para_id"))
+    said = corpus.derived("paragraph_docs", _paragraph_docs, ("doc",)).select("text_id", "para_id", "translation")
+    full = _titled(corpus, hits.join(docs, "doc").join(said, ["text_id", "para_id"], "left"))
+    block = bilingual_markdown(F.col("title"), F.col("text_id"), F.col("line_label"), F.col("transliteration"), F.col("translation"), source)
+    return full.select("text_id", "line_id", "title", F.col("line_label").alias("line"), "transliteration", "translation", "score", block.alias("markdown"), "total", "next_offset")
 
 
 def collocations_of(corpus: Corpus, word: str, length: int | None = None) -> DataFrame:
@@ -215,3 +331,10 @@ def located_texts(corpus: Corpus) -> DataFrame:
     both = texts.join(shown, "text_id", "left")
     bucket = filters.gap_bucket(F.coalesce("shown", F.lit(False)), F.col("there").isNotNull(), F.coalesce(F.col("designation") != "", F.lit(False)))
     return both.select("project", "text_id", bucket.alias("bucket"))
+
+
+def gap_report(projects: DataFrame) -> DataFrame:
+    """``project``, bucket of a probe's results: ``local`` (an archive is at hand), ``index_status`` and ``alt_status`` (answers of the
+    two places it may be fetched from; 200 is found). have, missing_indexed, missing_alt_only or missing_unreachable."""
+    bucket = filters.gap_bucket(F.coalesce("local", F.lit(False)), F.coalesce(F.col("index_status") == 200, F.lit(False)), F.coalesce(F.col("alt_status") == 200, F.lit(False)))
+    return projects.select("project", bucket.alias("bucket"))

@@ -84,6 +84,10 @@ def compounds_of(corpus: Corpus, phrase: str) -> DataFrame:
     return two.unionByName(other)
 
 
+def compound_order() -> list[Column]:
+    return [*_desc("total"), F.col("branch"), F.col("oid")]
+
+
 def inflections(corpus: Corpus, least: int = 2, per_kind: int = 25) -> DataFrame:
     """entry_id, kind, n, count, rank, total: the commonest inflections of each kind; a null count counts as 0."""
     rows = corpus["morphology"].withColumn("count", F.coalesce("icount", F.lit(0))).filter(F.col("count") >= least)
@@ -91,58 +95,85 @@ def inflections(corpus: Corpus, least: int = 2, per_kind: int = 25) -> DataFrame
     return ranked.select("entry_id", "kind", "n", "count", "rank", "total")
 
 
-def spellings(corpus: Corpus, kinds: tuple[str, ...] = ANALYSIS_KINDS) -> DataFrame:
-    """matched_in, entry_id, spelling, n_cf, count: every known spelling, tagged with where it is known from."""
-    forms, rows = corpus["forms"], corpus["morphology"].filter(F.col("kind").isin(*kinds))
+def _spellings(corpus: Corpus) -> DataFrame:
+    forms, rows = corpus["forms"], corpus["morphology"].filter(F.col("kind").isin(*ANALYSIS_KINDS))
     first = forms.select(F.lit("forms").alias("matched_in"), "entry_id", F.col("n").alias("spelling"), folded(forms, "n").alias("n_cf"), F.col("icount").alias("count"))
     tag = F.concat(F.lit("morphology."), F.col("kind"))
     second = rows.select(tag.alias("matched_in"), "entry_id", F.col("n").alias("spelling"), folded(rows, "n").alias("n_cf"), F.col("icount").alias("count"))
     return first.unionByName(second).filter("spelling is not null")
 
 
+def spellings(corpus: Corpus, kinds: tuple[str, ...] = ANALYSIS_KINDS) -> DataFrame:
+    """matched_in, entry_id, spelling, n_cf, count: every known spelling, tagged with where it is known from."""
+    known = corpus.derived("spellings", _spellings, ("n_cf",))
+    return known.filter(F.col("matched_in").isin("forms", *[f"morphology.{k}" for k in kinds]))
+
+
 def analyze(corpus: Corpus, asked: DataFrame, spelling: str) -> DataFrame:
-    """Readings of every asked spelling: spelling, matched_in, oid, cf, gw, pos, matched_text, count."""
+    """Readings of every asked spelling: spelling, matched_in, oid, cf, gw, pos, matched_text, count, total.
+
+    ``total`` is the number of readings of the spelling over all the places it is known from. Order by analysis_order().
+    """
     wanted = asked.select(F.col(spelling).alias("asked")).filter("asked is not null").distinct().withColumn("asked_cf", F.lower("asked"))
     known = spellings(corpus)
     head = corpus["entries"].select(F.col("id").alias("entry_id"), "cf", "gw", "pos")
     hits = wanted.join(known, wanted["asked_cf"] == known["n_cf"]).join(head, "entry_id")
-    return hits.select(F.col("asked").alias("spelling"), "matched_in", F.col("entry_id").alias("oid"), "cf", "gw", "pos", F.col("spelling").alias("matched_text"), "count")
+    total = F.count(F.lit(1)).over(Window.partitionBy("asked"))
+    return hits.select(F.col("asked").alias("spelling"), "matched_in", F.col("entry_id").alias("oid"), "cf", "gw", "pos", F.col("spelling").alias("matched_text"), "count", total.alias("total"))
 
 
-def readings(corpus: Corpus) -> DataFrame:
-    """key, oid, cf, gw, pos, entry_total: entries by citation form, spelling or base, each once per key."""
+def analysis_order() -> list[Column]:
+    """Spellings of the dictionary before those of the morphology, each by count."""
+    return [F.when(F.col("matched_in") == "forms", 0).otherwise(1), *_desc("count"), F.col("matched_in"), F.col("oid"), F.col("matched_text")]
+
+
+def _readings(corpus: Corpus) -> DataFrame:
     entries = corpus["entries"]
-    head = entries.select(F.col("id").alias("entry_id"), "cf", "gw", "pos", F.col("icount").alias("entry_total"))
-    own = entries.select(folded(entries, "cf").alias("key"), F.col("id").alias("entry_id"))
-    other = spellings(corpus, LOOKUP_KINDS).select(F.col("n_cf").alias("key"), "entry_id")
-    keys = own.unionByName(other).filter("key is not null").distinct()
-    return keys.join(head, "entry_id").withColumnRenamed("entry_id", "oid")
+    head = entries.select(F.col("id").alias("oid"), "cf", "gw", "pos", F.col("icount").alias("entry_total"))
+    own = entries.select(folded(entries, "cf").alias("key"), F.col("id").alias("oid"))
+    other = spellings(corpus, LOOKUP_KINDS).select(F.col("n_cf").alias("key"), F.col("entry_id").alias("oid"))
+    keys = own.unionByName(other).filter("key is not null").distinct().join(head, "oid")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(*_desc("entry_total"), F.col("oid")))
+    return keys.withColumn("rank", rank)
+
+
+def readings(corpus: Corpus) -> DataFrame:
+    """key, oid, cf, gw, pos, entry_total, rank: entries by citation form, spelling or base, each once per key, the commonest first."""
+    return corpus.derived("readings", _readings, ("key", "rank"))
 
 
 def top_readings(corpus: Corpus, per_key: int = 3) -> DataFrame:
     """The ``per_key`` commonest readings of every key, with their rank."""
-    return top_per_group(readings(corpus), ["key"], [*_desc("entry_total"), F.col("oid")], per_key)
+    return readings(corpus).filter(F.col("rank") <= per_key)
 
 
 def gloss_tokens(corpus: Corpus, lines: DataFrame, key: list[str], spelling: str, per_token: int = 3) -> DataFrame:
     """Word-by-word glosses of transliterations.
 
-    key.., position, token, from_word, match_kind (whole, split_fallback, unmatched), rank, oid, cf, gw, pos. A word known as
-    a whole is not split; one that is not is split at hyphens and dots and its parts are looked up.
+    key.., position, part, token, from_word, match_kind (whole, split_fallback, unmatched), base, suffixes, rank, oid, cf, gw,
+    pos. A word known as a whole is not split, and its suffix chain is given where it has one; one that is not known is split
+    at hyphens and dots and its cleaned parts are looked up, unless no more than one part is left. Distinct words are looked
+    up once, whatever the number of lines.
     """
     words = lines.select(*key, F.posexplode(text.tokens(F.col(spelling), placeholders=True)).alias("position", "word"))
     known = top_readings(corpus, per_token).select("key", "rank", "oid", "cf", "gw", "pos")
     vocabulary = words.select("word").distinct().withColumn("word_key", F.lower("word"))
-    keys = readings(corpus).select(F.col("key").alias("word_key")).distinct().withColumn("is_whole", F.lit(True))
-    kinds = vocabulary.join(keys, "word_key", "left").select("word", "word_key", F.coalesce("is_whole", F.lit(False)).alias("is_whole"))
-    parts = text.pieces(F.col("word"))
-    split = kinds.withColumn("parts", F.when(F.col("is_whole") | (F.size(parts) <= 1), F.array("word")).otherwise(parts))
+    keys = readings(corpus).filter("rank = 1").select(F.col("key").alias("word_key"), F.lit(True).alias("is_whole"))
+    kinds = vocabulary.join(keys, "word_key", "left").select("word", F.coalesce("is_whole", F.lit(False)).alias("is_whole"))
+    split = kinds.withColumn("parts", F.when(F.col("is_whole"), F.array("word")).otherwise(text.clean_pieces(F.col("word"))))
     kind = F.when(F.col("is_whole"), "whole").when(F.size("parts") <= 1, "unmatched").otherwise("split_fallback")
-    tokens = split.withColumn("match_kind", kind).select("word", "match_kind", F.posexplode("parts").alias("part", "token"))
-    glossed = tokens.withColumn("token_key", F.lower("token")).join(known, F.col("token_key") == F.col("key"), "left")
-    glossed = glossed.select("word", "part", "token", "match_kind", "rank", "oid", "cf", "gw", "pos")
+    split = split.withColumn("match_kind", kind).withColumn("parts", F.when(F.col("match_kind") == "split_fallback", F.col("parts")).otherwise(F.array("word")))
+    peeled = F.when(F.col("match_kind") == "whole", morph.peel_suffixes(F.col("word")))
+    split = split.withColumn("peeled", F.when(F.size(peeled["suffixes"]) > 0, peeled))
+    tokens = split.select("word", "match_kind", "peeled", F.posexplode("parts").alias("part", "token"))
+    # an unmatched word has no readings of its own
+    sought = F.when(F.col("match_kind") != "unmatched", F.lower("token"))
+    glossed = tokens.withColumn("token_key", sought).join(known, F.col("token_key") == F.col("key"), "left")
+    glossed = glossed.select("word", "part", "token", "match_kind", F.col("peeled.base").alias("base"), F.col("peeled.suffixes").alias("suffixes"), "rank", "oid", "cf", "gw", "pos")
     found = words.join(glossed, "word")
-    return found.select(*key, F.col("position").cast("bigint").alias("position"), F.col("part").cast("bigint").alias("part"), "token", F.when(F.col("match_kind") == "split_fallback", F.col("word")).alias("from_word"), "match_kind", F.col("rank").cast("bigint").alias("rank"), "oid", "cf", "gw", "pos")
+    from_word = F.when(F.col("match_kind") == "split_fallback", F.col("word")).alias("from_word")
+    number = [F.col(c).cast("bigint").alias(c) for c in ("position", "part")]
+    return found.select(*key, *number, "token", from_word, "match_kind", "base", "suffixes", F.col("rank").cast("bigint").alias("rank"), "oid", "cf", "gw", "pos")
 
 
 def parse_phrases(corpus: Corpus, lines: DataFrame, key: list[str], spelling: str) -> DataFrame:
@@ -227,7 +258,9 @@ def verb_forms(
     dimensional: list[str] | None = None, aspect: str | None = None, suffix_a: bool | None = None, reduplicated: bool | None = None, least: int = 1,
     limit: int = 10,
 ) -> DataFrame:
-    """Attested forms with the asked features: oid, cf, morph, spelling, verified_in_forms, count, share_pct, rank.
+    """Attested forms with the asked features: oid, cf, morph, spelling, verified_in_forms, forms_count, count, share_pct, rank.
+
+    forms_count is the count of the made spelling among the attested ones, null where it is not there or not counted.
 
     Without ``cf`` all verbs of the part of speech are answered. The best entry of a citation form and the commonest base of
     an entry are used; null counts are left out.
@@ -252,11 +285,11 @@ def verb_forms(
             test = test & (present if asked else ~present)
     found = rows.filter((F.col("kind") == "morph") & (F.col("icount") >= least) & test).join(entries, "entry_id").join(base, "entry_id")
     made = found.withColumn("spelling", morph.synthesize(template, F.col("base")))
-    attested = corpus["forms"].select("entry_id", F.col("n").alias("spelling"), F.lit(True).alias("there")).distinct()
+    attested = corpus["forms"].groupBy("entry_id", F.col("n").alias("spelling")).agg(F.lit(True).alias("there"), F.max("icount").alias("forms_count"))
     checked = made.join(attested, ["entry_id", "spelling"], "left")
     ranked = top_per_group(checked, ["entry_id"], [F.col("icount").desc(), F.col("n")], limit)
     return ranked.select(
-        F.col("entry_id").alias("oid"), "cf", F.col("n").alias("morph"), "spelling", F.coalesce("there", F.lit(False)).alias("verified_in_forms"),
+        F.col("entry_id").alias("oid"), "cf", F.col("n").alias("morph"), "spelling", F.coalesce("there", F.lit(False)).alias("verified_in_forms"), "forms_count",
         F.col("icount").alias("count"), share(F.col("icount"), F.col("whole")).alias("share_pct"), F.col("rank").cast("bigint").alias("rank"),
     )
 
@@ -280,3 +313,66 @@ def search_entries(corpus: Corpus, query: str) -> DataFrame:
 def with_collation(entries: DataFrame) -> DataFrame:
     """Entries with letter and sort_key."""
     return entries.withColumn("letter", collate.first_letter(F.col("cf"))).withColumn("sort_key", collate.sort_key(F.col("cf")))
+
+
+def entries_under(corpus: Corpus, letter: str) -> DataFrame:
+    """Entries whose citation form begins with a letter of the collation, with letter and sort_key."""
+    return with_collation(corpus["entries"]).filter(F.col("letter") == letter)
+
+
+def glossary_page(corpus: Corpus, found: DataFrame, number: int = 1, per_page: int = 25, children: int = 5) -> DataFrame:
+    """A page of entries (from search_entries or entries_under) in collation order with their child lists.
+
+    id, cf, gw, pos, icount, total, pages, page, and arrays: spellings and senses by count, periods in their order, at most
+    ``children`` of each. A number beyond the last page gives the last. Totals and page are worked out in the plan.
+    """
+    order = [F.col("sort_key"), F.col("gw").asc_nulls_first(), F.col("id")]
+    placed, asked = found.select("id", "cf", "gw", "pos", "icount", "sort_key"), max(1, int(number))
+    # the page, or the last one, is among the first number * per_page rows, so no more of them are ranked
+    late = placed.orderBy(*order).limit(asked * per_page).withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+    late = late.withColumn("total", placed.agg(F.count(F.lit(1))).scalar())
+    late = late.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / per_page))).withColumn("page", F.least(F.lit(asked), F.col("pages")))
+    begin = (F.col("page") - 1) * per_page
+    rows = late.filter((F.col("_place") > begin) & (F.col("_place") <= begin + per_page)).drop("_place", "sort_key")
+    ids = rows.select(F.col("id").alias("entry_id"))
+
+    def listed(df: DataFrame, column: str, order: list[Column], name: str) -> DataFrame:
+        own = top_per_group(df.join(F.broadcast(ids), "entry_id", "left_semi"), ["entry_id"], order, children)
+        return own.groupBy(F.col("entry_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", column))), lambda x: x[column]).alias(name))
+
+    parts = [
+        listed(corpus["forms"].filter("n is not null"), "n", [*_desc("icount"), F.col("n"), F.col("id")], "spellings"),
+        listed(corpus["senses"].filter("mng is not null and mng <> ''"), "mng", [*_desc("icount"), F.col("id")], "senses"),
+        listed(corpus["periods"].filter("p is not null"), "p", [F.col("ord"), F.col("p")], "periods"),
+    ]
+    return reduce(lambda a, b: a.join(b, "id", "left"), parts, rows)
+
+
+def entry_detail(corpus: Corpus, oid: str) -> DataFrame:
+    """Everything about one entry in a row: its profile with all spellings, normalizations, senses with their signatures, and
+    the number of its attestations. No row if there is no such entry; the lines come from corpus.examples."""
+    profile = entry_profiles(corpus, [oid], 0)
+
+    def own(name: str, order: list[Column], columns: list[str]) -> DataFrame:
+        rows = top_per_group(corpus[name].filter(F.col("entry_id") == oid), ["entry_id"], order, 0)
+        listed = F.array_sort(F.collect_list(F.struct("rank", *columns)))
+        return rows.groupBy(F.col("entry_id").alias("oid")).agg(F.transform(listed, lambda s: s.dropFields("rank")).alias(name))
+
+    if "norms" in corpus:
+        profile = profile.join(own("norms", [*_desc("icount"), F.col("n")], ["n", "icount", "ipct"]), "oid", "left")
+    if "sense_sigs" in corpus:
+        senses = corpus["senses"].filter(F.col("entry_id") == oid).select(F.col("id").alias("sense_id"))
+        sigs = corpus["sense_sigs"].join(F.broadcast(senses), "sense_id", "left_semi")
+        each = sigs.groupBy("sense_id").agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("icount", F.lit(0))).alias("down"), "sig", "icount"))).alias("sigs"))
+        found = each.agg(F.map_from_entries(F.collect_list(F.struct("sense_id", F.transform("sigs", lambda s: s.dropFields("down"))))).alias("sense_sigs"))
+        profile = profile.withColumn("sense_sigs", found.scalar())
+    refs = corpus["instances"].filter("word_ref is not null").groupBy(F.col("xis")).agg(F.count(F.lit(1)).alias("attestations"))
+    return profile.join(refs, "xis", "left").withColumn("attestations", F.coalesce("attestations", F.lit(0)))
+
+
+def entries_of_refs(corpus: Corpus, refs: DataFrame, ref: str) -> DataFrame:
+    """word_ref, oid, cf, gw, pos: the entries that a word of a text is an attestation of (the way back from a reference)."""
+    asked = refs.select(F.col(ref).alias("word_ref")).filter("word_ref is not null").distinct()
+    named = corpus["instances"].join(asked, "word_ref", "left_semi").filter("xis is not null").select("word_ref", "xis").distinct()
+    head = corpus["entries"].filter("xis is not null").select("xis", F.col("id").alias("oid"), "cf", "gw", "pos")
+    return named.join(head, "xis").select("word_ref", "oid", "cf", "gw", "pos")

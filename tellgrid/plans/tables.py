@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellgrid.functions.text import casefold
 from tellgrid.operators.dedup import first_wins, last_wins
-from tellgrid.session import load
+from tellgrid.session import load, shared_folder
 
 
 @dataclass
@@ -23,12 +26,81 @@ class Corpus:
     def __contains__(self, name: str) -> bool:
         return name in self.tables
 
+    def derived(self, name: str, make: Callable[[Corpus], DataFrame], layout: tuple[str, ...] = ()) -> DataFrame:
+        """A table made from others; a built corpus keeps it, sorted by ``layout``, and any other plans it anew."""
+        return self.tables[name] if name in self.tables else make(self)
+
     @classmethod
     def read(cls, spark: SparkSession, folder: str, names: list[str]) -> Corpus:
         """Tables written by the build."""
         return cls({n: spark.read.parquet(f"{folder}/{n}") for n in names})
 
 
+#: Sort keys of the built tables, which take the place of indexes, and columns that get a case-folded mirror.
+LAYOUT = {
+    "entries": ("id",), "forms": ("entry_id", "id"), "periods": ("entry_id", "ord"), "senses": ("entry_id", "id"), "compounds": ("entry_id", "xcpd"),
+    "instances": ("xis", "word_ref"), "text_locations": ("project", "text_id"), "artifacts": ("p_id",), "lines": ("text_id", "ord"), "words": ("text_id", "line_id"),
+    "paragraphs": ("text_id", "para_id"), "unigrams": ("cf",), "collocations": ("n", "ngram"), "inflected_ngrams": ("n", "ngram"), "morphology": ("entry_id", "kind", "n"),
+}
+MIRRORS = {"entries": ("cf", "gw", "headword"), "forms": ("n",), "senses": ("mng",), "compounds": ("xcpd",), "morphology": ("n",)}
+
+
+class Built(Corpus):
+    """Tables of a corpus, each written once, when it is first needed, in the layout its lookups want.
+
+    What is written is read from there by every later query: repeats are out, mirrors are columns, derived tables (readings,
+    postings) are there to be looked up. ``folder`` must be shared by all executors.
+    """
+
+    def __init__(self, source: Corpus, folder: str) -> None:
+        super().__init__(dict(source.tables))
+        self.folder, self.ready = folder, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.ready:
+            rows = self.tables[name]
+            mirrors = {f"{c}_cf": casefold(F.col(c)) for c in MIRRORS.get(name, ()) if c in rows.columns}
+            self.ready[name] = self._written(name, rows.withColumns(mirrors) if mirrors else rows, LAYOUT.get(name, ()))
+        return self.ready[name]
+
+    def derived(self, name: str, make: Callable[[Corpus], DataFrame], layout: tuple[str, ...] = ()) -> DataFrame:
+        if name not in self.ready:
+            self.ready[name] = self._written(name, make(self), layout)
+        return self.ready[name]
+
+    def without(self, *names: str) -> Built:
+        """The same corpus, sharing what is written, without some tables."""
+        other = Built(Corpus({n: t for n, t in self.tables.items() if n not in names}), self.folder)
+        other.ready = {n: t for n, t in self.ready.items() if n not in names}
+        return other
+
+    def _written(self, name: str, rows: DataFrame, layout: tuple[str, ...]) -> DataFrame:
+        if layout:
+            rows = rows.repartitionByRange(*layout).sortWithinPartitions(*layout)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+
+
+_BUILT: dict[tuple, Built] = {}
+
+
+def built(spark: SparkSession, folder: str) -> Built:
+    """The delivered tables of a folder as a built corpus, written beside the checkpoints of this application.
+
+    It is built anew for another application and when a file of the folder has changed.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    key = (spark.sparkContext.applicationId, folder, tuple(state))
+    if key not in _BUILT:
+        for old in [k for k in _BUILT if k[0] != key[0]]:
+            del _BUILT[old]
+        mark = hashlib.sha256(repr(key).encode()).hexdigest()[:16]
+        _BUILT[key] = Built(delivered(spark, folder), f"{shared_folder(spark)}/built-{mark}")
+    return _BUILT[key]
+
+
 def folded(df: DataFrame, column: str) -> Column:
     """The case-folded mirror of a column where the build has written one, else its lower case."""
     return F.col(f"{column}_cf") if f"{column}_cf" in df.columns else F.lower(column)

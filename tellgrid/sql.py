@@ -133,12 +133,13 @@ def oracle_sql() -> dict[str, str]:
     sort_key = f"array_to_string(list_transform(string_split(lower(cf), ''), lambda c: case c when ' ' then ' ' when '-' then ' ' when '/' then ' ' when '.' then '4'{codes} else '99' || c end), '')"
     letter = f"case when contains('{letters}', upper(left(cf, 1))) and coalesce(cf, '') <> '' then upper(left(cf, 1)) else '?' end"
     subs = "₀₁₂₃₄₅₆₇₈₉"
+    from tellgrid.sql_lookups import lookups
+
     tokens = lambda column: _TOKENS.replace("TEXT", column)
-    return {
+    own = {
         "p3_found": f"with {_P3_REFS} select distinct src, k1, k2 from checked where lost",
         "p3_per_month": f"with {_P3_REFS} select src, strftime(loaded_at, '%Y-%m') as month, count(*) as refs, count(*) filter (where lost) as orphans from checked group by 1, 2",
         "meaning_matches": f"with {_meaning('tarsumic')} select * from meaning",
-        "ranked_substring_search": f"with {_meaning('tarsumic')} select * from meaning order by sense_count desc nulls last, entry_total desc nulls last, oid limit 20 offset 20",
         "search_total_count": f"with {_meaning('tarsumic')} select count(distinct oid) as total from meaning",
         "entry_profile": f"""
 with {_ENTRIES}, {_FORMS}, {_SENSES}, {_COMPOUNDS},
@@ -172,9 +173,6 @@ select lemma as cf, count(*) as "count" from w join l using (text_id, line_id) g
         "bigram_counts": _gram_sql(2, 3),
         "trigram_counts": _gram_sql(3, 2),
         "fourgram_counts": _gram_sql(4, 2),
-        "feature_ngram_keys": """
-select cf1 || '|' || coalesce(gw1, '') || '|' || coalesce(pos1, '') || '|' || coalesce(case1, '') || E'\\t' || cf2 || '|' || coalesce(gw2, '') || '|' ||
-  coalesce(pos2, '') || '|' || coalesce(case2, '') = ngram as same, count(*) as rows from (select distinct * from inflected_ngrams) where n = 2 group by 1""",
         "event_type_ngrams": """
 with g as (select event_type, lead(event_type, 1) over w as a, lead(event_type, 2) over w as b from events
   where event_type is not null and event_type <> '' window w as (partition by user_id order by ts, event_id))
@@ -201,7 +199,7 @@ with {_ENTRIES}, {_FORMS}, {_MORPHOLOGY},
     from morphology_v v join e on e.id = v.entry_id join b on b.entry_id = v.entry_id
     where v.kind = 'morph' and v.icount >= 1 and regexp_matches(v.n, '^mu[.:]') and regexp_matches(v.n, ':~;(e|ed|en|eš)$'))
 select entry_id as oid, cf, n as morph, spelling, exists (select 1 from forms_v f where f.entry_id = m.entry_id and f.n = m.spelling) as verified_in_forms,
-  icount as "count", case when coalesce(whole, 0) <> 0 then round(icount / whole * 100, 2) else 0 end as share_pct,
+  (select max(f.icount) from forms_v f where f.entry_id = m.entry_id and f.n = m.spelling) as forms_count, icount as "count", case when coalesce(whole, 0) <> 0 then round(icount / whole * 100, 2) else 0 end as share_pct,
   row_number() over (partition by entry_id order by icount desc, n) as rank from m qualify rank <= 3""",
         "verb_prefix_chains": f"""
 with f as (select distinct form from words where form is not null),
@@ -268,14 +266,6 @@ union all select 'text_locations', count(*) from texts_v union all select 'artif
 union all select 'words', count(*) from words_v union all select 'paragraphs', count(*) from (select distinct * from paragraphs)
 union all select 'unigrams', count(distinct cf) from unigrams union all select 'collocations', count(*) from (select distinct * from collocations)
 union all select 'inflected_ngrams', count(*) from grams_v union all select 'morphology', count(*) from morphology_v""",
-        "token_gloss": f"""
-with {_ENTRIES}, {_FORMS}, {_MORPHOLOGY}, {_READINGS}, {_LINES},
-  w as (select unnest(list_filter({tokens('transliteration')}, lambda w: w not in ('x', 'X'))) as word from lines_v),
-  v as (select word, count(*) as uses from w group by 1),
-  k as (select v.*, lower(word) in (select key from readings) as whole, list_filter(regexp_split_to_array(word, '[-.]'), lambda p: p <> '') as parts from v),
-  t as (select uses, case when whole then 'whole' when len(parts) <= 1 then 'unmatched' else 'split_fallback' end as match_kind,
-    unnest(case when whole or len(parts) <= 1 then [word] else parts end) as token from k)
-select token, match_kind, r.oid, sum(uses)::bigint as uses, min(r.rank)::bigint as rank from t left join readings r on r.key = lower(token) and r.rank <= 3 group by 1, 2, 3""",
         "first_wins_map": "select p_brand, arg_min(p_name, p_partkey) as p_name from part group by 1",
         "gap_report_buckets": f"""
 with {_TEXTS}, {_ARTIFACTS}
@@ -293,3 +283,4 @@ with a as (select *, case when lag(ts) over w is null or ts >= lag(ts) over w +
   b as (select *, sum(c) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from a)
 select user_id, rtrim(rtrim(strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') as start, count(*) as n from b group by user_id, s""",
     }
+    return own | lookups(own, sort_key, letter)

@@ -21,6 +21,8 @@ def values(spark):
 
 def test_spellings(values):
     assert values(text.normalize_translit, "gal-ce3", "ju10", "a105-b2", "12", "2a", None) == ["gal-še₃", "ŋu₁₀", "a₁₀₅-b₂", "12", "2a", None]
+    # only digits right behind a letter are index digits, however many there are
+    assert values(text.normalize_translit, "a₂3", "gal12345678901234", "3a4b 5", "a-3", "") == ["a₂3", "ŋal₁₂₃₄₅₆₇₈₉₀₁₂₃₄".replace("ŋ", "g"), "3a₄b 5", "a-3", ""]
     assert values(text.normalize_query, " a2", "szu", "s,a t,a j'", None) == ["a₂", "šu", "ṣa ṭa ŋʾ", None]
     assert values(text.strip_subscripts, "e₂-gal₁₀", None) == ["e-gal", None]
     assert values(text.digits_to_subscripts, "SAR2") == ["SAR₂"]

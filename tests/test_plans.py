@@ -1,5 +1,7 @@
 """Plans on small tables, against what is worked out by hand."""
 
+import os
+
 import pytest
 
 from tellgrid.plans import corpus as texts
@@ -71,6 +73,97 @@ def test_glosses(corpus, spark):
     ]
 
 
+def test_gloss_parts(corpus, spark):
+    """Parts of a split word are cleaned; a word of which one part is left is unmatched; whole words show their suffix chain."""
+    lines = spark.createDataFrame([(1, "qqq-x-[zz] ⸢qqq⸣-{d}x lugal-e")], "id int, t string")
+    rows = lexicon.gloss_tokens(corpus, lines, ["id"], "t").orderBy("position", "part").collect()
+    assert [(r.token, r.match_kind) for r in rows] == [("qqq", "split_fallback"), ("zz", "split_fallback"), ("qqq⸣-x", "unmatched"), ("lugal-e", "whole")]
+    assert rows[3].base == "lugal" and [x.role for x in rows[3].suffixes] == ["ergative"] and rows[0].base is None
+
+
+def test_analysis_total(corpus, spark):
+    asked = spark.createDataFrame([("LUGAL",), ("a",), ("zz",)], "s string")
+    rows = {(r.spelling, r.matched_in): r.total for r in lexicon.analyze(corpus, asked, "s").collect()}
+    assert rows == {("LUGAL", "forms"): 1, ("a", "morphology.form-sans"): 1}
+
+
+def test_glossary_page(corpus):
+    page = lexicon.glossary_page(corpus, lexicon.with_collation(corpus["entries"]), 99, 3)
+    rows = page.orderBy("id").collect()
+    assert {(r.total, r.pages, r.page) for r in rows} == {(7, 3, 3)} and len(rows) == 1
+    first = lexicon.glossary_page(corpus, lexicon.entries_under(corpus, "L"), 1).orderBy("id").collect()
+    assert [(r.id, r.spellings, r.senses, r.periods) for r in first] == [("o1", ["lugal", "lugal-e"], ["king", "kingly"], ["Ur III"]), ("o5", None, None, None)]
+
+
+def test_entry_detail(corpus, spark):
+    more = Corpus(corpus.tables | {
+        "norms": spark.createDataFrame([("o1", "lugale", 3, 1), ("o1", "lugal", 9, 2)], "entry_id string, n string, icount long, ipct int"),
+        "sense_sigs": spark.createDataFrame([("s1", "lugal[king//king]N", 5), ("s1", "other", None), ("s3", "not here", 1)], "sense_id string, sig string, icount long"),
+    })
+    row = lexicon.entry_detail(more, "o1").first()
+    assert [n.n for n in row.norms] == ["lugal", "lugale"] and row.attestations == 5
+    assert {k: [x.sig for x in v] for k, v in row.sense_sigs.items()} == {"s1": ["lugal[king//king]N", "other"]}
+    assert lexicon.entry_detail(more, "o3").first().attestations == 0 and lexicon.entry_detail(more, "none").count() == 0
+
+
+def test_references_back_and_unresolved(corpus, spark):
+    refs = spark.createDataFrame([("p:P1.10.1",), ("p:P9.9.9",), (None,)], "r string")
+    assert [(r.word_ref, r.oid) for r in lexicon.entries_of_refs(corpus, refs, "r").collect()] == [("p:P1.10.1", "o1")]
+    assert texts.unresolved(corpus).count() == 0
+    lost = Corpus(corpus.tables | {"text_locations": corpus["text_locations"].limit(0)})
+    assert [tuple(r) for r in texts.unresolved(lost).collect()] == [("o1", 4, 4, 0, "p (4)")]
+
+
+def test_examples(corpus, spark):
+    words = [("p", "P1", "10", 1, "lugal-e", "P1.10.1"), ("p", "P1", "10", 2, "e₂", "P1.10.2"), ("p", "P2", "1", 1, "x", None)]
+    more = Corpus(corpus.tables | {
+        "corpus_words": spark.createDataFrame(words, "project string, text_id string, line string, position int, frag string, ref string"),
+        "artifacts": spark.createDataFrame([("P1", "BM", "1", 7, 1, 0)], "p_id string, museum_collection string, museum_no string, cdli_id long, has_photo int, has_lineart int"),
+    })
+    rows = texts.examples(more, 2, base="http://c.test", citations=("D", "C")).orderBy("rank").collect()
+    assert [(r.transliteration, r.target, r.target_position, r.photo_url) for r in rows] == [("lugal-e e₂", "lugal-e", 0, "http://c.test/dl/photo/P1.jpg"), ("x", None, None, None)]
+    assert rows[0].markdown == "> lugal-e e₂\n> — [P1](http://c.test/artifacts/7) 10 · T 1 · Ur III · BM · 1\n<sub>— line & lemma: D; tablet metadata: C</sub>"
+    assert rows[1].markdown == "> x\n> — P2 1 · Old Ur\n<sub>— line & lemma: D</sub>"
+
+
+def test_search_with_documents(spark):
+    make = spark.createDataFrame
+    found = Corpus({
+        "paragraphs": make([("t1", "p1", "1-2", "The king built a temple."), ("t1", "p2", "", "A king."), ("t2", "p1", None, None)], "text_id string, para_id string, line_range string, translation string"),
+        "lines": make([("t1", "l1", 1, "1", "lugal-e", "p1"), ("t1", "l2", 2, "2", "e₂ mu-du₃", "p1"), ("t2", "l1", 1, "1", "lugal", None)], "text_id string, line_id string, ord int, line_label string, transliteration string, paragraph_id string"),
+        "texts": make([("t1", "A song")], "text_id string, title string"),
+    })
+    rows = texts.search_translations(found, "kings", 1, 0, source="S").collect()
+    assert [(r.para_id, r.title, r.total, r.next_offset) for r in rows] == [("p2", "A song", 2, 1)]
+    row = texts.search_translations(found, "temples", source="S").first()
+    assert [x.transliteration for x in row.lines] == ["lugal-e", "e₂ mu-du₃"] and row.next_offset is None
+    assert row.markdown == '> lugal-e\n> e₂ mu-du₃\n> "The king built a temple."\n> — A song (t1, line 1-2)\n<sub>— S</sub>'
+    lines = {(r.text_id, r.line, r.title, r.translation) for r in texts.search_lines(found, "lugal").collect()}
+    assert lines == {("t1", "1", "A song", "The king built a temple."), ("t2", "1", None, None)}
+
+
+def test_gap_report(spark):
+    rows = spark.createDataFrame([("a", True, 404, 200), ("b", False, 200, 200), ("c", False, 404, 200), ("d", None, None, 500)], "project string, local boolean, index_status int, alt_status int")
+    assert [r.bucket for r in texts.gap_report(rows).orderBy("project").collect()] == ["have", "missing_indexed", "missing_alt_only", "missing_unreachable"]
+
+
+def test_built_once_and_anew(spark, tmp_path):
+    """A built corpus is written once; a changed file of the folder builds it anew."""
+    from tellgrid.plans.tables import built
+
+    source = "/root/testdata/sf0.001"
+    if not os.path.isdir(source):
+        pytest.skip("test tables are missing")
+    for name in os.listdir(source):
+        (tmp_path / name).symlink_to(f"{source}/{name}")
+    one = built(spark, str(tmp_path))
+    assert built(spark, str(tmp_path)) is one and one["forms"] is one["forms"]
+    assert "n_cf" in one["forms"].columns and lexicon.readings(one) is lexicon.readings(one)
+    assert one.without("forms").tables.keys() == one.tables.keys() - {"forms"}
+    (tmp_path / "period_list.parquet").unlink()
+    assert built(spark, str(tmp_path)) is not one
+
+
 def test_phrases(corpus, spark):
     lines = spark.createDataFrame([(1, "lugal-e gal egal mu-na-du₃"), (2, "za-gin₃-gin₇ bar"), (3, "[x]"), (4, " ")], "id int, t string")
     rows = {r.id: r for r in lexicon.parse_phrases(corpus, lines, ["id"], "t").collect()}
