@@ -1,8 +1,10 @@
 """References to records that do not exist.
 
-Skew-aware split. References are pre-aggregated per key; the few keys that are named most often are checked against the
-target by broadcasting *them* (at most ``heavy_keys`` rows, so the broadcast is bounded whatever the data), and only the
-references to all other keys are shuffled for the anti-join. The hot keys therefore never meet in one task.
+Skew-aware split. References are pre-aggregated per key, so however often a key is named it travels as one row per task. Keys
+that are named by at least one in ``heavy_keys`` of all references (so there are at most so many) are checked by
+broadcasting *them* to the target; all other keys are shuffled for the anti-join, one row each. The lost keys of both then
+find their references: by broadcast if they are few (they are counted first), else the heavy ones by broadcast and the rest
+by a shuffle that no hot key takes part in.
 
 Defined results
 ---------------
@@ -19,73 +21,70 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellgrid.session import unused
+from tellgrid.session import cut, unused
 
-#: Most keys that are checked by broadcast; the bound of the broadcast in rows.
+#: A key is heavy if at least one in so many references names it; the bound of what is broadcast in rows.
 HEAVY_KEYS = 1000
-#: A key must be named at least so often to count as heavy.
-HEAVY_COUNT = 10_000
+#: Lost keys up to which they are broadcast to the references, in rows.
+FEW_KEYS = 100_000
 
 
 def _match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, (left[a] == right[b] for a, b in pairs))
 
 
-def split_heavy(refs: DataFrame, keys: list[str], heavy_keys: int = HEAVY_KEYS, heavy_count: int = HEAVY_COUNT) -> DataFrame:
-    """The most frequent keys, at most ``heavy_keys`` of them, as columns _h0.._hn (a top-k, not a collection of all keys)."""
-    (n,) = unused(refs, "_n")
-    counted = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) >= heavy_count)
-    top = counted.orderBy(F.col(n).desc(), *keys).limit(heavy_keys)
-    return top.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
+def lost_keys(counted: DataFrame, wanted: DataFrame, keys: list[str], number: str, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
+    """Rows of ``counted`` (keys and how often each is named) whose keys are not in ``wanted``, with ``_heavy``: whether the key is.
+
+    ``wanted`` has one column per key, in their order.
+    """
+    held = wanted.columns
+    counted = counted.withColumn("_heavy", F.col(number) * heavy_keys >= counted.agg(F.coalesce(F.sum(number), F.lit(0))).scalar())
+    heavy, light = counted.filter("_heavy"), counted.filter("not _heavy")
+    sought = F.broadcast(heavy.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]))
+    there = wanted.join(sought, _match(wanted, sought, [(h, f"_h{i}") for i, h in enumerate(held)]), "left_semi").distinct()
+    heavy_lost = heavy.join(F.broadcast(there), _match(heavy, there, list(zip(keys, held))), "left_anti")
+    return heavy_lost.unionByName(light.join(wanted, _match(light, wanted, list(zip(keys, held))), "left_anti"))
 
 
 def orphan_references(
-    refs: DataFrame,
-    targets: DataFrame,
-    keys: list[str],
-    target_keys: list[str] | None = None,
-    heavy_keys: int = HEAVY_KEYS,
-    heavy_count: int = HEAVY_COUNT,
+    refs: DataFrame, targets: DataFrame, keys: list[str], target_keys: list[str] | None = None, heavy_keys: int = HEAVY_KEYS, few_keys: int = FEW_KEYS
 ) -> DataFrame:
     """Rows of ``refs`` whose ``keys`` are all given and name no row of ``targets``.
 
     All columns of ``refs`` are kept, whatever their names.
     """
     target_keys = target_keys or keys
-    names = unused(refs, *[f"_{kind}{i}" for kind in ("t", "h") for i in range(len(keys))], "_there")
-    held, hot, there_column = names[: len(keys)], names[len(keys) : -1], names[-1]
-    given = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    refs = refs.filter(given)
-    wanted = targets.select(*[F.col(k).alias(h) for k, h in zip(target_keys, held)]).dropna()
-
-    def top() -> DataFrame:
-        return split_heavy(refs, keys, heavy_keys, heavy_count).toDF(*hot)
-
-    heavy = F.broadcast(top())
-    there = wanted.join(heavy, _match(wanted, heavy, list(zip(held, hot))), "left_semi").distinct().withColumn(there_column, F.lit(True))
-    # one row per heavy key with the answer: at most heavy_keys rows, so this may be broadcast to the references
-    heavy_rows = top()
-    answered = heavy_rows.join(F.broadcast(there), _match(heavy_rows, there, list(zip(hot, held))), "left").select(
-        *hot, F.coalesce(there_column, F.lit(False)).alias(there_column)
-    )
-    answered = F.broadcast(answered)
-    tagged = refs.join(answered, _match(refs, answered, list(zip(keys, hot))), "left")
-    heavy_orphans = tagged.filter(F.col(there_column) == F.lit(False)).select(*[refs[c] for c in refs.columns])
-    light = tagged.filter(F.col(there_column).isNull()).select(*[refs[c] for c in refs.columns])
-    light_orphans = light.join(wanted, _match(light, wanted, list(zip(keys, held))), "left_anti")
-    return heavy_orphans.unionByName(light_orphans)
-
-
-def orphan_counts(refs: DataFrame, targets: DataFrame, keys: list[str], period: str, **options) -> DataFrame:
+    own = [f"_k{i}" for i in range(len(keys))]
+    refs = refs.filter(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+    wanted = targets.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(target_keys)]).dropna()
+    counted = cut(refs.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)]).agg(F.count(F.lit(1)).alias("_n")))
+    lost = cut(lost_keys(counted, wanted, own, "_n", heavy_keys))
+    names = unused(refs, *own)
+    lost = lost.select(*[F.col(o).alias(n) for o, n in zip(own, names)], "_heavy")
+
+    def of(some: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        some = some.drop("_heavy")
+        return rows.join(some, _match(rows, some, list(zip(keys, names))), how)
+
+    if lost.limit(few_keys + 1).count() <= few_keys:
+        return of(F.broadcast(lost), refs, "left_semi")
+    heavy = F.broadcast(lost.filter("_heavy"))  # at most heavy_keys rows
+    return of(heavy, refs, "left_semi").unionByName(of(lost.filter("not _heavy"), of(heavy, refs, "left_anti"), "left_semi"))
+
+
+def orphan_counts(refs: DataFrame, targets: DataFrame, keys: list[str], period: str, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
     """Orphan and total references per period: ``period, refs, orphans``.
 
     References are summed per key and period before anything is shuffled for the anti-join, so a key with a third of all
     references travels as one row per period. References with a null period are counted under a null period.
     """
     given = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    summed = refs.filter(given).groupBy(*keys, period).agg(F.count(F.lit(1)).alias("_refs"))
-    lost = orphan_references(summed, targets, keys, **options)
-    both = summed.select(period, F.col("_refs").alias("_all"), F.lit(0).cast("bigint").alias("_lost")).unionByName(
-        lost.select(period, F.lit(0).cast("bigint").alias("_all"), F.col("_refs").alias("_lost"))
-    )
-    return both.groupBy(period).agg(F.sum("_all").alias("refs"), F.sum("_lost").alias("orphans"))
+    summed = cut(refs.filter(given).groupBy(*keys, F.col(period).alias("_period")).agg(F.count(F.lit(1)).alias("_refs")))
+    counted = summed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_refs").alias("_n"))
+    wanted = targets.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)]).dropna()
+    lost = lost_keys(counted, wanted, [f"_k{i}" for i in range(len(keys))], "_n", heavy_keys).withColumn("_lost", F.lit(True))
+    # one row per key and period on one side, one per lost key on the other
+    both = summed.join(lost, _match(summed, lost, [(k, f"_k{i}") for i, k in enumerate(keys)]), "left")
+    orphans = F.coalesce(F.sum(F.when(F.col("_lost"), F.col("_refs"))), F.lit(0))
+    return both.groupBy(F.col("_period").alias(period)).agg(F.sum("_refs").alias("refs"), orphans.alias("orphans"))

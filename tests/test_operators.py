@@ -97,8 +97,8 @@ def test_filters(spark):
     assert [r._name for r in filters.period_names(df, "period", "UR").collect()] == ["Ur III"]
 
 
-@pytest.mark.parametrize("heavy", [2, 10_000])
-def test_orphans_by_brute_force(spark, heavy):
+@pytest.mark.parametrize("heavy,few", [(3, 0), (1000, 0), (3, 100_000), (1, 2)])
+def test_orphans_by_brute_force(spark, heavy, few):
     rng = random.Random(2)
     refs = [(rng.choice([None, "hot", "cold", *map(str, range(30))]), rng.choice(["jan", None]), i) for i in range(400)]
     targets = [(rng.choice([None, "hot", *map(str, range(20))]),) for _ in range(40)]
@@ -106,9 +106,9 @@ def test_orphans_by_brute_force(spark, heavy):
     r = spark.createDataFrame(refs, "key string, month string, _there int")  # an odd column name may clash
     r = r.withColumnRenamed("_there", "name")
     t = spark.createDataFrame(targets, "id string")
-    lost = orphans.orphan_references(r, t, ["key"], ["id"], heavy_count=heavy)
+    lost = orphans.orphan_references(r, t, ["key"], ["id"], heavy_keys=heavy, few_keys=few)
     assert sorted(x.name for x in lost.collect()) == sorted(i for k, _, i in refs if k and k not in have)
-    counts = orphans.orphan_counts(r, t.withColumnRenamed("id", "key"), ["key"], "month", heavy_count=heavy)
+    counts = orphans.orphan_counts(r, t.withColumnRenamed("id", "key"), ["key"], "month", heavy_keys=heavy)
     counted = {x.month: (x.refs, x.orphans) for x in counts.collect()}
     for month in ("jan", None):
         own = [k for k, m, _ in refs if m == month and k]
