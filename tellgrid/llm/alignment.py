@@ -101,14 +101,16 @@ def _spans(paragraphs: DataFrame, lines: DataFrame) -> DataFrame:
     named = lines.filter("para is not null").groupBy("text", "para").agg(F.percentile_approx("place", 0.5).alias("mid"), F.count(F.lit(1)).alias("n"))
     named = named.select("text", "para", (F.col("mid") - (F.col("n") - 1) / 2).alias("n1"), (F.col("mid") + (F.col("n") - 1) / 2).alias("n2"))
     number = F.try_to_number(F.regexp_extract("para", r"(\d{1,9})$", 1), F.lit("999999999")).cast("bigint")
+    size = F.max(F.length(F.coalesce("translation", F.lit(""))) + 1).cast("double").alias("size")
     placed = (
-        paragraphs.select("text", "para").distinct().withColumn("number", number).join(ranged, ["text", "para"], "left").join(named, ["text", "para"], "left")
-        .select("text", "para", "number", F.coalesce("r1", "n1").alias("first"), F.coalesce("r2", "n2").alias("last"))
+        paragraphs.groupBy("text", "para").agg(size).withColumn("number", number).join(ranged, ["text", "para"], "left").join(named, ["text", "para"], "left")
+        .select("text", "para", "number", "size", F.coalesce("r1", "n1").alias("first"), F.coalesce("r2", "n2").alias("last"))
     )
+    placed = cut(placed)
     known = placed.filter("first is not null and number is not null")
     after = known.select(F.col("text").alias("at"), (F.col("number") + 1).alias("an"), (F.col("last") + 1).alias("left"))
     before = known.select(F.col("text").alias("bt"), (F.col("number") - 1).alias("bn"), (F.col("first") - 1).alias("right"))
-    open_ones = placed.filter("first is null").drop("first", "last")
+    open_ones = placed.filter("first is null").drop("first", "last", "size")
     open_ones = open_ones.join(after, (F.col("text") == F.col("at")) & (F.col("number") == F.col("an")), "left").join(
         before, (F.col("text") == F.col("bt")) & (F.col("number") == F.col("bn")), "left"
     )
@@ -119,8 +121,7 @@ def _spans(paragraphs: DataFrame, lines: DataFrame) -> DataFrame:
     found = found.groupBy("text", "para").agg(F.min("first").cast("double").alias("first"), F.max("last").cast("double").alias("last"))
     # the others share what lies between the placed ones before and after them (or the ends of the text), by their length
     whole = lines.filter("place is not null").groupBy("text").agg(F.min("place").cast("double").alias("low"), F.max("place").cast("double").alias("high"))
-    size = F.max(F.length(F.coalesce("translation", F.lit(""))) + 1).cast("double").alias("size")
-    every = paragraphs.groupBy("text", "para").agg(size).withColumn("number", number).join(found, ["text", "para"], "left").join(whole, "text")
+    every = placed.select("text", "para", "number", "size").join(found, ["text", "para"], "left").join(whole, "text")
     order = Window.partitionBy("text").orderBy(F.col("number").asc_nulls_last(), "para")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(1, Window.unboundedFollowing)
@@ -648,7 +649,7 @@ def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: in
     clauses = cut(_clauses(paragraphs, _spans(paragraphs, lines)))
     count = clauses.count()
     placed = lines.filter("place is not null").groupBy("text", "line").agg(F.min("place").cast("double").alias("place"))
-    source = placed.join(tokens, ["text", "line"]).join(paragraphs.select("text").distinct(), "text", "left_semi")
+    source = placed.join(paragraphs.select("text").distinct(), "text", "left_semi").join(tokens, ["text", "line"])
     as_rows = [F.col(c) for c in ("text", "seg", "core")]
     sentence_id = F.concat_ws("\u0001", "para", F.col("sent").cast("string"))
     none = F.lit(0)
