@@ -7,11 +7,10 @@ catalog with statistics for the optimizer.
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ SORTED = {
     "entries": ["id"], "periods": ["entry_id", "ord"], "compounds": ["entry_id", "xcpd"], "morphology": ["kind", "n"], "forms": ["n"], "norms": ["n"],
     "senses": ["entry_id"], "sense_sigs": ["sense_id"], "instances": ["xis", "word_ref"], "text_locations": ["text_id"], "unigrams": ["cf"],
     "collocations": ["n", "cf1"], "inflected_ngrams": ["n", "cf1"], "texts": ["text_id"], "lines": ["text_id", "ord"], "words": ["lemma"],
-    "paragraphs": ["text_id"], "artifacts": ["p_id"],
+    "paragraphs": ["text_id"], "artifacts": ["p_id"], "corpus_words": ["project", "text_id", "position"],
 }
 
 _ITEM = "struct<id:string,cbd_id:string,n:string,mng:string,pos:string,icount:string,ipct:string,xis:string>"
@@ -105,7 +104,8 @@ def glossary_tables(entries: DataFrame, instances: DataFrame) -> dict[str, DataF
 def text_index(members: DataFrame) -> DataFrame:
     """text_locations: every document of the archives with its catalogue's period and designation, first archive first."""
     found = first_wins(documents.located(members).drop("content"), ["project", "text_id"], ["zip_path", "position"]).drop("position")
-    return found.join(documents.catalogue_entries(members).dropDuplicates(["project", "text_id"]), ["project", "text_id"], "left")
+    listed = first_wins(documents.catalogue_entries(members), ["project", "text_id"], ["zip_path", "position", "designation", "period"]).drop("zip_path", "position")
+    return found.join(listed, ["project", "text_id"], "left")
 
 
 def word_nodes(members: DataFrame) -> DataFrame:
@@ -215,12 +215,8 @@ def build_all(
     ``glossary`` is (zip file, member); the other sources are paths. Stages without a source are left out, and a build of
     another version is overwritten table by table. The version marker is written last.
     """
-    marker = os.path.join(folder.removeprefix("file://"), "_build.json")
-    if not force and os.path.exists(marker):
-        with open(marker, encoding="utf-8") as held:
-            state = json.load(held)
-        if state.get("version") == SCHEMA_VERSION:
-            return state["rows"]
+    if not force and (state := built_state(spark, folder)) and state.get("version") == str(SCHEMA_VERSION):
+        return {k.removeprefix("rows."): int(v) for k, v in state.items() if k.startswith("rows.")}
     register_sources(spark)
     rows: dict[str, int] = {}
     stages: list[tuple[str | tuple | None, Callable[[], dict[str, DataFrame]]]] = []
@@ -234,7 +230,8 @@ def build_all(
     def of_archives() -> dict[str, DataFrame]:
         members = _members(spark, archives, r"/corpusjson/[PQ]\d+\.json$|/catalogue\.json$")
         nodes = word_nodes(members)
-        unreadable = nodes.filter("not readable").select("project", "text_id")
+        broken = members.filter("member is null").select(F.col("archive").alias("project"), F.lit(None).cast("string").alias("text_id"))
+        unreadable = nodes.filter("not readable").select("project", "text_id").unionByName(broken)
         return {"text_locations": text_index(members), "corpus_words": nodes.filter("readable"), "unreadable": unreadable} | ngram_tables(nodes.filter("readable"), least)
 
     stages.append((archives, of_archives))
@@ -249,8 +246,19 @@ def build_all(
         held = {n: spark.read.parquet(f"{folder}/{n}") for n in ("paragraphs", "lines")}
         fts.build_index(held["paragraphs"].withColumn("doc", F.concat_ws("|", "text_id", "para_id")), "doc", "translation", True).write(f"{folder}/fts_paragraphs")
         fts.build_index(held["lines"].withColumn("doc", F.concat_ws("|", "text_id", "line_id")), "doc", "transliteration").write(f"{folder}/fts_lines")
-    meta = [("version", SCHEMA_VERSION), ("built_at", datetime.now(UTC).isoformat()), *[(f"rows.{n}", str(c)) for n, c in sorted(rows.items())]]
+    sources = {"glossary": glossary and "!".join(glossary), "archives": archives, "bilingual_archive": bilingual_archive, "catalogue_csv": catalogue_csv, "signs": signs}
+    meta = [("version", str(SCHEMA_VERSION)), ("built_at", datetime.now(UTC).isoformat()), ("least_count", str(least))]
+    meta += [(f"source.{n}", v) for n, v in sources.items() if v] + [(f"rows.{n}", str(c)) for n, c in sorted(rows.items())]
+    if archives:
+        meta += [("texts_scanned", str(rows["text_locations"])), ("parse_failures", str(rows["unreadable"]))]
+    # written last: what it says is there
     spark.createDataFrame(meta, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/build_meta")
-    with open(marker, "w", encoding="utf-8") as out:
-        json.dump({"version": SCHEMA_VERSION, "rows": rows}, out)
     return rows
+
+
+def built_state(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Keys and values of the build at a folder, wherever it lies; empty if there is none."""
+    try:
+        return {r["key"]: r["value"] for r in spark.read.parquet(f"{folder}/build_meta").collect()}
+    except AnalysisException:
+        return {}

@@ -1,6 +1,6 @@
 """Python data sources for archives: members of zip files, and items of JSON documents too large for one row.
 
-``zip_members``: options ``path`` (a file, a folder or a glob) and ``pattern`` (a regular expression on member names);
+``zip_members``: options ``path`` (a file, a folder or, locally, a glob; with an address such as hdfs:// or s3:// on any file system) and ``pattern`` (a regular expression on member names);
 rows are archive, member, position, content. Only the directories of the archives are read on the driver; members are
 read in partitions of about ``partition_bytes`` that do not cross archives.
 
@@ -19,6 +19,8 @@ import re
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Uncompressed bytes of members that one partition reads.
@@ -27,10 +29,27 @@ _CHUNK = 1 << 20
 
 
 def _paths(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(glob.glob(os.path.join(path, "*.zip")))
-    return sorted(glob.glob(path))
+    files, own = _filesystem(path)
+    if any(c in own for c in "*?["):
+        if not isinstance(files, fs.LocalFileSystem):
+            raise ValueError(f"patterns are for local folders only: {path}")
+        return sorted(glob.glob(own))
+    info = files.get_file_info(own)
+    prefix = path.split("://")[0] + "://" if "://" in path else ""
+    if info.type == fs.FileType.Directory:
+        return sorted(prefix + f.path for f in files.get_file_info(fs.FileSelector(own)) if f.path.endswith(".zip"))
+    return [path] if info.type == fs.FileType.File else []
+
+
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address (file, hdfs, s3, gs ...) and the path within it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A file that can be read from any place, wherever it lies."""
+    files, own = _filesystem(path)
+    return files.open_input_file(own)
 
 
 class _Members(InputPartition):
@@ -49,10 +68,11 @@ class _ZipReader(DataSourceReader):
         parts: list[InputPartition] = []
         for path in _paths(self.path):
             try:
-                with zipfile.ZipFile(path) as archive:
+                with _opened(path) as raw, zipfile.ZipFile(raw) as archive:
                     infos = [(i, x.filename, x.file_size) for i, x in enumerate(archive.infolist()) if self.pattern.search(x.filename)]
-            except (zipfile.BadZipFile, OSError):
-                continue  # an unreadable archive is left out, as a whole
+            except (zipfile.BadZipFile, OSError, pa.ArrowInvalid):
+                parts.append(_Members(path, [(0, "")]))  # an unreadable archive is one row without a member
+                continue
             held: list[tuple[int, str]] = []
             weight = 0
             for position, name, size in infos:
@@ -68,11 +88,14 @@ class _ZipReader(DataSourceReader):
     def read(self, partition: _Members) -> Iterator[tuple]:
         if not partition.archive:
             return
-        with zipfile.ZipFile(partition.archive) as archive:
+        if not partition.members[0][1]:
+            yield partition.archive, None, 0, None
+            return
+        with _opened(partition.archive) as raw, zipfile.ZipFile(raw) as archive:
             for position, name in partition.members:
                 try:
                     content = archive.read(name)
-                except (zipfile.BadZipFile, OSError, KeyError, NotImplementedError):
+                except (zipfile.BadZipFile, OSError, KeyError, NotImplementedError, pa.ArrowInvalid):
                     content = None
                 yield partition.archive, name, position, content
 
@@ -209,24 +232,26 @@ class _ItemsReader(DataSourceReader):
         self.options = dict(options)
 
     def read(self, partition) -> Iterator[tuple]:
-        path = self.options["path"].removeprefix("file://")
+        path = self.options["path"]
         pairs = self.options.get("kind", "items") == "pairs"
         tolerant = self.options.get("tolerant", "false") == "true"
 
         def run(raw) -> Iterator[tuple]:
             stream = JsonStream(io.TextIOWrapper(raw, encoding="utf-8"))
+            position = -1
             try:
                 for position, (key, value) in enumerate(stream.field(self.options["field"], pairs)):
                     yield position, key, json.dumps(value, ensure_ascii=False)
             except ValueError:
                 if not tolerant:
                     raise
+                yield position + 1, None, None  # the document breaks off here
 
         if member := self.options.get("member"):
-            with zipfile.ZipFile(path) as archive, archive.open(member) as raw:
+            with _opened(path) as file, zipfile.ZipFile(file) as archive, archive.open(member) as raw:
                 yield from run(raw)
         else:
-            with open(path, "rb") as raw:
+            with _opened(path) as raw:
                 yield from run(raw)
 
 

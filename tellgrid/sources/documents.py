@@ -66,9 +66,9 @@ def located(members: DataFrame) -> DataFrame:
 
 
 def catalogue_entries(members: DataFrame) -> DataFrame:
-    """project, text_id, period, designation from the catalogues among the members; what cannot be read gives nothing."""
+    """project, text_id, zip_path, position, period, designation from the catalogues among the members; what cannot be read gives nothing."""
     project = F.regexp_extract("member", r"^(.+)/catalogue\.json$", 1)
     parsed = F.from_json(F.col("content").cast("string"), "members map<string,string>")
-    rows = members.select(project.alias("project"), parsed["members"].alias("m")).filter("project <> '' and m is not null")
-    each = rows.select("project", F.explode("m").alias("text_id", "meta")).withColumn("meta", F.from_json("meta", "period string, designation string"))
-    return each.filter("meta is not null").select("project", "text_id", "meta.period", "meta.designation")
+    rows = members.select(project.alias("project"), F.col("archive").alias("zip_path"), "position", parsed["members"].alias("m")).filter("project <> '' and m is not null")
+    each = rows.select("project", "zip_path", "position", F.explode("m").alias("text_id", "meta")).withColumn("meta", F.from_json("meta", "period string, designation string"))
+    return each.filter("meta is not null").select("project", "text_id", "zip_path", "position", "meta.period", "meta.designation")

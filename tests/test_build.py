@@ -109,7 +109,22 @@ def test_text_index_and_nodes(built):
     _, c = built
     found = sorted(tuple(r) for r in c["text_locations"].select("project", "text_id", "period", "designation").collect())
     assert found == [("p/q", "P000001", "Old", "X 1"), ("p/q", "P000003", None, None), ("p/q", "Q000002", None, None), ("r", "P000001", None, None)]
-    assert sorted(r.text_id for r in c["unreadable"].collect()) == ["P000003", "Q000002"]
+    lost = sorted((r.text_id or "", r.project.rsplit("/")[-1]) for r in c["unreadable"].collect())
+    assert lost == [("", "c.zip"), ("P000003", "q"), ("Q000002", "q")]  # the third archive is none
+
+
+def test_build_state(built, spark):
+    root, _ = built
+    state = build.built_state(spark, str(root / "out"))
+    assert state["texts_scanned"] == "4" and state["parse_failures"] == "3" and state["source.archives"].endswith("texts") and state["rows.signs"] == "3"
+    assert build.built_state(spark, str(root / "nowhere")) == {}
+
+
+def test_documents_that_break_off(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"items": [1, 2, {"a"')
+    read = spark.read.format("json_items").option("path", f"file://{tmp_path}/a.json").option("field", "items").option("tolerant", "true").load()
+    assert [(r.position, r.value) for r in read.orderBy("position").collect()] == [(0, "1"), (1, "2"), (2, None)]
+    assert spark.read.format("zip_members").option("path", str(tmp_path / "*.zip")).load().count() == 0
 
 
 def test_ngrams(built):
