@@ -82,9 +82,12 @@ def gloss_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def phrase_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles of every line's words with what they are read from, the skeleton and the notes."""
     corpus = built(spark, folder)
     parsed = lexicon.parse_phrases(corpus, corpus["lines"], ["text_id", "line_id", "ord"], "transliteration")
-    return parsed.select("text_id", "line_id", *_big("ord"), "skeleton", F.size("chunks").cast("bigint").alias("chunks"), F.size("notes").cast("bigint").alias("notes"))
+    blank = F.lit("")
+    chunk = lambda c: F.concat_ws("|", c["token"], c["role"], *[F.coalesce(c[f], blank) for f in ("base", "cf", "pos_head", "verbal_prefixes")], F.array_join(F.transform(c["suffixes"], lambda x: x["role"]), ","))
+    return parsed.select("text_id", "line_id", *_big("ord"), "skeleton", F.array_join(F.transform("chunks", chunk), " / ").alias("chunks"), F.array_join("notes", " / ").alias("notes"))
 
 
 def unigram_counts(spark: SparkSession, folder: str) -> DataFrame:

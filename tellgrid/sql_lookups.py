@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tellgrid.functions.morph import SUFFIXES
+from tellgrid.functions.morph import CASE_ROLES, ROLE_LABELS, SUFFIXES, VERB_PREFIXES
 from tellgrid.functions.text import QUERY_LETTERS, SPELLING_LETTERS
 from tellgrid.sql import _ARTIFACTS, _BLANKS, _ENTRIES, _FORMS, _FTS, _INSTANCES, _LINES, _MORPHOLOGY, _PARAGRAPHS, _READINGS, _REFS, _SENSES, _TEXTS, _TOKENS, _artifact_urls, _bm25, _meaning
 
@@ -61,6 +61,56 @@ def _slot(i: int) -> str:
     return f"case when n >= {i} then cf{i} || '|' || coalesce(gw{i}, '') || '|' || coalesce(pos{i}, '') || '|' || coalesce(case{i}, '') end"
 
 
+def _cases(pairs: dict[str, str], of: str) -> str:
+    return f"case {of} " + " ".join(f"when '{k}' then '{v}'" for k, v in pairs.items()) + " end"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _phrases(base: str) -> str:
+    """Every line's words with their roles, folded into a skeleton, and the notes that the roles suggest."""
+    also = "map([" + ", ".join(f"'{e}'" for e, _, _, a in SUFFIXES if a) + "], [" + ", ".join("[" + ", ".join(map(_text, a)) + "]" for _, _, _, a in SUFFIXES if a) + "])"
+    prefixes = ", ".join(f"'{p}'" for p in VERB_PREFIXES)
+    known = "case when suffixed and not w_known then b_known else w_known end"
+    read = lambda name: f"case when is_verb then w_{name} when suffixed and not w_known then b_{name} else w_{name} end"
+    peel = _PEEL.replace("role varchar, kind varchar", "role varchar, kind varchar, ending varchar").replace("kind := x.kind", "kind := x.kind, ending := x.ending")
+    return f"""
+{base}, {_LINES},
+  t as (select text_id, line_id, ord, {_TOKENS.replace("TEXT", "transliteration")} as words from lines_v),
+  w as (select text_id, line_id, ord, unnest(words) as word, unnest(range(len(words))) as place from t),
+  peel_v as (select distinct word as form from w), {peel},
+  best as (select key, cf, pos from readings where rank = 1),
+  a as (select p.form as word, p.base as stem, p.found, len(found) > 0 as suffixed, string_split(p.form, '-') as parts, x.cf as w_cf, x.pos as w_pos, x.key is not null as w_known,
+    y.cf as b_cf, y.pos as b_pos, y.key is not null as b_known from peeled p left join best x on x.key = lower(p.form) left join best y on y.key = lower(p.base)),
+  b as (select *, list_filter(parts[1:-2], lambda c, i: len(list_filter(parts[1:i], lambda d: d in ({prefixes}))) = i) as chain from a),
+  c as (select *, coalesce(w_pos like 'V%', false) or (len(chain) > 0 and coalesce(w_pos, '') = '') as is_verb, parts[-1] as last from b),
+  d as (select *, case when is_verb then w_known else {known} end as known, {read("cf")} as cf, {read("pos")} as pos, case when not is_verb then {_CASE} end as outer_case,
+    case when is_verb and len(chain) > 0 then array_to_string(chain, '-') end as prefixes,
+    case when is_verb then case when len(chain) > 0 then last end when suffixed then stem end as base, case when is_verb then found[1:0] else found end as ends from c),
+  e as (select *, case when is_verb then 'verb_head' when outer_case is not null then coalesce({_cases(CASE_ROLES, "outer_case")}, 'unknown') when pos = 'AJ' then 'adjective_modifier'
+    when known then 'noun_head_unmarked' else 'unknown' end as role,
+    coalesce(case when known then cf end, case when is_verb then last else coalesce(base, word) end) as head from d),
+  f as (select *, case when is_verb then '[V ' || head || case when prefixes is not null then ' (' || prefixes || '-)' else '' end || ']' when role = 'adjective_modifier' then head
+    when outer_case is not null or role = 'noun_head_unmarked' then '[NP ' || head || '-' || coalesce({_cases(ROLE_LABELS, "role")}, '?') || ']' else '[? ' || head || ']' end as shown,
+    concat_ws('|', word, role, coalesce(base, ''), coalesce(cf, ''), coalesce(pos, ''), coalesce(prefixes, ''), array_to_string(list_transform(ends, lambda x: x.role), ',')) as chunk,
+    list_transform(list_filter(ends, lambda x: len(coalesce({also}[x.ending], [])) > 0), lambda x: 'token ' || chr(39) || word || chr(39) || ': suffix ' || chr(39) || x.ending || chr(39) || ' read as ' || chr(39) || x.role
+      || chr(39) || ', but ambiguous with: ' || array_to_string({also}[x.ending], ', ')) as remarks from e),
+  g as (select w.text_id, w.line_id, w.ord, list(f.chunk order by place) as chunks, list(f.role order by place) as roles, flatten(list(f.remarks order by place)) as remarks,
+    list(struct_pack(adjective := f.role = 'adjective_modifier', said := f.shown) order by place) as said from w join f using (word) group by 1, 2, 3),
+  h as (select *, list_reduce(list_prepend(struct_pack(adjective := false, said := ''), said), lambda x, y: struct_pack(adjective := false, said := case
+    when y.adjective and ends_with(x.said, ']') then left(x.said, length(x.said) - 1) || ' +ADJ:' || y.said || ']'
+    else x.said || case when x.said <> '' then ' ' else '' end || case when y.adjective then '[ADJ ' || y.said || ']' else y.said end end)).said as skeleton,
+    case when list_contains(roles, 'noun_head_unmarked') and list_contains(roles, 'verb_head') then case when list_contains(roles, 'subject_ergative') then
+      'ergative subject + absolutive object + verb head: transitive clause (canonical SOV pattern)' else
+      'absolutive subject + verb head, no ergative marker: likely INTRANSITIVE clause (or the ergative-marked subject was elided in this fragment)' end end as clause,
+    case when list_contains(roles, 'comparison_equative') then 'equative -gin₇ detected: the marked noun is being compared LIKE the head, not described AS the head — rules out an attributive-adjective reading' end as alike
+    from g)
+select text_id, line_id, ord::bigint as ord, skeleton, array_to_string(chunks, ' / ') as chunks,
+  array_to_string(list_concat(list_filter([clause, alike], lambda x: x is not null), remarks), ' / ') as notes from h"""
+
+
 def lookups(own: dict[str, str], sort_key: str, letter: str) -> dict[str, str]:
     """``own`` holds the queries that pages are taken from."""
     base = "with recursive " + ", ".join([_ENTRIES, _FORMS, _MORPHOLOGY, _READINGS])
@@ -97,6 +147,7 @@ left join readings r on r.key = lower(token) and r.rank <= 3 and t.match_kind <>
 select t.text_id, t.line_id, t.ord::bigint as ord, t.position, t.part, t.token, case when match_kind = 'split_fallback' then word end as from_word, match_kind,
   case when len(found) > 0 then base end as base, coalesce(array_to_string(list_transform(found, lambda x: x.role), ','), '') as roles, r.oid, r.cf
 from t left join peeled on peeled.form = t.word and match_kind = 'whole' left join readings r on r.key = lower(token) and r.rank = 1 and match_kind <> 'unmatched'""",
+        "phrase_roles": _phrases(base),
         "suffix_peel": f"""
 with recursive peel_v as (select distinct form from words where form is not null), {_PEEL}
 select form, base, array_to_string(list_transform(found, lambda x: x.role), ',') as roles, {_CASE} as "case" from peeled""",
