@@ -4,7 +4,8 @@ Items of one size are interchangeable, so the packing is planned on the counts p
 whatever the number of items): a bin is opened with the largest size left and filled greedily with the largest that still
 fits; then its smallest item is given back as long as two unpacked items fit the gap it leaves more tightly. The bin found
 is repeated as often as the counts allow, which uses up at least one size. Items then find their place by their rank
-within their size, which is taken in hash buckets so that one size may hold any share of all items.
+within their size, which is taken in hash buckets, as many as the number of items of the size asks for, so that one size
+may hold any share of all items.
 
 Defined results
 ---------------
@@ -18,14 +19,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tellgrid.session import cut
 
-#: Hash buckets in which the items of one size are ranked.
-BUCKETS = 256
+#: Items of one size that are ranked in one bucket, on average.
+BUCKET = 100_000
 
 
 def _best_pair(counts: np.ndarray, used: dict[int, int], most: int) -> tuple[int, int] | None:
@@ -86,7 +87,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
         bins.append((used, times))
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = BUCKETS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, bucket: int = BUCKET) -> DataFrame:
     """key, piece, size, container: no container holds more than ``capacity``."""
     kind = items.schema[key].dataType
     sized = cut(items.select(F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("_size")))
@@ -94,14 +95,20 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = BU
     whole = F.when(F.col("_size") > capacity, full).otherwise(0)
     pieces = sized.withColumn("_whole", whole).withColumn("_rest", F.col("_size") - F.col("_whole") * capacity)
 
-    placed = pieces.filter("_rest > 0").withColumn("_b", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+    # at most ``capacity`` + 1 rows come to the driver
+    counted = pieces.groupBy("_rest").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_whole") > 0).cast("bigint")).alias("over")).collect()
+    histogram = {int(r["_rest"]): int(r["n"]) for r in counted if r["_rest"] > 0}
+    bins = plan(histogram, capacity)
+    spread = {size: -(-n // bucket) for size, n in histogram.items() if n > bucket}
+
+    def by_hash(buckets: Column) -> Column:
+        return F.pmod(F.xxhash64("_key"), buckets.cast("bigint")).cast("int")
+
+    buckets = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in spread.items() for x in pair]), F.col("_rest")), F.lit(1)) if spread else F.lit(1)
+    placed = pieces.filter("_rest > 0").withColumn("_b", by_hash(buckets))
     per_bucket = placed.groupBy("_rest", "_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = F.sum("_n").over(Window.partitionBy("_rest").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_bucket.select(F.col("_rest").alias("_r"), F.col("_b").alias("_bb"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
-    # at most ``capacity`` rows come to the driver
-    histogram = {int(r["_rest"]): int(r["n"]) for r in placed.groupBy("_rest").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bins = plan(histogram, capacity)
-
     slots: dict[int, list[tuple[int, int, int]]] = {}
     taken: dict[int, int] = {}
     base = 0
@@ -130,8 +137,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = BU
     )
 
     # full containers of over-long items come after the packed ones, numbered by bucket like the ranks above
-    over = pieces.filter("_whole > 0").withColumn("_b", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
-    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # at most ``buckets`` rows
+    over = pieces.filter("_whole > 0").withColumn("_b", by_hash(F.lit(max(1, -(-sum(int(r["over"]) for r in counted) // bucket)))))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # a row per bucket
     starts = over.groupBy("_b").agg(F.sum("_whole").alias("_n")).select(F.col("_b").alias("_bb"), F.coalesce(before, F.lit(0)).alias("_ahead"))
     own = F.coalesce(F.sum("_whole").over(Window.partitionBy("_b").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     split = over.withColumn("_own", own).join(F.broadcast(starts), F.col("_b") == F.col("_bb"))

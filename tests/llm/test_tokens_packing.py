@@ -110,6 +110,8 @@ def test_packing(spark, sizes):
     assert len(load) <= first_fit([n for _, n in items], 100)
     if sizes in ("mixed", "small"):
         assert sum(load.values()) / 100 / len(load) > 0.985
+    spread = [tuple(r) for r in packing.pack(df, "id", "n", 100, bucket=7).select("id", "piece", "size", "container").collect()]
+    assert len(check(spread, items, 100)) == len(load)
     other = {tuple(r) for r in packing.pack(df.repartition(3), "id", "n", 100).select("id", "piece", "size", "container").collect()}
     assert other == set(rows)  # the same for any partitioning
 
