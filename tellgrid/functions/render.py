@@ -65,3 +65,10 @@ def cuneify(spelling: Column, glyphs: dict[str, str]) -> Column:
 
 def placeholder_count(rendered: Column) -> Column:
     return F.length(rendered) - F.length(F.replace(rendered, F.lit(PLACEHOLDER), F.lit("")))
+
+
+def cuneified(spelling: Column, glyphs: dict[str, str]) -> Column:
+    """struct<glyphs, missing, complete>: a spelling in signs, how many of them are unknown, and whether none is."""
+    shown = cuneify(spelling, glyphs)
+    missing = placeholder_count(shown)
+    return F.struct(shown.alias("glyphs"), missing.alias("missing"), ((missing == 0) & (shown != "")).alias("complete"))

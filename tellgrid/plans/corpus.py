@@ -100,6 +100,22 @@ def examples(corpus: Corpus, per_entry: int = 3, period: str | None = None, oids
     return both.withColumn("markdown", attestation_markdown(*citations))
 
 
+def form_examples(corpus: Corpus, forms: DataFrame, base: str = CATALOGUE, citations: tuple[str, str] = ("dictionary", "catalogue")) -> DataFrame:
+    """``forms`` (with xis) and the first line at hand that attests each: word_ref, transliteration, target, target_position,
+    period, designation, markdown; null where there is none."""
+    refs = corpus["instances"].join(forms.select("xis").distinct(), "xis", "left_semi").filter("word_ref is not null")
+    lines = resolve_lines(corpus["corpus_words"], refs, "word_ref")
+    read = refs.withColumn("r", parse_word_ref(F.col("word_ref"))).filter("r is not null").select("xis", "word_ref", "r.project", "r.text_id", "r.line")
+    own = read.join(lines.drop("asked"), ["project", "text_id", "line"])
+    first = own.groupBy("xis").agg(F.min(F.struct("word_ref", "project", "text_id", F.col("line").alias("line_label"), "transliteration", "target_position", "frags")).alias("e")).select("xis", "e.*")
+    texts = corpus["text_locations"].select("project", "text_id", "period", "designation")
+    shown = corpus["artifacts"].select(F.col("p_id").alias("text_id"), "cdli_id", "has_photo", "has_lineart", "museum_collection", "museum_no")
+    full = first.join(texts, ["project", "text_id"], "left").join(shown, "text_id", "left").withColumn("target", F.get("frags", F.col("target_position")))
+    url = asset_urls(F.col("text_id"), F.col("cdli_id"), F.col("has_photo"), F.col("has_lineart"), base)["artifact_url"]
+    full = full.withColumn("artifact_url", url).withColumn("markdown", attestation_markdown(*citations))
+    return forms.join(full.select("xis", "word_ref", "transliteration", "target", "target_position", "period", "designation", "markdown"), "xis", "left")
+
+
 def unresolved(corpus: Corpus, oids: list[str] | None = None, top: int = 3) -> DataFrame:
     """oid, refs, p_refs, q_refs, projects for entries none of whose references leads to a located text.
 
@@ -175,6 +191,15 @@ def lines_with_lemma(corpus: Corpus, lemma: str | None = None) -> DataFrame:
     return joined_lines.join(paragraphs, ["text_id", "paragraph_id"], "left")
 
 
+def lemma_page(corpus: Corpus, lemma: str, limit: int = 10, offset: int = 0, source: str = "corpus") -> DataFrame:
+    """A page of the lines with a lemma, one row per word, in the order of their texts: text_id, title, line, ord, word_pos,
+    transliteration, translation, markdown, total, next_offset."""
+    found = paged(lines_with_lemma(corpus, lemma), [F.col(c) for c in ("text_id", "ord", "line_id", "word_pos", "form")], limit, offset)
+    full = _titled(corpus, found)
+    block = bilingual_markdown(F.col("title"), F.col("text_id"), F.col("line_label"), F.col("transliteration"), F.col("translation"), source)
+    return full.select("text_id", "title", F.col("line_label").alias("line"), "ord", "word_pos", "transliteration", "translation", block.alias("markdown"), "total", "next_offset")
+
+
 def text_blocks(corpus: Corpus, text_id: str | None = None, start: int = 1, limit: int | None = None) -> DataFrame:
     """Consecutive lines of one paragraph as blocks: text_id, island, paragraph_id, first_ord, last_ord, lines."""
     lines = corpus["lines"].filter(F.col("ord") >= start)

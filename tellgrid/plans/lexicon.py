@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tellgrid.functions import collate, morph, text
+from tellgrid.functions.render import cuneify
 from tellgrid.operators.groups import share, top_per_group
 from tellgrid.plans.tables import Corpus, folded
 
@@ -29,23 +30,27 @@ def by_meaning(corpus: Corpus, query: str) -> DataFrame:
     needle = query.casefold().strip()
     entries, senses = corpus["entries"], corpus["senses"]
     hits = senses.filter(text.contains_like(folded(senses, "mng"), needle))
-    best = F.row_number().over(Window.partitionBy("entry_id").orderBy(*_desc("icount"), "id"))
-    top = hits.withColumn("_r", best).filter("_r = 1").select("entry_id", F.col("mng").alias("sense"), F.col("icount").alias("sense_count"), F.col("ipct").alias("sense_pct"))
-    head = entries.select(F.col("id").alias("entry_id"), "cf", "gw", "pos", F.col("icount").alias("entry_total"))
-    first = top.join(head, "entry_id")
-    by_word = entries.filter(text.contains_like(folded(entries, "gw"), needle)).select(F.col("id").alias("entry_id"))
-    only = head.join(by_word, "entry_id", "left_semi").join(top, "entry_id", "left_anti")
-    second = only.select("entry_id", F.col("gw").alias("sense"), F.col("entry_total").alias("sense_count"), F.lit(100).alias("sense_pct"), "cf", "gw", "pos", "entry_total")
-    columns = ["entry_id", "cf", "gw", "pos", "sense", "sense_count", "sense_pct", "entry_total"]
-    return first.select(columns).unionByName(second.select(columns)).distinct().withColumnRenamed("entry_id", "oid")
+    # the best sense: the highest count, a null count last, then the smaller id
+    place = [F.col("icount").isNull().alias("uncounted"), (-F.col("icount")).alias("down"), F.col("id")]
+    best = hits.groupBy(F.col("entry_id").alias("oid")).agg(F.min(F.struct(*place, "mng", "icount", "ipct")).alias("best"))
+    gw = folded(entries, "gw")
+    head = entries.select(F.col("id").alias("oid"), "cf", "gw", "pos", F.col("icount").alias("entry_total"), F.coalesce(text.contains_like(gw, needle), F.lit(False)).alias("by_word"))
+    found = head.join(best, "oid", "left").filter(F.col("best").isNotNull() | F.col("by_word"))
+    # a guide word stands for a sense where no sense holds the query
+    said = F.col("best").isNotNull()
+    sense = [F.when(said, F.col(f"best.{f}")).otherwise(other).alias(name) for f, other, name in (("mng", F.col("gw"), "sense"), ("icount", F.col("entry_total"), "sense_count"), ("ipct", F.lit(100), "sense_pct"))]
+    return found.select("oid", "cf", "gw", "pos", *sense, "entry_total")
 
 
 def meaning_order() -> list[Column]:
     return [*_desc("sense_count", "entry_total"), F.col("oid")]
 
 
-def entry_profiles(corpus: Corpus, oids: list[str] | None = None, spellings: int = 25) -> DataFrame:
-    """One row per entry with its senses, commonest spellings, periods and compounds as arrays of structs."""
+def entry_profiles(corpus: Corpus, oids: list[str] | None = None, spellings: int = 25, glyphs: dict[str, str] | None = None) -> DataFrame:
+    """One row per entry with its senses, commonest spellings, periods and compounds as arrays of structs.
+
+    With a sign dictionary every spelling has its ``glyphs``.
+    """
     entries = corpus["entries"]
     if oids is not None:
         entries = entries.filter(F.col("id").isin(oids))
@@ -54,6 +59,8 @@ def entry_profiles(corpus: Corpus, oids: list[str] | None = None, spellings: int
         if oids is not None:
             df = df.filter(F.col("entry_id").isin(oids))
         ranked = top_per_group(df, ["entry_id"], order, cap)
+        if glyphs is not None and name == "spellings":
+            ranked, columns = ranked.withColumn("glyphs", cuneify(F.col("n"), glyphs)), [*columns, "glyphs"]
         sorted_rows = F.array_sort(F.collect_list(F.struct("rank", *columns)))
         return ranked.groupBy("entry_id").agg(F.transform(sorted_rows, lambda s: s.dropFields("rank")).alias(name))
 
@@ -256,11 +263,12 @@ def _notes(chunks: Column) -> Column:
 def verb_forms(
     corpus: Corpus, *, cf: str | None = None, pos: str = "V/t", prefix: str | None = None, polarity: str = "affirm", object_person: str | None = None,
     dimensional: list[str] | None = None, aspect: str | None = None, suffix_a: bool | None = None, reduplicated: bool | None = None, least: int = 1,
-    limit: int = 10,
+    limit: int = 10, glyphs: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Attested forms with the asked features: oid, cf, morph, spelling, verified_in_forms, forms_count, count, share_pct, rank.
+    """Attested forms with the asked features: oid, cf, morph, spelling, verified_in_forms, forms_count, count, share_pct, rank, xis.
 
-    forms_count is the count of the made spelling among the attested ones, null where it is not there or not counted.
+    forms_count is the count of the made spelling among the attested ones, null where it is not there or not counted. With a
+    sign dictionary there are ``glyphs`` too; corpus.form_examples adds a line for each form.
 
     Without ``cf`` all verbs of the part of speech are answered. The best entry of a citation form and the commonest base of
     an entry are used; null counts are left out.
@@ -288,10 +296,12 @@ def verb_forms(
     attested = corpus["forms"].groupBy("entry_id", F.col("n").alias("spelling")).agg(F.lit(True).alias("there"), F.max("icount").alias("forms_count"))
     checked = made.join(attested, ["entry_id", "spelling"], "left")
     ranked = top_per_group(checked, ["entry_id"], [F.col("icount").desc(), F.col("n")], limit)
-    return ranked.select(
+    has_refs = F.col("xis") if "xis" in ranked.columns else F.lit(None).cast("string")
+    found = ranked.select(
         F.col("entry_id").alias("oid"), "cf", F.col("n").alias("morph"), "spelling", F.coalesce("there", F.lit(False)).alias("verified_in_forms"), "forms_count",
-        F.col("icount").alias("count"), share(F.col("icount"), F.col("whole")).alias("share_pct"), F.col("rank").cast("bigint").alias("rank"),
+        F.col("icount").alias("count"), share(F.col("icount"), F.col("whole")).alias("share_pct"), F.col("rank").cast("bigint").alias("rank"), has_refs.alias("xis"),
     )
+    return found if glyphs is None else found.withColumn("glyphs", cuneify(F.col("spelling"), glyphs))
 
 
 def search_entries(corpus: Corpus, query: str) -> DataFrame:

@@ -154,7 +154,7 @@ def feature_spec_match(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verb_form_search(spark: SparkSession, folder: str) -> DataFrame:
-    return lexicon.verb_forms(built(spark, folder), pos="V/t", prefix="mu", aspect="maru", limit=3)
+    return lexicon.verb_forms(built(spark, folder), pos="V/t", prefix="mu", aspect="maru", limit=3).drop("xis")
 
 
 def suffix_peel(spark: SparkSession, folder: str) -> DataFrame:
@@ -344,6 +344,11 @@ def line_search_page(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("text_id", "line_id", "line", "transliteration", "translation", "markdown", F.round("score", 6).alias("score"), "total", "next_offset")
 
 
+def lemma_page(spark: SparkSession, folder: str) -> DataFrame:
+    found = texts.lemma_page(built(spark, folder), "tuk", 25, 25)
+    return found.select("text_id", "line", *_big("ord", "word_pos"), "transliteration", "translation", "markdown", "total", "next_offset")
+
+
 def compound_page(spark: SparkSession, folder: str) -> DataFrame:
     return paging.paged(lexicon.compounds_of(built(spark, folder), "i").withColumnRenamed("total", "count"), [F.col("count").desc_nulls_last(), "branch", "oid"], 20, 10)
 
@@ -414,7 +419,7 @@ _HERE = [
     unresolved_by_project, json_extract_flatten, strip_markup, sign_rendering, first_wins_map, corpus_stats, gap_report_buckets, share_pct,
     spelling_functions, tumbling_window, session_window, gloss_rows, feature_ngram_counts, normalized_spellings, search_page, line_search_page, compound_page,
     catalogue_page, collocation_page, collocation_by_spelling, analysis_totals, glossary_list, reverse_references, unresolved_entries, catalogue_lookup,
-    line_functions,
+    line_functions, lemma_page,
 ]
 
 

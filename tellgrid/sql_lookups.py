@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tellgrid.functions.morph import CASE_ROLES, ROLE_LABELS, SUFFIXES, VERB_PREFIXES
 from tellgrid.functions.text import QUERY_LETTERS, SPELLING_LETTERS
-from tellgrid.sql import _ARTIFACTS, _BLANKS, _ENTRIES, _FORMS, _FTS, _INSTANCES, _LINES, _MORPHOLOGY, _PARAGRAPHS, _READINGS, _REFS, _SENSES, _TEXTS, _TOKENS, _artifact_urls, _bm25, _meaning
+from tellgrid.sql import _ARTIFACTS, _BLANKS, _ENTRIES, _FORMS, _FTS, _INSTANCES, _LINES, _MORPHOLOGY, _PARAGRAPHS, _READINGS, _REFS, _SENSES, _TEXTS, _TOKENS, _WORDS, _artifact_urls, _bm25, _meaning
 
 #: Endings peeled from the right, the first that fits in the order of the table: base and list of {role, kind} for every ``form`` of ``peel_v``.
 _PEEL = f"""
@@ -195,6 +195,12 @@ with {_PARAGRAPHS}, d as (select *, {_LINE_TERMS} as t from {_LINE_DOCS} where t
   f as (select d.text_id, d.line_id, d.line_label as line, d.transliteration, p.translation, round(s.score, 6) as score, {_quoted("d.text_id", "d.line_label", "d.transliteration", "p.translation")} as markdown
     from s join d using (doc) left join paragraphs_v p on p.text_id = d.text_id and p.para_id = d.paragraph_id)
 {_page("f", "score desc, text_id || '|' || line_id", 20, 0)}""",
+        "lemma_page": f"""
+with {_LINES}, {_WORDS}, {_PARAGRAPHS},
+  f as (select w.text_id, l.line_label as line, l.ord::bigint as ord, w.word_pos::bigint as word_pos, l.transliteration, p.translation, w.line_id, w.form,
+    {_quoted("w.text_id", "l.line_label", "l.transliteration", "p.translation")} as markdown
+    from words_v w join lines_v l using (text_id, line_id) left join paragraphs_v p on p.text_id = l.text_id and p.para_id = l.paragraph_id where w.lemma = 'tuk')
+select * exclude (line_id, form) from ({_page("f", "text_id, ord, line_id, word_pos, form", 25, 25)})""",
         "compound_page": f"""
 with c as (select * exclude (total), total as "count" from ({own["compound_two_branch"]})) {_page("c", '"count" desc nulls last, branch, oid', 20, 10)}""",
         "catalogue_page": f"""

@@ -123,3 +123,7 @@ def test_sql_names(spark):
     assert "casefold" in register(spark, {"lugal": "𒈗"})
     row = spark.sql("select casefold('ẞ') a, porter('kings') b, cuneify('lugal') c, fts_words('A-b') d").first()
     assert tuple(row) == ("ss", "king", "𒈗", ["a", "b"])
+    row = spark.sql("select strip_subscripts('e₂-gal₁₀') a, digits_to_subscripts('a12') b, ascii_lower('ÀAB') c, blank_to_null('  ') d, blank_to_null(' x ') e, format_p_id(' 347 ') f, format_p_id('x1') g, leading_number('12-14') h").first()
+    assert tuple(row) == ("e-gal", "a₁₂", "Àab", None, "x", "P000347", None, 12)
+    shown = spark.createDataFrame([("lugal-lugal",), ("lugal-foo",), ("",)], "x string").select(render.cuneified(F.col("x"), {"lugal": "𒈗"}).alias("c"))
+    assert [tuple(r.c) for r in shown.collect()] == [("𒈗𒈗", 0, True), ("𒈗□", 1, False), ("", 0, False)]

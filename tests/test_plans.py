@@ -126,6 +126,19 @@ def test_examples(corpus, spark):
     assert rows[1].markdown == "> x\n> — P2 1 · Old Ur\n<sub>— line & lemma: D</sub>"
 
 
+def test_forms_with_examples_and_glyphs(corpus, spark):
+    more = Corpus(corpus.tables | {
+        "morphology": spark.createDataFrame([("o3", "base", "du₃", 400, None), ("o3", "morph", "mu.na:~", 473, "x1")], "entry_id string, kind string, n string, icount long, xis string"),
+        "corpus_words": spark.createDataFrame([("p", "P2", "1", 1, "mu-na-du₃", "P2.1.1")], "project string, text_id string, line string, position int, frag string, ref string"),
+        "artifacts": spark.createDataFrame([("P1", "BM", "1", 7, 1, 0)], "p_id string, museum_collection string, museum_no string, cdli_id long, has_photo int, has_lineart int"),
+    })
+    forms = lexicon.verb_forms(more, cf="du", glyphs={"mu": "M", "na": "N"})
+    row = texts.form_examples(more, forms).first()
+    assert (row.spelling, row.glyphs, row.forms_count) == ("mu-na-du₃", "MN□", 30)
+    assert (row.word_ref, row.transliteration, row.target, row.period) == ("p:P2.1.1", "mu-na-du₃", "mu-na-du₃", "Old Ur")
+    assert [x.glyphs for x in lexicon.entry_profiles(more, ["o2"], glyphs={"e₂": "E", "gal": "G"}).first().spellings] == ["EG", "□"]
+
+
 def test_search_with_documents(spark):
     make = spark.createDataFrame
     found = Corpus({
