@@ -70,18 +70,23 @@ _WORDS = r"[\p{L}\p{N}\p{M}]+"
 SOURCE, TARGET = 0, 1
 
 
-def source_tokens(words: DataFrame, text: str, line: str, position: str, lemma: str, form: str, gloss: str) -> DataFrame:
-    """text, line, tokens, times: the distinct gloss words of each line and how often; a lemma's commonest gloss stands in where a word has none."""
+def source_tokens(words: DataFrame, text: str, line: str, position: str, lemma: str, form: str, gloss: str, hashed: bool = False) -> DataFrame:
+    """text, line, tokens, times: the distinct gloss words of each line and how often; a lemma's commonest gloss stands in where a word has none.
+
+    With ``hashed`` the tokens are the 64-bit hashes that alignment works with.
+    """
     rows = words.select(
         F.col(text).alias("text"), F.col(line).alias("line"), F.col(position).alias("at"),
         F.when(F.col(lemma) != "", F.col(lemma)).alias("lemma"), F.col(form).alias("form"), F.when(F.col(gloss) != "", F.col(gloss)).alias("gloss"),
     ).distinct()
+    rows = cut(rows) if hashed else rows
     counted = rows.filter("lemma is not null and gloss is not null").groupBy("lemma", "gloss").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy(F.col("lemma").alias("l")).agg(F.max(F.struct("n", "gloss")).alias("b")).select("l", F.col("b.gloss").alias("own"))
     bare = rows.filter("gloss is null").join(best, F.col("lemma") == F.col("l"), "left")
     token = F.coalesce(F.col("own"), F.concat(F.lit("#"), F.coalesce("lemma", "form", F.lit(""))))
     filled = rows.filter("gloss is not null").select("text", "line", "gloss").unionByName(bare.select("text", "line", token.alias("gloss")))
     each = filled.select("text", "line", F.explode(F.split(F.lower("gloss"), r"\s+")).alias("token")).filter("token <> ''")
+    each = each.select("text", "line", F.xxhash64("token").alias("token")) if hashed else each
     # counted before they are listed: the list of a line is bounded by the vocabulary
     counted = each.groupBy("text", "line", "token").agg(F.count(F.lit(1)).cast("int").alias("n"))
     listed = counted.groupBy("text", "line").agg(F.array_sort(F.collect_list(F.struct("token", "n"))).alias("all"))
@@ -146,8 +151,10 @@ def _clauses(paragraphs: DataFrame, spans: DataFrame) -> DataFrame:
     return placed.select("text", "para", "c.sent", "c.sub", "k", place.alias("place"), tokens.alias("tokens")).filter(F.size("tokens") > 0)
 
 
-def _hashed(tokens: str) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(t))
+def _hashed(rows: DataFrame) -> Column:
+    """The tokens of the rows as hashes, if they are not already."""
+    given = F.col("tokens")
+    return given if rows.schema["tokens"].dataType.elementType.typeName() == "long" else F.transform(given, lambda t: F.xxhash64(t))
 
 
 def _segmented(rows: DataFrame, place: Column, margin: int) -> DataFrame:
@@ -640,7 +647,7 @@ def _second_pass(first: DataFrame, firm: DataFrame) -> DataFrame:
 def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """text, line, para, sent of the pairs.
 
-    ``lines`` has text, line, place (number), label, para; ``tokens`` text, line, tokens, times; ``paragraphs`` text, para,
+    ``lines`` has text, line, place (number), label, para; ``tokens`` text, line, tokens (words or their hashes), times; ``paragraphs`` text, para,
     range, translation.
     """
     spark = lines.sparkSession
@@ -655,10 +662,10 @@ def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: in
     none = F.lit(0)
     rows = (
         _segmented(clauses, F.col("place"), REACH)
-        .select(*as_rows, F.lit(TARGET).cast("tinyint").alias("kind"), sentence_id.alias("id"), "sub", "k", "place", _hashed("tokens").alias("tokens"), F.array().cast("array<int>").alias("times"))
+        .select(*as_rows, F.lit(TARGET).cast("tinyint").alias("kind"), sentence_id.alias("id"), "sub", "k", "place", _hashed(clauses).alias("tokens"), F.array().cast("array<int>").alias("times"))
         .unionByName(
             _segmented(source, F.col("place"), 2 * REACH + 1)
-            .select(*as_rows, F.lit(SOURCE).cast("tinyint").alias("kind"), F.col("line").alias("id"), none.alias("sub"), none.alias("k"), "place", _hashed("tokens").alias("tokens"), "times")
+            .select(*as_rows, F.lit(SOURCE).cast("tinyint").alias("kind"), F.col("line").alias("id"), none.alias("sub"), none.alias("k"), "place", _hashed(tokens).alias("tokens"), "times")
         )
     )
     groups = max(width(spark), -(-count // GROUP))

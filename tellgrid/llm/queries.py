@@ -93,7 +93,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     paragraphs = load(spark, folder, "paragraphs").select(
         F.col("text_id").alias("text"), F.col("para_id").alias("para"), F.col("line_range").alias("range"), "translation"
     )
-    tokens = alignment.source_tokens(load(spark, folder, "words"), "text_id", "line_id", "word_pos", "lemma", "form", "label")
+    tokens = alignment.source_tokens(load(spark, folder, "words"), "text_id", "line_id", "word_pos", "lemma", "form", "label", hashed=True)
     pairs = alignment.align(lines, tokens, paragraphs)
     return pairs.select(F.col("text").alias("text_id"), F.col("line").alias("line_id"), F.col("para").alias("para_id"), F.col("sent").alias("sent_no"))
 
