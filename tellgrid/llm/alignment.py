@@ -243,11 +243,11 @@ _COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("e", pa.list_(pa
 _TABLE = pa.schema([*_COUNTS, ("p", pa.list_(pa.float32()))])
 
 
-def _by_place(rows: pa.Table, segment: np.ndarray, kind: int) -> tuple[pa.Table, np.ndarray]:
-    """The rows of a kind in the order of segment and place, and their places on one axis."""
+def _by_place(rows: pa.Table, segment: np.ndarray, kind: int, ties: tuple[np.ndarray, ...] = ()) -> tuple[pa.Table, np.ndarray]:
+    """The rows of a kind in the order of segment and place (then of ``ties``, the last first), and their places on one axis."""
     own = np.flatnonzero(_column(rows, "kind") == kind)
     place = _column(rows, "place")[own] - SEGMENT * _column(rows, "seg")[own].astype(float) + _APART * segment[own]
-    order = np.argsort(place, kind="stable")
+    order = np.lexsort((*(t[own] for t in ties), place))
     return rows.take(pa.array(own[order])), place[order]
 
 
@@ -413,8 +413,10 @@ def _link(rows: pa.Table, given: pa.Table) -> pa.Table:
     """Links of a group's segments, and what the second pass needs of its open clauses and lines."""
     keys = rows.select(["text", "seg"]).to_pandas()
     segment = keys.groupby(["text", "seg"], sort=True).ngroup().to_numpy()
-    clauses, place = _by_place(rows, segment, TARGET)
-    lines, at = _by_place(rows, segment, SOURCE)
+    # what stands at one place goes by its name, whatever the order of the rows
+    ties = _column(rows, "sub"), pd.factorize(rows.column("id").to_pandas(), sort=True)[0]
+    clauses, place = _by_place(rows, segment, TARGET, ties)
+    lines, at = _by_place(rows, segment, SOURCE, ties)
     begin, words = _lists(clauses, "tokens")
     held, own = _lists(lines, "tokens")
     times = _lists(lines, "times")[1]
@@ -442,7 +444,7 @@ def _link(rows: pa.Table, given: pa.Table) -> pa.Table:
     owner = np.repeat(np.arange(number), np.diff(begin))
     least = LEAST_SHARE * np.bincount(owner, rarity[e_of], number)
     telling = idf[e_of] > 0
-    owner, e_of, spot = owner[telling], e_of[telling], np.flatnonzero(telling)
+    owner, e_of = owner[telling], e_of[telling]
     said = np.bincount(owner, idf[e_of], number)
     content = np.searchsorted(owner, np.arange(number + 1))
     weights = heavy[f_of]
@@ -528,7 +530,10 @@ def _link(rows: pa.Table, given: pa.Table) -> pa.Table:
     return _answer(clauses, lines, place, at, link, what, worth, firm, (content, said, least, es, e_of, idf, held, fs, f_of, weights, times, spans, e, s, row_f))
 
 
-def _answer(clauses, lines, place, at, link, what, worth, firm, known) -> pa.Table:
+def _answer(
+    clauses: pa.Table, lines: pa.Table, place: np.ndarray, at: np.ndarray, link: dict[int, int], what: dict[int, int], worth: dict[int, float], firm: dict[int, int], known: tuple
+) -> pa.Table:
+    """The links of the core clauses, and the clauses and lines without a firm one with all that the second pass compares."""
     content, said, least, es, e_of, idf, held, fs, f_of, weights, times, spans, e, s, row_f = known
     core, sub, number = _column(clauses, "core"), _column(clauses, "sub"), _column(clauses, "k")
     texts, names = clauses.column("text").to_pylist(), clauses.column("id").to_pylist()

@@ -53,6 +53,29 @@ def test_paragraphs_without_a_place(spark):
     assert right / len(wanted) > 0.85 and right / len(found) > 0.9
 
 
+def test_order_of_rows_and_ties(spark):
+    """Rows in any order give the same pairs, also where lines and paragraphs share a place."""
+    lines, words, paragraphs, _ = bilingual(30, seed=8)
+    lines = [(t, line, place - place % 2, label, para) for t, line, place, label, para in lines]
+    paragraphs += [(t, t + ".p2", where, said) for t, _, where, said in paragraphs[:10]]
+    first = aligned(spark, lines, words, paragraphs)
+    rng = random.Random(1)
+    for rows in (lines, words, paragraphs):
+        rng.shuffle(rows)
+    assert first and aligned(spark, lines, words, paragraphs) == first
+
+
+def test_small_and_large_corpus(spark):
+    """A text is aligned alike in a small corpus and in one four times as large."""
+    lines, words, paragraphs, truth = bilingual(100, seed=9)
+    few = {f"t{i}" for i in range(25)}
+    small = aligned(spark, *[[r for r in rows if r[0] in few] for rows in (lines, words, paragraphs)])
+    large = {r for r in aligned(spark, lines, words, paragraphs) if r[0] in few}
+    truth = {r for r in truth if r[0] in few}
+    assert len(small & large) >= 0.93 * max(len(small), len(large))
+    assert len(large & truth) >= 0.9 * len(truth) and len(small & truth) >= 0.88 * len(truth)
+
+
 def test_candidates_of_estimation():
     """A line four places before or five after a clause is a candidate in expectation-maximization."""
     rows = [(1, 0, 1, 10.0, [7]), (1, 0, 0, 6.0, [101]), (1, 0, 0, 15.0, [102])]
