@@ -53,9 +53,9 @@ SEGMENT, REACH = 256, 8
 #: Least quality of a pair that stands far from where it is expected.
 FAR_QUALITY = 0.7
 #: Clauses a group holds, on average.
-GROUP = 16_000
+GROUP = 32_000
 #: Cells up to which a group keeps its pairs of words in a dense array, and word pairs worked on at once.
-DENSE, CHUNK = 1 << 23, 1 << 21
+DENSE, CHUNK = 1 << 24, 1 << 21
 #: A word says something if one source word accounts for at least this share of its uses; others (people, someone, it) do not.
 CONCENTRATION = 0.1
 #: A line translates a clause only if it accounts for this share of all its words, telling or not, by their rarity (fixed value).
@@ -202,7 +202,7 @@ class _Pairs:
     def __init__(self, size: int, keys: np.ndarray, values: np.ndarray, default: float) -> None:
         self.dense = None
         if size <= DENSE:
-            self.dense = np.full(size, default)
+            self.dense = np.full(size, default, np.float32)
             self.dense[keys] = values
             return
         order = np.argsort(keys, kind="stable")
@@ -239,8 +239,8 @@ class _Sums:
 _APART = 4.0 * SEGMENT
 #: Slack of comparisons of places.
 _SLACK = 1e-6
-_COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("e", pa.list_(pa.int64())), ("c", pa.list_(pa.float64()))])
-_TABLE = pa.schema([*_COUNTS, ("p", pa.list_(pa.float32()))])
+_COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("e", pa.list_(pa.int64())), ("c", pa.list_(pa.float32()))])
+_TABLE = pa.schema([*list(_COUNTS)[:3], ("c", pa.list_(pa.float64())), ("p", pa.list_(pa.float32()))])
 
 
 def _by_place(rows: pa.Table, segment: np.ndarray, kind: int, ties: tuple[np.ndarray, ...] = ()) -> tuple[pa.Table, np.ndarray]:
@@ -317,7 +317,7 @@ def _expect(total: float | None):
         lists = [pa.array(np.repeat([SOURCE, TARGET], [len(different), len(es)]), pa.int8()), pa.array(np.concatenate([fs[different], es]), pa.int64())]
         targets = np.stack([none, said, inside], 1).ravel()
         c_ends = np.concatenate([first, len(f) + 3 * np.arange(len(es) + 1)])
-        lists += [_packed(ends, np.concatenate([es[e], es]), pa.int64()), _packed(c_ends, np.concatenate([sums, targets]), pa.float64())]
+        lists += [_packed(ends, np.concatenate([es[e], es]), pa.int64()), _packed(c_ends, np.concatenate([sums, targets]), pa.float32())]
         return pa.Table.from_arrays(lists, schema=_COUNTS)
 
     return run
@@ -331,14 +331,14 @@ def _maximize(rows: pa.Table) -> pa.Table:
     begin, e = _lists(source, "e")
     es, e_of = np.unique(e, return_inverse=True)
     keys, at = np.unique(np.repeat(f_of, np.diff(begin)) * max(1, len(es)) + e_of, return_inverse=True)
-    c = np.bincount(at, _lists(source, "c")[1], len(keys))
+    c = np.bincount(at, _lists(source, "c")[1].astype(float), len(keys))
     f = keys // max(1, len(es))
     p = c / np.bincount(f, c, len(fs))[f]
     kept = p > KEPT
     keys, f, c, p = keys[kept], f[kept], c[kept], p[kept]
     begin = np.searchsorted(f, np.arange(len(fs) + 1))
     words, at = np.unique(_column(target, "key"), return_inverse=True)
-    _, three = _lists(target, "c")
+    three = _lists(target, "c")[1].astype(float)
     sums = np.stack([np.bincount(at, three[i::3], len(words)) for i in range(3)], 1).ravel()
     steps = np.arange(1, len(words) + 1)
     return pa.Table.from_arrays(
@@ -678,14 +678,16 @@ def align(lines: DataFrame, tokens: DataFrame, paragraphs: DataFrame, rounds: in
     # columns of its own, which the two sides of a cogroup must have
     words = cut(held.select(F.col("grp").alias("grp"), F.col("kind").alias("kind"), F.explode("tokens").alias("key")).distinct())
     near = held.filter(f"kind = {SOURCE} or core").select("grp", "segment", "seg", "kind", "place", "tokens").groupBy("grp")
-    counts, packed = "kind tinyint, key bigint, e array<bigint>, c array<double>", "kind tinyint, key bigint, e array<bigint>, c array<double>, p array<float>"
+    counts, packed = "kind tinyint, key bigint, e array<bigint>, c array<float>", "kind tinyint, key bigint, e array<bigint>, c array<double>, p array<float>"
 
     table, totals = None, (None, None)
     for _ in range(rounds):
         if table is None:
             given = words.limit(0).select("grp", "kind", "key", *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("e", "bigint"), ("c", "double"), ("p", "float"))])
         else:
-            given = words.join(table, ["kind", "key"]).select("grp", "kind", "key", "e", "c", "p")
+            # of a source word's row the probabilities travel, of a target word's the counts
+            counted = F.when(F.col("kind") == TARGET, F.col("c")).otherwise(F.array().cast("array<double>")).alias("c")
+            given = words.join(table.select("kind", "key", "e", "p", counted), ["kind", "key"]).select("grp", "kind", "key", "e", "c", "p")
         expected = near.cogroup(given.groupBy("grp")).applyInArrow(_expect(totals[0]), counts)
         table = cut(expected.groupBy(F.pmod("key", F.lit(groups)).alias("bucket")).applyInArrow(_maximize, packed))
         totals = table.filter(f"kind = {TARGET}").agg(F.sum(F.col("c")[0]), F.sum(F.col("c")[1])).first()
